@@ -9,6 +9,7 @@ from stowcheck.constants import (
     BATCH_FAILURE_RED,
     FRESHNESS_HOURS,
 )
+from stowcheck.operators.toolkit import per_source
 
 
 def process_signals(
@@ -26,10 +27,10 @@ def process_signals(
     return (
         sources.select("source_alias")
         .distinct()
-        .join(last_backup, "source_alias", "left")
-        .join(worst, "source_alias", "left")
+        .join(per_source(last_backup), "source_alias", "left")
+        .join(per_source(worst), "source_alias", "left")
         .join(
-            exports.select("source_alias", *[F.col(c).alias(f"exports_{c}") for c in lanes]),
+            per_source(exports.select("source_alias", *[F.col(c).alias(f"exports_{c}") for c in lanes])),
             "source_alias", "left",
         )
         .na.fill(0, ["alarming_buckets", *[f"exports_{c}" for c in lanes]])
@@ -265,8 +266,7 @@ def source_check(
         F.coalesce(F.format_string("%sh", _hours(F.col("age_hours"))), F.lit("not yet available")).alias("detail"),
     )
     inventory_rows = (
-        registry.join(freshness, "source_alias", "left")
-        .withColumn("age_hours", F.col("age_hours"))
+        registry.join(per_source(freshness), "source_alias", "left")
         .select(
             "source_alias",
             F.explode(

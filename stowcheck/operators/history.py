@@ -126,15 +126,18 @@ def purge_batches(orphans: DataFrame, batch_size: int = PURGE_BATCH_SIZE) -> Dat
 
     Keys are spread over 4096 hash groups, numbered inside their group, and shifted by the rows of
     the groups before it: no task sees a whole source, and a retried task repeats its numbers. The
-    offsets are 4096 rows per source at most.
+    offsets are 4096 rows per source at most. Numbers and offsets read the same shuffle, so the
+    orphans are found once.
     """
     groups = ["source_alias", "hash_group"]
-    spread = orphans.select("source_alias", "key", F.left(F.md5("key"), F.lit(3)).alias("hash_group"))
+    spread = orphans.select(
+        "source_alias", "key", F.left(F.md5("key"), F.lit(3)).alias("hash_group")
+    ).repartition(*groups)
     before = Window.partitionBy("source_alias").orderBy("hash_group").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
-        spread.groupBy(*groups).agg(F.count("*").alias("_rows"))
+        spread.groupBy(*groups).agg(F.count("key").alias("_rows"))
         .select(*groups, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
     inside = Window.partitionBy(*groups).orderBy("key")

@@ -19,7 +19,7 @@ from stowcheck.functions.text import (
     job_kind,
 )
 from stowcheck.functions.times import age_hours
-from stowcheck.operators.toolkit import first_per_group, latest_per_group
+from stowcheck.operators.toolkit import first_per_group, latest_per_group, per_source
 
 
 def current_run_state(run_states: DataFrame) -> DataFrame:
@@ -251,14 +251,14 @@ def source_status(
     """
     def nested(df: DataFrame, name: str, *fields: str) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct(*fields)))
-        return df.groupBy("source_alias").agg(rows.alias(name))
+        return per_source(df.groupBy("source_alias").agg(rows.alias(name)))
 
     owner = states.select("source_alias", "bucket").distinct()
     return (
         registry.select("source_alias")
         .distinct()
         .join(nested(states, "last_runs", "bucket", "checked_at", "status", "objects_copied"), "source_alias", "left")
-        .join(freshness, "source_alias", "left")
+        .join(per_source(freshness), "source_alias", "left")
         .join(
             nested(jobs.join(owner, "bucket"), "recent_jobs", "bucket", "creation_time", "job_id", "status"),
             "source_alias", "left",

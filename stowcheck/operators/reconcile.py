@@ -16,8 +16,8 @@ from stowcheck.functions.objects import (
     normalize_etag,
     pick_checksum,
 )
-from stowcheck.operators.snapshots import without_operational
-from stowcheck.operators.toolkit import first_per_group
+from stowcheck.operators.snapshots import current, without_operational
+from stowcheck.operators.toolkit import first_per_group, per_source
 
 KEY = ["source_alias", "key"]
 
@@ -70,18 +70,23 @@ def manifest_count(source: DataFrame, backup: DataFrame, full_sync: bool = False
     )
 
 
-def key_sides(source: DataFrame, backup: DataFrame) -> DataFrame:
-    """Rows per key on each side, in one pass over both.
+def key_sides(inventory: DataFrame, source_dt: str, backup_dt: str | None = None) -> DataFrame:
+    """Current rows per key on each side, in one scan of both snapshots.
 
-    Equivalent to a full outer join for everything that only needs keys, but pre-aggregated before
-    the one shuffle and without a sort.
+    Equivalent to a full outer join for everything that only needs keys: rows of a key meet in a
+    hash aggregation, partly before the one shuffle, and nothing is sorted. An inventory bucketed by
+    (source_alias, key) needs no shuffle either.
     """
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    tagged = source.select(*KEY, one.alias("in_source"), none.alias("in_backup")).unionByName(
-        backup.select(*KEY, none.alias("in_source"), one.alias("in_backup"))
+    side = F.col("side")
+    chosen = (side == "source") & (F.col("dt") == source_dt) | (side == "backup") & (
+        F.col("dt") == (backup_dt or source_dt)
     )
-    return tagged.groupBy(*KEY).agg(
-        F.sum("in_source").alias("in_source"), F.sum("in_backup").alias("in_backup")
+    rows = current(inventory.where(chosen)).where(
+        (side == "source") | ~is_operational(F.col("key"))
+    )
+    return rows.groupBy(*KEY).agg(
+        F.count_if(side == "source").alias("in_source"),
+        F.count_if(side == "backup").alias("in_backup"),
     )
 
 
@@ -101,7 +106,7 @@ def divergence_counts(sides: DataFrame, delivered: DataFrame) -> DataFrame:
     )
     available = F.col("source_dt").isNotNull() & F.col("backup_dt").isNotNull()
     none = F.lit(0).cast("bigint")
-    return compared.join(counts, "source_alias", "left").select(
+    return compared.join(per_source(counts), "source_alias", "left").select(
         "source_alias",
         "source_dt",
         "backup_dt",
@@ -219,22 +224,19 @@ def integrity_diffs(status: DataFrame) -> DataFrame:
 def integrity_summary(source: DataFrame, backup: DataFrame, status: DataFrame) -> DataFrame:
     """Object counts per side and outcome counts per source."""
     kept = ~is_operational(F.col("key"))
-
-    def objects(df: DataFrame, name: str) -> DataFrame:
-        return df.where(kept).groupBy("source_alias").agg(F.count("*").alias(name))
-
+    both = source.where(kept).select("source_alias", F.lit("source").alias("side")).unionByName(
+        backup.where(kept).select("source_alias", F.lit("backup").alias("side"))
+    )
+    objects = both.groupBy("source_alias").agg(
+        F.count_if(F.col("side") == "source").alias("source_object_count"),
+        F.count_if(F.col("side") == "backup").alias("backup_object_count"),
+    )
     outcomes = status.groupBy("source_alias").agg(
         F.count_if(F.col("issue") == "missing_in_backup").alias("missing_count"),
         F.count_if(F.col("issue") == "etag_mismatch").alias("mismatch_count"),
         F.count_if(F.col("issue") == "verified").alias("checksum_verified"),
     )
-    counts = ["source_object_count", "backup_object_count"]
-    joined = (
-        objects(source, counts[0])
-        .join(objects(backup, counts[1]), "source_alias", "full")
-        .join(outcomes, "source_alias", "left")
-        .na.fill(0)
-    )
+    joined = objects.join(per_source(outcomes), "source_alias", "left").na.fill(0)
     return joined.withColumn(
         "clean", (F.col("missing_count") == 0) & (F.col("mismatch_count") == 0)
     )

@@ -10,7 +10,7 @@ from stowcheck.constants import RESTORE_SAMPLE_SIZE
 from stowcheck.functions.keys import encode_key, is_operational
 from stowcheck.functions.objects import is_archived, normalize_etag, pick_checksum
 from stowcheck.operators.snapshots import without_operational
-from stowcheck.operators.toolkit import first_per_group, rows_of_sample
+from stowcheck.operators.toolkit import first_per_group, per_source, rows_of_sample
 
 KEY = ["source_alias", "key"]
 
@@ -41,7 +41,7 @@ def restore_diff_summary(backup: DataFrame, target: DataFrame, prefix: str | Non
         F.count("*").alias("objects_copied"), F.sum("size").alias("bytes_transferred")
     )
     return (
-        total.join(copied, "source_alias", "left")
+        total.join(per_source(copied), "source_alias", "left")
         .na.fill(0)
         .select(
             "source_alias",
@@ -150,7 +150,7 @@ def bucket_results(verified: DataFrame, registry: DataFrame) -> DataFrame:
     return (
         registry.select("source_alias")
         .distinct()
-        .join(tested, "source_alias", "left")
+        .join(per_source(tested), "source_alias", "left")
         .na.fill(0)
         .withColumn(
             "result",

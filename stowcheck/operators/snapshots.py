@@ -7,7 +7,7 @@ from stowcheck.constants import FRESHNESS_HOURS
 from stowcheck.functions.keys import is_operational
 from stowcheck.functions.objects import is_archived, is_current
 from stowcheck.functions.times import age_hours
-from stowcheck.operators.toolkit import first_per_group
+from stowcheck.operators.toolkit import first_per_group, per_source
 
 
 def snapshot(inventory: DataFrame, alias: str, side: str, dt: str) -> DataFrame:
@@ -53,10 +53,11 @@ def two_latest_partitions(inventory: DataFrame) -> DataFrame:
 def at_latest(inventory: DataFrame) -> DataFrame:
     """Rows of the newest snapshot, chosen per side.
 
-    The join side has one row per (alias, side). Spark broadcasts it by its measured size, and the
-    broadcast keys prune the partitions of a stored inventory (dynamic partition pruning).
+    The join side has one row per (source, side) and is broadcast; its keys prune the partitions of
+    a stored inventory at run time. Spark only does so behind a comparison, hence the one on ``dt``.
     """
-    return inventory.join(latest_partitions(inventory), ["source_alias", "side", "dt"], "left_semi")
+    newest = latest_partitions(inventory).where(F.col("dt") > "")
+    return inventory.join(per_source(newest), ["source_alias", "side", "dt"], "left_semi")
 
 
 def newest_nonempty(listing: DataFrame, modified: str, *by: str) -> DataFrame:

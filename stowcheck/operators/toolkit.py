@@ -26,6 +26,15 @@ def latest_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str])
     return df.groupBy(*group).agg(newest.alias("_row")).select("_row.*")
 
 
+def per_source(df: DataFrame) -> DataFrame:
+    """Mark a table with one row per configured source for broadcasting.
+
+    Only for results grouped by ``source_alias`` (or the registry itself): their size is bound by
+    the configuration, whatever the inventories hold.
+    """
+    return F.broadcast(df)
+
+
 def rows_of_sample(
     df: DataFrame, sample: DataFrame, keys: Sequence[str], bounded: bool
 ) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowcheck.constants import FRESHNESS_HOURS, MISSING_SAMPLE_SIZE, RESTORE_SAMPLE_SIZE
+from stowcheck.functions.keys import symlink_dt
 from stowcheck.operators import health, operations, reconcile, restore, snapshots
+from stowcheck.operators.toolkit import per_source
 
 
 @dataclass
@@ -61,10 +63,10 @@ def health_rows(inputs: ReportInputs, freshness_hours: float = FRESHNESS_HOURS)
     The reconciliation of all keys is one shuffle, shared by the counts and the missing sample;
     everything joined afterwards has one row per source.
     """
-    source = snapshots.source_side(inputs.inventory, inputs.today)
-    backup = snapshots.backup_side(inputs.inventory, inputs.today)
-    sides = reconcile.key_sides(source, backup)
-    delivered = inputs.inventory.where(F.col("dt") == inputs.today).select("source_alias", "side", "dt").distinct()
+    sides = reconcile.key_sides(inputs.inventory, inputs.today)
+    delivered = inputs.deliveries.select(
+        "source_alias", "side", symlink_dt(F.col("key")).alias("dt")
+    ).where(F.col("dt") == inputs.today)
     divergence = reconcile.divergence_counts(sides, delivered)
     missing = sides.where((F.col("in_backup") == 0) & (F.col("in_source") > 0))
     checked = restore.head_check(
@@ -84,14 +86,14 @@ def health_rows(inputs: ReportInputs, freshness_hours: float = FRESHNESS_HOURS)
     signals = (
         inputs.registry.select(key, "inventory_enabled")
         .distinct()
-        .join(freshness, key, "left")
-        .join(delta, key, "left")
-        .join(divergence.drop("available"), key, "left")
-        .join(checked, key, "left")
-        .join(tested.select(key, F.col("overall").alias("restore_result")), key, "left")
-        .join(health.pitr_by_source(inputs.tables), key, "left")
-        .join(process, key, "left")
-        .join(health.batch_notes(failures), key, "left")
+        .join(per_source(freshness), key, "left")
+        .join(per_source(delta), key, "left")
+        .join(per_source(divergence.drop("available")), key, "left")
+        .join(per_source(checked), key, "left")
+        .join(per_source(tested.select(key, F.col("overall").alias("restore_result"))), key, "left")
+        .join(per_source(health.pitr_by_source(inputs.tables)), key, "left")
+        .join(per_source(process), key, "left")
+        .join(per_source(health.batch_notes(failures)), key, "left")
         .select(
             key,
             "inventory_enabled",

@@ -16,6 +16,7 @@ from stowcheck.operators import (
     restore,
     snapshots,
 )
+from stowcheck.operators.toolkit import per_source
 from stowcheck.plans import health_report
 from stowcheck.session import configure, work_path
 from stowcheck.sources import events as event_source
@@ -316,7 +317,7 @@ def inventory_full_manifest(fx):
 @query
 def divergence_counts(fx):
     delivered = snapshots.latest_partitions(fx.inventory.where(F.col("dt") == TODAY))
-    return reconcile.divergence_counts(reconcile.key_sides(_source(fx), _backup(fx)), delivered)
+    return reconcile.divergence_counts(reconcile.key_sides(fx.inventory, TODAY), delivered)
 
 
 @query
@@ -553,10 +554,10 @@ def compliance_summary(fx):
     tested = restore.restore_test_overall(_bucket_results(fx), "source_alias")
     return (
         fx.registry.select("source_alias")
-        .join(integrity.select("source_alias", "missing_count", "mismatch_count", "clean"), "source_alias", "left")
-        .join(ages.select("source_alias", "last_backup_at"), "source_alias", "left")
-        .join(tested.select("source_alias", F.col("overall").alias("restore_test")), "source_alias", "left")
-        .join(health.pitr_by_source(fx.tables).select("source_alias", "pitr_enabled"), "source_alias", "left")
+        .join(per_source(integrity.select("source_alias", "missing_count", "mismatch_count", "clean")), "source_alias", "left")
+        .join(per_source(ages.select("source_alias", "last_backup_at")), "source_alias", "left")
+        .join(per_source(tested.select("source_alias", F.col("overall").alias("restore_test"))), "source_alias", "left")
+        .join(per_source(health.pitr_by_source(fx.tables).select("source_alias", "pitr_enabled")), "source_alias", "left")
     )
 
 
@@ -642,12 +643,12 @@ def event_months_union(fx):
 
 @query
 def key_except(fx):
-    return reconcile.key_except(reconcile.key_sides(_source(fx), _backup(fx)))
+    return reconcile.key_except(reconcile.key_sides(fx.inventory, TODAY))
 
 
 @query
 def key_intersect(fx):
-    return reconcile.key_intersect(reconcile.key_sides(_source(fx), _backup(fx)))
+    return reconcile.key_intersect(reconcile.key_sides(fx.inventory, TODAY))
 
 
 # --- scalar functions -------------------------------------------------------------------------

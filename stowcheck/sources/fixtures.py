@@ -1,14 +1,19 @@
 """Inventory, event, job, export and version tables derived from the driver tables.
 
-Snapshots are built as one branch per ``dt`` with a literal partition value, so that a filter on
-``dt`` drops the other branch in the optimizer, as partition pruning does on stored snapshots.
+The inventory is stored once per application in the shared work folder, the way snapshots are
+delivered: partitioned, columnar and bucketed by key. Everything else is derived lazily.
 """
 
-from functools import cached_property
+from collections.abc import Callable
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowcheck.operators.snapshots import current
+from stowcheck.session import work_path
+from stowcheck.sources.inventory import store_bucketed
+
 TODAY = "2024-01-30-01-00"
 YESTERDAY = "2024-01-29-01-00"
 NOW_TEXT = "2024-01-31 00:00:00"
@@ -22,6 +27,8 @@ BACKUP_ONLY_KEYS = (
     "xstate/kept.bin",
 )
 
+OWN_TAG = "concat(md5(key), if(h % 11 = 0, '-2', ''))"
+
 
 def now() -> Column:
     return F.lit(NOW_TEXT).cast("timestamp")
@@ -31,10 +38,19 @@ def _pick(number: Column, *values: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values)).cast("int") + 1)
 
 
+def _one_of(number: str, *values: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE {number} % {len(values)} {cases} END"
+
+
 def _text(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
 
+# (application, data folder) -> name of its stored inventory
+_stored: dict[tuple[str, str], str] = {}
+
+
 class Fixtures:
     """Lazily derived tables over one data folder."""
 
@@ -42,152 +58,156 @@ class Fixtures:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    @cache
     def table(self, name: str) -> DataFrame:
         """A driver table; its zone-free timestamps are UTC and become ``timestamp``."""
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         zone_free = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in zone_free})
 
-    @cached_property
-    def objects(self) -> DataFrame:
-        order, line = F.col("l_orderkey"), F.col("l_linenumber")
-        part, supp = F.col("l_partkey"), F.col("l_suppkey")
-        folder = (
-            F.when((order + part) % 8 == 0, "vs30=1000/imt=SA(0.15)/")
-            .when((order + part) % 8 == 1, "folder/file 1+")
-            .when((order + part) % 8 == 2, "a&b,c%/")
-            .when((order + part) % 8 == 3, "é~*/")
-            .otherwise("models/")
-        )
-        return self.table("lineitem").select(
-            _pick(order, *ALIASES).alias("source_alias"),
-            ((order * 31 + line * 7 + part * 13 + supp * 3) % 1000).alias("h"),
-            F.concat(
-                folder, F.concat_ws("-", _text(order), _text(line), _text(part), _text(supp)),
-                F.lit(".h5"),
-            ).alias("key"),
-            (F.col("l_quantity").cast("bigint") * 4096).alias("size"),
-            F.col("l_shipdate").alias("last_modified_date"),
-        )
+    def spread(self, name: str, columns: list[str], by: list[str]) -> DataFrame:
+        """A table stored as one file is one row group and would be read by one task: spread it.
 
-    @staticmethod
-    def _own_tag() -> Column:
-        return F.concat(F.md5("key"), F.when(F.col("h") % 11 == 0, "-2").otherwise(""))
-
-    def _per_dt(self, snapshot) -> DataFrame:
-        return snapshot(YESTERDAY).unionByName(snapshot(TODAY))
+        A table of many files is read in parallel already and is left as it is. Branches that
+        start from the same spread read the file once.
+        """
+        df = self.table(name)
+        if len(df.inputFiles()) > 1:
+            return df
+        return df.select(*columns).repartition(self.spark.sparkContext.defaultParallelism, *by)
 
     @cached_property
-    def source(self) -> DataFrame:
-        h = F.col("h")
+    def objects(self) -> DataFrame:
+        used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
+        return self.spread("lineitem", used, ["l_orderkey", "l_linenumber"]).selectExpr(
+            f"{_one_of('l_orderkey', *ALIASES)} AS source_alias",
+            "(l_orderkey * 31 + l_linenumber * 7 + l_partkey * 13 + l_suppkey * 3) % 1000 AS h",
+            """concat(CASE (l_orderkey + l_partkey) % 8
+                   WHEN 0 THEN 'vs30=1000/imt=SA(0.15)/'
+                   WHEN 1 THEN 'folder/file 1+'
+                   WHEN 2 THEN 'a&b,c%/'
+                   WHEN 3 THEN 'é~*/'
+                   ELSE 'models/' END,
+               concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey), '.h5') AS key""",
+            "CAST(l_quantity AS bigint) * 4096 AS size",
+            "l_shipdate AS last_modified_date",
+        )
 
-        def flag(condition: Column) -> Column:
-            return F.when(F.col("source_alias") != "charlie", condition)
+    def _per_dt(self, snapshot: Callable[[str], DataFrame]) -> DataFrame:
+        return snapshot(YESTERDAY).union(snapshot(TODAY))
 
+    def _derived_source(self) -> DataFrame:
         def snapshot(dt: str) -> DataFrame:
-            kept = self.objects.where((h >= 30) & ((h < 990) | F.lit(dt == TODAY)))
-            return kept.select(
-                F.lit(dt).alias("dt"),
+            kept = "h >= 30" if dt == TODAY else "h >= 30 AND h < 990"
+            return self.objects.where(kept).selectExpr(
+                f"'{dt}' AS dt",
                 "source_alias",
-                F.lit("source").alias("side"),
-                F.concat(F.lit("src-"), "source_alias").alias("bucket"),
+                "'source' AS side",
+                "concat('src-', source_alias) AS bucket",
                 "key",
-                flag(h % 200 != 199).alias("is_latest"),
-                flag(h % 200 == 198).alias("is_delete_marker"),
+                "if(source_alias = 'charlie', NULL, h % 200 <> 199) AS is_latest",
+                "if(source_alias = 'charlie', NULL, h % 200 = 198) AS is_delete_marker",
                 "size",
                 "last_modified_date",
-                self._own_tag().alias("e_tag"),
-                F.lit("STANDARD").alias("storage_class"),
+                f"{OWN_TAG} AS e_tag",
+                "'STANDARD' AS storage_class",
             )
 
         return self._per_dt(snapshot)
 
-    @cached_property
-    def backup(self) -> DataFrame:
-        h = F.col("h")
-        other_tag = F.md5(F.concat("key", F.lit("#")))
-
+    def _derived_backup(self) -> DataFrame:
         def snapshot(dt: str) -> DataFrame:
-            return self.objects.where(~h.between(30, 79)).select(
-                F.lit(dt).alias("dt"),
+            return self.objects.where("NOT (h BETWEEN 30 AND 79)").selectExpr(
+                f"'{dt}' AS dt",
                 "source_alias",
-                F.lit("backup").alias("side"),
-                F.concat(F.lit("bb-"), "source_alias").alias("bucket"),
+                "'backup' AS side",
+                "concat('bb-', source_alias) AS bucket",
                 "key",
-                (h % 200 != 199).alias("is_latest"),
-                (h % 200 == 198).alias("is_delete_marker"),
-                F.when(h.between(100, 109), F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+                "h % 200 <> 199 AS is_latest",
+                "h % 200 = 198 AS is_delete_marker",
+                "if(h BETWEEN 100 AND 109, size + 1, size) AS size",
                 "last_modified_date",
-                F.when(h.between(80, 99), other_tag)
-                .when(h.between(110, 139), F.concat(other_tag, F.lit("-2")))
-                .otherwise(self._own_tag())
-                .alias("e_tag"),
-                _pick(h, "GLACIER_IR", None, "STANDARD", "STANDARD").alias("storage_class"),
+                f"""CASE WHEN h BETWEEN 80 AND 99 THEN md5(concat(key, '#'))
+                    WHEN h BETWEEN 110 AND 139 THEN concat(md5(concat(key, '#')), '-2')
+                    ELSE {OWN_TAG} END AS e_tag""",
+                "CASE h % 4 WHEN 0 THEN 'GLACIER_IR' WHEN 1 THEN NULL ELSE 'STANDARD' END AS storage_class",
             )
 
+        reserved = ", ".join(f"'{key}'" for key in BACKUP_ONLY_KEYS)
         own = (
             self.objects.select("source_alias").distinct()
-            .select("source_alias", F.explode(F.array(*map(F.lit, BACKUP_ONLY_KEYS))).alias("key"))
-            .select(
-                F.lit(TODAY).alias("dt"),
+            .selectExpr("source_alias", f"explode(array({reserved})) AS key")
+            .selectExpr(
+                f"'{TODAY}' AS dt",
                 "source_alias",
-                F.lit("backup").alias("side"),
-                F.concat(F.lit("bb-"), "source_alias").alias("bucket"),
+                "'backup' AS side",
+                "concat('bb-', source_alias) AS bucket",
                 "key",
-                F.lit(True).alias("is_latest"),
-                F.lit(False).alias("is_delete_marker"),
-                F.lit(10).cast("bigint").alias("size"),
-                F.lit("2024-01-30 00:00:00").cast("timestamp").alias("last_modified_date"),
-                F.md5("key").alias("e_tag"),
-                F.lit("STANDARD").alias("storage_class"),
+                "true AS is_latest",
+                "false AS is_delete_marker",
+                "10L AS size",
+                "TIMESTAMP '2024-01-30 00:00:00' AS last_modified_date",
+                "md5(key) AS e_tag",
+                "'STANDARD' AS storage_class",
             )
         )
-        return self._per_dt(snapshot).unionByName(own)
+        return self._per_dt(snapshot).union(own)
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return self.source.unionByName(self.backup)
+        """The stored inventory of both sides, derived and written once per application."""
+        known = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if known not in _stored:
+            table = f"inventory_{len(_stored)}"
+            store_bucketed(
+                self._derived_source().union(self._derived_backup()),
+                table,
+                work_path(self.spark, table),
+                int(self.spark.conf.get("spark.sql.shuffle.partitions")),
+            )
+            _stored[known] = table
+        return self.spark.table(_stored[known])
+
+    @property
+    def source(self) -> DataFrame:
+        return self.inventory.where(F.col("side") == "source")
+
+    @property
+    def backup(self) -> DataFrame:
+        return self.inventory.where(F.col("side") == "backup")
 
     @cached_property
     def live(self) -> DataFrame:
         """Live listing of the backup buckets: today's snapshot plus keys healed since."""
-        healed = self.objects.where(F.col("h").between(30, 54)).select(
-            "source_alias",
-            F.concat(F.lit("bb-"), "source_alias").alias("bucket"),
-            "key",
-            "size",
-            F.md5("key").alias("e_tag"),
+        healed = self.objects.where("h BETWEEN 30 AND 54").selectExpr(
+            "source_alias", "concat('bb-', source_alias) AS bucket", "key", "size", "md5(key) AS e_tag"
         )
         return (
             self.backup.where(F.col("dt") == TODAY)
             .select("source_alias", "bucket", "key", "size", "e_tag")
-            .unionByName(healed)
+            .union(healed)
         )
 
     @cached_property
     def source_listing(self) -> DataFrame:
         """Live listing of the source buckets: today's current objects."""
-        from stowcheck.operators.snapshots import current
-
         return current(self.source.where(F.col("dt") == TODAY)).select(
             "source_alias", "bucket", "key", "size", "e_tag"
         )
 
     @cached_property
     def checksums(self) -> DataFrame:
-        h, key = F.col("h"), F.col("key")
-        sha = F.md5(F.concat(F.lit("s"), key))
-        source = self.objects.select(
-            F.lit("source").alias("side"), "source_alias", "key",
-            F.when(h % 3 != 0, F.md5(key)).alias("crc64nvme"),
-            F.when(h % 2 == 0, sha).alias("sha256"),
+        source = self.objects.selectExpr(
+            "'source' AS side", "source_alias", "key",
+            "if(h % 3 = 0, NULL, md5(key)) AS crc64nvme",
+            "if(h % 2 = 0, md5(concat('s', key)), NULL) AS sha256",
         )
-        backup = self.objects.select(
-            F.lit("backup").alias("side"), "source_alias", "key",
-            F.when(h % 5 == 0, F.md5(F.concat(key, F.lit("!")))).otherwise(F.md5(key)).alias("crc64nvme"),
-            sha.alias("sha256"),
+        backup = self.objects.selectExpr(
+            "'backup' AS side", "source_alias", "key",
+            "if(h % 5 = 0, md5(concat(key, '!')), md5(key)) AS crc64nvme",
+            "md5(concat('s', key)) AS sha256",
         )
-        return source.unionByName(backup)
+        return source.union(backup)
 
     # --- operations tables -------------------------------------------------------------------
 

@@ -162,25 +162,34 @@ def staleness(runs: DataFrame, by: str, time: str = "ts") -> DataFrame:
 
 
 class PendingRestores(StatefulProcessor):
-    """Per restored table: remember the entry, emit it once when the table is ACTIVE."""
+    """Per restored table: keep the entry until the table is ACTIVE, then emit it once.
+
+    What is waiting never expires. Of a completed table only a flag stays, to swallow repeated
+    reports of it; restored tables have names of their own, so this is one flag per restore.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState(
-            "restore", "restore_arn string, source string, active boolean, emitted boolean"
+        self._waiting = handle.getValueState(
+            "waiting", "restore_arn string, source string, active boolean"
         )
+        self._done = handle.getValueState("done", "done boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self._state.get() if self._state.exists() else (None, None, False, False)
-        arn, source, active, emitted = known
+        if self._done.exists():
+            return
+        waiting = self._waiting.get() if self._waiting.exists() else (None, None, False)
+        arn, source, active = waiting
         for row in rows:
             if row.restore_arn is not None:
                 arn, source = row.restore_arn, row.source
             active = active or row.table_status == "ACTIVE"
-        if active and arn is not None and not emitted:
-            emitted = True
+        if active and arn is not None:
+            self._waiting.clear()
+            self._done.update((True,))
             for event in ("restore_completed", "pitr_reenabled"):
                 yield Row(table_name=key[0], restore_arn=arn, source=source, event_type=event)
-        self._state.update((arn, source, active, emitted))
+        else:
+            self._waiting.update((arn, source, active))
 
     def close(self) -> None:
         pass
