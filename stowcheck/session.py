@@ -19,6 +19,8 @@ SQL_SETTINGS = {
     "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
     # measured on compressed shuffle data, several times smaller than the broadcast table
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "4MB",
+    # the same for sizes estimated from compressed Parquet files
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 

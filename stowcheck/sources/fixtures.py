@@ -1,7 +1,7 @@
 """Inventory, event, job, export and version tables derived from the driver tables.
 
-The inventory is stored once per application in the shared work folder, the way snapshots are
-delivered: partitioned, columnar and bucketed by key. Everything else is derived lazily.
+Inventory, live listing and checksums are stored once per application in the shared work folder,
+the way they are delivered: columnar, partitioned and bucketed by key. The rest is derived lazily.
 """
 
 from collections.abc import Callable
@@ -47,8 +47,8 @@ def _text(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
 
-# (application, data folder) -> name of its stored inventory
-_stored: dict[tuple[str, str], str] = {}
+# (application, data folder, name) -> table it is stored in
+_stored: dict[tuple[str, str, str], str] = {}
 
 
 class Fixtures:
@@ -65,6 +65,16 @@ class Fixtures:
         zone_free = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in zone_free})
 
+    def _store(self, name: str, derive: Callable[[], DataFrame], *partitions: str) -> DataFrame:
+        """A keyed table, derived and written once per application into the work folder."""
+        known = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if known not in _stored:
+            table = f"{name}_{len(_stored)}"
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            store_bucketed(derive(), table, work_path(self.spark, table), buckets, partitions)
+            _stored[known] = table
+        return self.spark.table(_stored[known])
+
     def spread(self, name: str, columns: list[str], by: list[str]) -> DataFrame:
         """A table stored as one file is one row group and would be read by one task: spread it.
 
@@ -155,18 +165,10 @@ class Fixtures:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        """The stored inventory of both sides, derived and written once per application."""
-        known = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if known not in _stored:
-            table = f"inventory_{len(_stored)}"
-            store_bucketed(
-                self._derived_source().union(self._derived_backup()),
-                table,
-                work_path(self.spark, table),
-                int(self.spark.conf.get("spark.sql.shuffle.partitions")),
-            )
-            _stored[known] = table
-        return self.spark.table(_stored[known])
+        """The snapshots of both sides."""
+        return self._store(
+            "inventory", lambda: self._derived_source().union(self._derived_backup()), "dt", "side"
+        )
 
     @property
     def source(self) -> DataFrame:
@@ -179,6 +181,9 @@ class Fixtures:
     @cached_property
     def live(self) -> DataFrame:
         """Live listing of the backup buckets: today's snapshot plus keys healed since."""
+        return self._store("live_listing", self._derived_live)
+
+    def _derived_live(self) -> DataFrame:
         healed = self.objects.where("h BETWEEN 30 AND 54").selectExpr(
             "source_alias", "concat('bb-', source_alias) AS bucket", "key", "size", "md5(key) AS e_tag"
         )
@@ -197,6 +202,9 @@ class Fixtures:
 
     @cached_property
     def checksums(self) -> DataFrame:
+        return self._store("checksums", self._derived_checksums, "side")
+
+    def _derived_checksums(self) -> DataFrame:
         source = self.objects.selectExpr(
             "'source' AS side", "source_alias", "key",
             "if(h % 3 = 0, NULL, md5(key)) AS crc64nvme",

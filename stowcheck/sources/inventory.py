@@ -1,5 +1,7 @@
 """Stored inventories and object listings."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,25 +31,22 @@ def write_inventory(inventory: DataFrame, root: str) -> None:
     )
 
 
-def store_bucketed(inventory: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
-    """Store snapshots for repeated reconciliation, bucketed and sorted by (source_alias, key).
+def store_bucketed(
+    df: DataFrame, table: str, path: str, buckets: int, partitions: Sequence[str] = ("dt", "side")
+) -> DataFrame:
+    """Store keyed rows for repeated reconciliation, bucketed and sorted by (source_alias, key).
 
-    Joins and aggregations on those two columns then need no shuffle. Directories are split by
-    (dt, side) only, so the files per snapshot are ``buckets``, however many sources there are; a
-    filter on one source skips row groups, as files are sorted by it. Choose ``buckets`` like the
-    number of shuffle partitions: one task reads one bucket.
+    Joins and aggregations on those two columns then need no shuffle and no sort. Directories are
+    split by (dt, side) only, so the files per snapshot are ``buckets``, however many sources there
+    are; a filter on one source skips row groups, as files are sorted by it. Choose ``buckets`` like
+    the number of shuffle partitions: one task reads one bucket.
     """
     by = ["source_alias", "key"]
-    (
-        inventory.repartition(buckets, *by)
-        .write.mode("overwrite")
-        .partitionBy("dt", "side")
-        .bucketBy(buckets, *by)
-        .sortBy(*by)
-        .option("path", path)
-        .saveAsTable(table)
-    )
-    return inventory.sparkSession.table(table)
+    writer = df.repartition(buckets, *by).write.mode("overwrite").option("path", path)
+    if partitions:
+        writer = writer.partitionBy(*partitions)
+    writer.bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
