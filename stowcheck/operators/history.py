@@ -130,9 +130,9 @@ def purge_batches(orphans: DataFrame, batch_size: int = PURGE_BATCH_SIZE) -> Dat
     orphans are found once.
     """
     groups = ["source_alias", "hash_group"]
-    spread = orphans.select(
-        "source_alias", "key", F.left(F.md5("key"), F.lit(3)).alias("hash_group")
-    ).repartition(*groups)
+    # never NULL, so that the join below adds no filter to one of the two branches only
+    group = F.coalesce(F.left(F.md5("key"), F.lit(3)), F.lit(""))
+    spread = orphans.select("source_alias", "key", group.alias("hash_group")).repartition(*groups)
     before = Window.partitionBy("source_alias").orderBy("hash_group").rowsBetween(
         Window.unboundedPreceding, -1
     )

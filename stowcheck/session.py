@@ -37,6 +37,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .appName("stowcheck")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs more than building the queries
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .getOrCreate()
     )
