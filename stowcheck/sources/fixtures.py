@@ -5,14 +5,14 @@ the way they are delivered: columnar, partitioned and bucketed by key. The rest
 """
 
 from collections.abc import Callable
-from functools import cache, cached_property
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowcheck.operators.snapshots import current
 from stowcheck.session import work_path
-from stowcheck.sources.inventory import store_bucketed
+from stowcheck.sources.inventory import list_files, store_bucketed
 
 TODAY = "2024-01-30-01-00"
 YESTERDAY = "2024-01-29-01-00"
@@ -57,24 +57,33 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
-    @cache
     def table(self, name: str) -> DataFrame:
         """A driver table; its zone-free timestamps are UTC and become ``timestamp``."""
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        zone_free = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
-        return df.withColumns({c: F.col(c).cast("timestamp") for c in zone_free})
+        if name not in self._tables:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            zone_free = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
+            self._tables[name] = df.withColumns({c: F.col(c).cast("timestamp") for c in zone_free})
+        return self._tables[name]
 
     def _store(self, name: str, derive: Callable[[], DataFrame], *partitions: str) -> DataFrame:
         """A keyed table, derived and written once per application into the work folder."""
         known = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if known not in _stored:
-            table = f"{name}_{len(_stored)}"
-            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            store_bucketed(derive(), table, work_path(self.spark, table), buckets, partitions)
+            path = work_path(self.spark, name)
+            table = path.rsplit("/", 1)[-1].replace("-", "_")
+            store_bucketed(derive(), table, path, self._buckets(), partitions)
             _stored[known] = table
         return self.spark.table(_stored[known])
 
+    def _buckets(self) -> int:
+        """One bucket per 128 MB of input; at least one per core, at most the shuffle partitions."""
+        files = list_files(self.spark, f"{self.sf_dir}/lineitem.parquet")
+        size = files.agg(F.sum("size")).first()[0] or 0
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return min(most, max(self.spark.sparkContext.defaultParallelism, size >> 27))
+
     def spread(self, name: str, columns: list[str], by: list[str]) -> DataFrame:
         """A table stored as one file is one row group and would be read by one task: spread it.
 
