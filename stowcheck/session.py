@@ -21,6 +21,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "4MB",
     # the same for sizes estimated from compressed Parquet files
     "spark.sql.sources.fileCompressionFactor": "4.0",
+    # Python data sources are asked which filters they apply themselves
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 
