@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowcheck.llm import decontaminate, line_dedup, lm_scoring, minhash, mixing, quality, toxicity, url_filter, warc
+from stowcheck.llm import decontaminate, line_dedup, lm_scoring, minhash, mixing, quality, substring_dedup, toxicity, url_filter, warc
 from stowcheck.llm.tables import read_table, ship_code, stored
 from stowcheck.session import configure, work_path
 
@@ -93,6 +93,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 40 words or more that an earlier document has too, exactly or nearly."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.repeated_passages(docs)
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base and model score of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -144,7 +150,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_minhash_dedup, op3_quality_rules, op4_line_dedup, op5_warc, op7_lm_scoring, op8_decontamination, op9_toxicity, op10_mixing)
+    f.__name__: f for f in (op1_url_filter, op2_minhash_dedup, op3_quality_rules, op4_line_dedup, op5_warc, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_toxicity, op10_mixing)
 }
 
 
