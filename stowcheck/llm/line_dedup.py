@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowcheck.llm.words import SPACE, text_digest
+from stowcheck.llm.words import SPACE, rows_where, text_digest
 
 LINES = 3
 
@@ -72,5 +72,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with cleaned texts; a document that loses all its lines is removed."""
     done = dedup_lines(docs, text, doc_id)
-    done = done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    done = rows_where(done, (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return done.select(*[F.col("text").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns])

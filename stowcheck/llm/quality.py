@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowcheck.llm.words import word_array
+from stowcheck.llm.words import rows_where, word_array
 
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -193,4 +193,4 @@ def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their columns."""
-    return quality(docs, text).where("kept").select("doc.*")
+    return rows_where(quality(docs, text), F.col("kept")).select("doc.*")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # white space of the word pattern [^\x20\x09-\x0D]+; bytes.split() splits on the same six characters
@@ -63,3 +63,13 @@ def text_digest(text: Column) -> Column:
 def unit_hash(seed: int, *columns: Column) -> Column:
     """A repeatable number in (0, 1)."""
     return (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def rows_where(df: DataFrame, flag: Column) -> DataFrame:
+    """``df`` where ``flag`` holds, decided after its columns are computed.
+
+    A filter would be pushed below them, with their expressions written out in place of their names, and
+    array expressions would then be computed anew for every element of another one.
+    """
+    name = "_kept_row"
+    return df.select("*", F.explode(F.when(flag, F.array(F.lit(True)))).alias(name)).drop(name)
