@@ -114,12 +114,15 @@ def tiering_delta(source: DataFrame, warm_share: float = 0.01) -> DataFrame:
 
 
 def export_cost(exports: DataFrame, table_sizes: DataFrame, rate: float = EXPORT_RATE) -> DataFrame:
-    """Fees per table and month. Exports are counted before the sizes are joined on."""
+    """Fees per table and month; NULL where the table's size isn't known.
+
+    Exports are counted before the sizes are joined on.
+    """
     counted = (
         exports.where(F.col("status") == "COMPLETED")
         .groupBy("table_name", F.date_format("export_time", "yyyy-MM").alias("month"))
         .agg(F.count("*").alias("exports"))
     )
-    return counted.join(table_sizes, "table_name").withColumn(
+    return counted.join(table_sizes, "table_name", "left").withColumn(
         "fee_nzd", F.col("exports") * gigabytes(F.col("bytes")) * F.lit(rate)
     )

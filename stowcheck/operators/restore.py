@@ -100,12 +100,11 @@ def restore_verify(
     checksums: DataFrame,
     expected_side: str = "backup",
     restored_side: str = "source",
-    bounded: bool = True,
+    bounded: bool = False,
 ) -> DataFrame:
     """Compare restored copies with their originals: same-algorithm checksum, else the tag.
 
-    ``bounded``: the sample has a fixed number of rows per source (see ``rows_of_sample``); pass
-    False to verify a whole backup.
+    ``bounded``: the sample has a fixed number of rows per source (see ``rows_of_sample``).
     """
     restored = rows_of_sample(restored, sample, KEY, bounded)
     checksums = rows_of_sample(checksums, sample, KEY, bounded)
@@ -171,7 +170,7 @@ def restore_test_overall(results: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def head_check(sample: DataFrame, live: DataFrame, bounded: bool = True) -> DataFrame:
+def head_check(sample: DataFrame, live: DataFrame, bounded: bool = False) -> DataFrame:
     """How many sampled missing keys exist live by now, with the note's tag."""
     found = rows_of_sample(live.select(*KEY), sample, KEY, bounded).distinct()
     checked = sample.select(*KEY).join(found.withColumn("_live", F.lit(True)), KEY, "left")

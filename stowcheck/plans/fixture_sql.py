@@ -195,13 +195,10 @@ def with_views(sql: str) -> str:
                 visit(body)
 
     visit(sql)
-    if not needed:
-        return sql
-    ctes = ", ".join(f"{name} AS ({VIEWS[name].strip()})" for name in VIEWS if name in needed)
-    body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes}, {body[5:]}"
-    return f"WITH {ctes} {body}"
+    # materialised, so that a row limit around the query isn't planned into its joins
+    ctes = [f"{name} AS ({VIEWS[name].strip()})" for name in VIEWS if name in needed]
+    ctes.append(f"_out AS MATERIALIZED ({sql.strip().rstrip(';')})")
+    return f"WITH {', '.join(ctes)} SELECT * FROM _out"
 
 
 def _mentions(text: str, name: str) -> bool:

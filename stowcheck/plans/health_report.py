@@ -53,7 +53,7 @@ def restore_results(inputs: ReportInputs, sample_size: int = RESTORE_SAMPLE_SIZE
     )
     backup = snapshots.backup_side(inputs.inventory, inputs.today).join(due, "source_alias", "left_semi")
     sample = restore.sample_restore_hash(backup, sample_size)
-    verified = restore.restore_verify(sample, inputs.restored, inputs.checksums)
+    verified = restore.restore_verify(sample, inputs.restored, inputs.checksums, bounded=True)
     return restore.bucket_results(verified, due)
 
 
@@ -70,7 +70,9 @@ def health_rows(inputs: ReportInputs, freshness_hours: float = FRESHNESS_HOURS)
     divergence = reconcile.divergence_counts(sides, delivered)
     missing = sides.where((F.col("in_backup") == 0) & (F.col("in_source") > 0))
     checked = restore.head_check(
-        reconcile.missing_sample(missing.select("source_alias", "key"), MISSING_SAMPLE_SIZE), inputs.live
+        reconcile.missing_sample(missing.select("source_alias", "key"), MISSING_SAMPLE_SIZE),
+        inputs.live,
+        bounded=True,
     )
     freshness = snapshots.inventory_freshness(inputs.deliveries, inputs.now, freshness_hours)
     delta = snapshots.count_delta(inputs.inventory)

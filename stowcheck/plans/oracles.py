@@ -472,7 +472,7 @@ _SQL = {
           FROM (SELECT source_alias, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(greatest(size, 131072)) AS BIGINT) AS billed_bytes FROM fx_s GROUP BY 1))""",
     "export_cost": f"""SELECT e.table_name, month, exports, bytes, round(exports * (bytes / {GB}) * 0.16::DOUBLE, 6) AS fee_nzd
         FROM (SELECT table_name, strftime(export_time, '%Y-%m') AS month, count(*) AS exports FROM fx_export WHERE status = 'COMPLETED' GROUP BY 1, 2) e
-        JOIN (SELECT concat('table-', CAST(user_id % 12 AS VARCHAR)) AS table_name, count(*) * 1048576 AS bytes FROM events GROUP BY 1) z ON z.table_name = e.table_name""",
+        LEFT JOIN (SELECT concat('table-', CAST(user_id % 12 AS VARCHAR)) AS table_name, count(*) * 1048576 AS bytes FROM events GROUP BY 1) z ON z.table_name = e.table_name""",
     # streaming
     "stream_event_log": "SELECT event_id, ts, source, event_type, strftime(ts, '%Y-%m') AS month FROM fx_event_log",
     "stream_alarms": f"""SELECT event_id, ts, name, state, CASE state WHEN 'ALARM' THEN 'red' WHEN 'OK' THEN 'green' ELSE 'blue' END AS severity,

@@ -362,20 +362,20 @@ def mutation_run_match(fx):
 @query
 def head_check(fx):
     sample = reconcile.missing_sample(reconcile.missing_keys(_source(fx), _backup(fx)))
-    return restore.head_check(sample, fx.live)
+    return restore.head_check(sample, fx.live, bounded=True)
 
 
 @query
 def restore_verify(fx):
     sample = restore.sample_restore_hash(_backup(fx), 200)
-    return restore.restore_verify(sample, fx.source_listing, fx.checksums)
+    return restore.restore_verify(sample, fx.source_listing, fx.checksums, bounded=True)
 
 
 @query
 def restore_verify_all(fx):
     """The whole restorable backup instead of a sample."""
     everything = restore.restorable(_backup(fx)).select("source_alias", "key", "e_tag", "size")
-    return restore.restore_verify(everything, fx.source_listing, fx.checksums, bounded=False)
+    return restore.restore_verify(everything, fx.source_listing, fx.checksums)
 
 
 @query
@@ -487,7 +487,7 @@ def report_overall(fx):
 
 def _bucket_results(fx: Fixtures) -> DataFrame:
     sample = restore.sample_restore_hash(_backup(fx), 200)
-    verified = restore.restore_verify(sample, fx.source_listing, fx.checksums)
+    verified = restore.restore_verify(sample, fx.source_listing, fx.checksums, bounded=True)
     return restore.bucket_results(verified, fx.registry)
 
 

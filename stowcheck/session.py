@@ -21,6 +21,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "4MB",
     # the same for sizes estimated from compressed Parquet files
     "spark.sql.sources.fileCompressionFactor": "4.0",
+    # streaming state beside the heap, for all streams
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Python data sources are asked which filters they apply themselves
     "spark.sql.python.filterPushdown.enabled": "true",
 }
@@ -62,9 +64,9 @@ def work_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_root.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="stowcheck-")
-    )
+    if context.applicationId not in _local_root:
+        _local_root[context.applicationId] = tempfile.mkdtemp(prefix="stowcheck-")
+    return _local_root[context.applicationId]
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -78,11 +78,10 @@ class Fixtures:
         return self.spark.table(_stored[known])
 
     def _buckets(self) -> int:
-        """One bucket per 128 MB of input; at least one per core, at most the shuffle partitions."""
+        """One bucket per 128 MB of input; at least one per core."""
         files = list_files(self.spark, f"{self.sf_dir}/lineitem.parquet")
         size = files.agg(F.sum("size")).first()[0] or 0
-        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return min(most, max(self.spark.sparkContext.defaultParallelism, size >> 27))
+        return max(self.spark.sparkContext.defaultParallelism, size >> 27)
 
     def spread(self, name: str, columns: list[str], by: list[str]) -> DataFrame:
         """A table stored as one file is one row group and would be read by one task: spread it.
@@ -91,7 +90,7 @@ class Fixtures:
         start from the same spread read the file once.
         """
         df = self.table(name)
-        if len(df.inputFiles()) > 1:
+        if not list_files(self.spark, f"{self.sf_dir}/{name}.parquet").offset(1).isEmpty():
             return df
         return df.select(*columns).repartition(self.spark.sparkContext.defaultParallelism, *by)
 

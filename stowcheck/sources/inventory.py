@@ -14,15 +14,20 @@ def read_inventory(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schemas.INVENTORY).parquet(root)
 
 
-def write_inventory(inventory: DataFrame, root: str) -> None:
+def write_inventory(inventory: DataFrame, root: str, rows_per_file: int = 2_000_000) -> None:
     """Write snapshots, replacing only the partitions present in ``inventory``.
 
-    Rows are spread by key within a partition, so a source with a third of all rows is written by
-    many tasks; sorting by key narrows the row-group ranges that key filters have to read.
+    Each snapshot is spread by key over as many groups as ``rows_per_file`` asks for, so a source with a
+    third of all rows is written by as many tasks as it is large; sorting by key narrows the row-group
+    ranges that key filters have to read.
     """
     parts = schemas.INVENTORY_PARTITIONS
+    sizes = inventory.groupBy(*parts).agg(F.ceil(F.count("*") / rows_per_file).alias("_groups"))
+    # one row per stored snapshot
+    sized = inventory.join(F.broadcast(sizes), list(parts))
     (
-        inventory.repartition(*parts, F.pmod(F.xxhash64("key"), F.lit(64)))
+        sized.repartition(*parts, F.pmod(F.xxhash64("key"), F.col("_groups")))
+        .drop("_groups")
         .sortWithinPartitions(*parts, "key")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

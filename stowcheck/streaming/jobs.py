@@ -22,18 +22,13 @@ from stowcheck.functions.times import event_month
 from stowcheck.sources.events import TIME_FORMAT
 
 WATERMARK = "1 hour"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, time: str = "ts") -> DataFrame:
     """Stream of one table's Parquet files; the schema is that of the stored table."""
     schema: StructType = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(folder)
-    )
+    # one file, or a folder of any number of files; a path without a pattern would have to be a folder
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
     return stream.withColumn(time, F.col(time).cast("timestamp"))
 
 
@@ -43,27 +38,25 @@ def run_to_end(
     checkpoint: str,
     file_format: str = "parquet",
     partition: str | None = None,
-    timeout_seconds: int = 600,
+    timeout_seconds: int | None = None,
 ) -> StreamingQuery:
-    """Process everything available into a file sink and stop. State lives in RocksDB."""
-    spark = stream.sparkSession
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
-        writer = (
-            stream.writeStream.format(file_format)
-            .outputMode("append")
-            .option("checkpointLocation", checkpoint)
-            .option("timestampFormat", TIME_FORMAT)
-            .trigger(availableNow=True)
-        )
-        if partition:
-            writer = writer.partitionBy(partition)
-        query = writer.start(path)
-        finished = query.awaitTermination(timeout_seconds)
-    finally:
-        spark.conf.set(STATE_STORE, before)
-    if not finished:
+    """Process everything available into a file sink and stop, however long it takes.
+
+    State lives in RocksDB (see ``SQL_SETTINGS``). With ``timeout_seconds`` a longer run is stopped and raises.
+    """
+    writer = (
+        stream.writeStream.format(file_format)
+        .outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .option("timestampFormat", TIME_FORMAT)
+        .trigger(availableNow=True)
+    )
+    if partition:
+        writer = writer.partitionBy(partition)
+    query = writer.start(path)
+    if timeout_seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_seconds):
         query.stop()
         raise TimeoutError(f"stream did not finish within {timeout_seconds} s")
     return query

@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from stowcheck.streaming import jobs
 
 
@@ -75,3 +77,16 @@ def test_alarms(spark):
     got = {r.event_id: (r.title, r.severity, len(r.reason)) for r in jobs.delivered_alarms(df).collect()}
     assert got == {1: ("n → ALARM", "red", 1024), 4: ("m → (unknown)", "blue", 0), 5: ("q → ODD", "blue", 0)}
     assert jobs.alarm_counts(df).collect()[0].asDict() == {"delivered": 3, "skipped": 2}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_file_stream_reads_a_table_of_one_or_many_files(spark, tmp_path, files):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    if files == 1:
+        folder = SF
+    else:
+        folder = str(tmp_path / "sf")
+        events.repartition(files).write.parquet(f"{folder}/events.parquet")
+    out = str(tmp_path / "out")
+    jobs.run_to_end(jobs.file_stream(spark, folder, "events"), out, str(tmp_path / "ck"), timeout_seconds=120)
+    assert spark.read.parquet(out).count() == events.count() > 0
