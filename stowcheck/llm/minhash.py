@@ -8,7 +8,8 @@ Survivors are verified on their full sets. Components come from verified links a
 No bucket is expanded into all its pairs. First every member meets the bucket's leader, which settles groups
 of copies in one pass over them. Members that are then still outside the leader's component meet the rest of
 the bucket in blocks of bounded size; a block hands on only pairs that may link different components, the
-likeliest first, and after the last round every one of them has been verified.
+likeliest first. Members still outside after that meet the bucket once more, with full sets at hand, and every
+remaining pair is verified in its block; only links leave it.
 
 Defined results: NULL, empty and word-less texts have an empty set and are linked with nothing; a text with
 fewer words than a shingle is one shingle; repeated rows form one class; a NULL id is never the smallest;
@@ -32,8 +33,8 @@ from stowcheck.llm.tables import stored
 from stowcheck.llm.words import lower_words, mixed, text_digest, window_hashes, word_hashes
 
 BLOCK = 512
-# ranks of a member's candidates in a block that each round verifies
-RANKS = ((0, 4), (4, None))
+# candidates of a member in a block that are verified by joining sets; all others are verified in the block
+LIKELIEST = 4
 # bands compared at a time
 BATCH = 6
 
@@ -162,8 +163,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
             kept = []
             for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = np.intersect1d(x, y, assume_unique=True).size
-                kept.append(100 * common >= plan.percent * (len(x) + len(y) - common))
+                kept.append(_similar(x, y, plan))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     one, two = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
@@ -171,9 +171,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return both.mapInArrow(verify, "a bigint, b bigint")
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, plan: Plan, ranks: tuple[int, int | None]) -> DataFrame:
-    """Pairs of different components that still may be links, by rank of their matches in a block.
+def _similar(x: np.ndarray, y: np.ndarray, plan: Plan) -> bool:
+    if 100 * min(len(x), len(y)) < plan.percent * max(len(x), len(y)):
+        return False
+    common = np.intersect1d(x, y, assume_unique=True).size
+    return 100 * common >= plan.percent * (len(x) + len(y) - common)
 
+
+def _open_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, plan: Plan, sets: DataFrame | None = None) -> DataFrame:
+    """Pairs of different components that may be links: of each member the likeliest in a block.
+
+    With ``sets`` it is all those whose full sets reach the threshold, one for each component at most.
     ``members``: bucket, band, leader, rep. Members outside the leader's component meet all members of the
     bucket, in blocks of about BLOCK x BLOCK rows.
     """
@@ -185,15 +193,16 @@ def _open_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, plan: Pl
         "bucket", F.ceil(F.col("n_open") / BLOCK).alias("open_blocks"), F.ceil(F.col("n_all") / BLOCK).alias("all_blocks")
     )
     known = known.join(sizes, "bucket").join(sigs.toDF("rep", "sig"), "rep")
+    known = known.withColumn("set", F.lit(None).cast("binary")) if sets is None else known.join(sets.toDF("rep", "set"), "rep")
     mine, theirs = F.pmod(F.xxhash64("rep"), F.col("open_blocks")), F.pmod(F.xxhash64("rep"), F.col("all_blocks"))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-    base = ["bucket", "band", "rep", "own", "open", "sig"]
+    base = ["bucket", "band", "rep", "own", "open", "sig", "set"]
     one = known.where("open = 1").select(*base, mine.alias("i"), every("all_blocks").alias("j"), F.lit(0).alias("side"))
     two = known.select(*base, every("open_blocks").alias("i"), theirs.alias("j"), F.lit(1).alias("side"))
     block = ["bucket", "i", "j"]
     # groups are cut out of sorted rows: most have a few rows, too few to be worth a call each
     rows = one.union(two).repartition(*block).sortWithinPartitions(*block, "side", "rep")
-    needed, (low, high) = np.array(plan.needed(), np.int32), ranks
+    needed, verify = np.array(plan.needed(), np.int32), sets is not None
 
     def compare(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         n_open = int((block["side"].to_numpy() == 0).sum())
@@ -202,6 +211,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, plan: Pl
         band = block["band"][0].as_py()
         theirs, names, labels, is_open = sigs[n_open:], ids[n_open:], comps[n_open:], opens[n_open:]
         found_a, found_b = [], []
+        full = [np.frombuffer(v.as_buffer(), np.uint64) for v in block["set"]] if verify else []
         for k in range(n_open):
             # a pair of two open members is met from the smaller one
             alive = np.flatnonzero((is_open == 0) | (names > ids[k]))
@@ -216,13 +226,25 @@ def _open_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, plan: Pl
                 # a pair that shares an earlier band is met there
                 go_on &= ~(equal[:, : max(0, band - at)] == plan.rows).any(axis=1)
                 alive = alive[go_on]
-            alive = alive[np.lexsort((names[alive], -matches[alive]))][low:high]
+            alive = alive[np.lexsort((names[alive], -matches[alive]))]
             alive = alive[labels[alive] != comps[k]]
+            if verify:
+                alive = linked(alive, labels, full[k], full[n_open:])
+            else:
+                alive = alive[:LIKELIEST]
             found_a.append(np.full(len(alive), ids[k], np.int64))
             found_b.append(names[alive])
         none = [np.zeros(0, np.int64)]
         return np.concatenate(found_a or none), np.concatenate(found_b or none)
 
+    def linked(alive: np.ndarray, labels: np.ndarray, own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        met, kept = set(), []
+        for i in alive.tolist():
+            if labels[i] not in met and _similar(own, others[i], plan):
+                met.add(labels[i])
+                kept.append(i)
+        return np.array(kept, np.int64)
+
     def compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
@@ -272,12 +294,11 @@ def _components(docs: DataFrame, plan: Plan, text: str, doc_id: str) -> DataFram
     to_leader = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = stored(_verified(_pruned(to_leader, sigs, plan), sets, plan), "links")
     labels = joined_labels(labels, links)
-    for ranks in RANKS:
-        pairs = stored(_open_pairs(members, labels, sigs, plan, ranks).distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = stored(_verified(pairs, sets, plan), "links")
-        labels = joined_labels(labels, links)
+    pairs = stored(_open_pairs(members, labels, sigs, plan).distinct(), "pairs")
+    if not pairs.isEmpty():
+        labels = joined_labels(labels, stored(_verified(pairs, sets, plan), "links"))
+        # members without a candidate of another component meet nothing anew here
+        labels = joined_labels(labels, stored(_open_pairs(members, labels, sigs, plan, sets).distinct(), "links"))
 
     labelled = owned.join(labels, owned["rep"] == labels["node"], "left")
     labelled = labelled.select("doc_id", "text_key", "n", F.coalesce("label", scrambled(F.coalesce("rep", "rid"))).alias("label"))
