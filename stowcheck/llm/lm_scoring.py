@@ -34,7 +34,7 @@ from stowcheck.llm.words import lower_words
 
 DEPTH = 5
 END = b"\n"
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 FLUSH = 400_000
 DEPTH_SHIFT = 56
 
@@ -202,12 +202,12 @@ class Table:
     """Open addressing over numpy arrays; built where it is used."""
 
     def __init__(self, codes: np.ndarray, values: np.ndarray):
-        self.codes, self.values, self.slots = codes.astype(np.uint64), values.astype(np.float32), None
+        self.codes, self.values, self.slots = codes, values, None
 
     def _build(self) -> None:
         self.bits = max(4, int(2 * len(self.codes)).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
-        left, at = np.arange(len(self.codes)), self._home(self.codes)
+        left, at = np.arange(len(self.codes), dtype=np.int32), self._home(self.codes)
         while len(left):
             free = self.slots[at] < 0
             self.slots[at[free]] = left[free]
@@ -234,10 +234,30 @@ class Table:
         return out
 
 
+class SortedTable:
+    """Binary search: slower than ``Table``, but nothing beside the codes and values is held."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        """``parts`` in the order of their codes; each is sorted alone, so that copies stay small."""
+        codes, values = [], []
+        while parts:
+            code, value = parts.pop(0)
+            order = np.argsort(code)
+            codes.append(code[order])
+            values.append(value[order])
+        self.codes, self.values = np.concatenate(codes), np.concatenate(values)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.full(len(codes), np.nan, np.float32)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.values[at], np.float32(np.nan))
+
+
 class Model:
-    """One slice of the tree."""
+    """One slice of the tree. Seen grams are looked up by hash; the nodes serve unseen ones only."""
 
-    def __init__(self, grams_: Table, nodes: Table, depth: int, slice_: int, slices: int):
+    def __init__(self, grams_: Table, nodes: SortedTable, depth: int, slice_: int, slices: int):
         self.grams, self.nodes, self.depth, self.slice, self.slices = grams_, nodes, depth, slice_, slices
 
     def score(self, bodies: list[bytes]) -> np.ndarray:
@@ -278,9 +298,9 @@ def slice_of(two_bytes: np.ndarray, slices: int) -> np.ndarray:
     return (two_bytes * np.uint64(40503) & np.uint64(0xFFFF)) % np.uint64(slices)
 
 
-def _table(df: DataFrame) -> Table:
+def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     found = df.select("code", "value").toArrow()
-    return Table(found["code"].to_numpy().astype(np.int64).view(np.uint64), found["value"].to_numpy())
+    return found["code"].to_numpy().view(np.uint64), found["value"].to_numpy()
 
 
 def _head_words(words: DataFrame, max_head: int) -> dict[bytes, int]:
@@ -361,7 +381,10 @@ def score(
         two = F.expr("shiftright(code, 8) & 65535")
         part = (two * 40503).bitwiseAND(0xFFFF) % slices == i
         own = nodes.where((F.col("depth") < 2) | part), logs.where(part)
-        model = context.broadcast(Model(_table(own[1]), _table(own[0]), depth, i, slices))
+        # codes start with their depth
+        by_depth = SortedTable([_collected(own[0].where(F.col("depth") == d)) for d in range(depth + 1)])
+        model = context.broadcast(Model(Table(*_collected(own[1])), by_depth, depth, i, slices))
+        del by_depth
         scored = _add_scores(scored, model)
     # texts go no further: the scores are stored with the row numbers of this very pass
     split_rows = scored.mapInArrow(_with_scores(split), f"rid bigint, doc {kind}, word binary, n_tokens bigint, n_known bigint, value double, score double")
