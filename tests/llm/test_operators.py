@@ -196,9 +196,9 @@ def test_lm_scores(spark, docs, rows):
     total = sum(counts.values())
     divisor = total + 0.5 * (len(counts) + 1)
     want = sorted(round(sum(math.log10((counts[w] + 0.5) / divisor) for w in [*lower_words(r.text), b"\n"]), 4) for r in rows)
-    one = score(docs, train, max_head=50).collect()
+    one = score(docs, train, depth=2, max_head=50).collect()
     assert sorted(round(r.base_score, 4) for r in one) == pytest.approx(want)
     assert {r.train_tokens for r in one} == {total} and all(r.score < 0 for r in one)
     # slices change nothing
-    two = score(docs, train, max_nodes=30_000).collect()
+    two = score(docs, train, depth=2, max_nodes=3_000).collect()
     assert sorted(r.score for r in two) == pytest.approx(sorted(r.score for r in one))
