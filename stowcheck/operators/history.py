@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowcheck.constants import PURGE_BATCH_SIZE, VERSION_RETENTION_DAYS
-from stowcheck.operators.toolkit import carry_last, latest_per_group, neighbour
+from stowcheck.operators.toolkit import BUCKET, KEY, carry_last, latest_per_group, neighbour
 
 ORDER = ["last_modified", "version_id"]
 
@@ -122,18 +122,18 @@ def mutation_run_match(versions: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def purge_batches(orphans: DataFrame, batch_size: int = PURGE_BATCH_SIZE) -> DataFrame:
-    """Cut each source's orphans into batches of exactly ``batch_size`` keys (the last is shorter).
+    """Cut each bucket's orphans into batches of exactly ``batch_size`` keys (the last is shorter).
 
     Keys are spread over 4096 hash groups, numbered inside their group, and shifted by the rows of
-    the groups before it: no task sees a whole source, and a retried task repeats its numbers. The
-    offsets are 4096 rows per source at most. Numbers and offsets read the same shuffle, so the
+    the groups before it: no task sees a whole bucket, and a retried task repeats its numbers. The
+    offsets are 4096 rows per bucket at most. Numbers and offsets read the same shuffle, so the
     orphans are found once.
     """
-    groups = ["source_alias", "hash_group"]
+    groups = [*BUCKET, "hash_group"]
     # never NULL, so that the join below adds no filter to one of the two branches only
     group = F.coalesce(F.left(F.md5("key"), F.lit(3)), F.lit(""))
-    spread = orphans.select("source_alias", "key", group.alias("hash_group")).repartition(*groups)
-    before = Window.partitionBy("source_alias").orderBy("hash_group").rowsBetween(
+    spread = orphans.select(*KEY, group.alias("hash_group")).repartition(*groups)
+    before = Window.partitionBy(*BUCKET).orderBy("hash_group").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
@@ -146,8 +146,7 @@ def purge_batches(orphans: DataFrame, batch_size: int = PURGE_BATCH_SIZE) -> Dat
         spread.withColumn("_number", F.row_number().over(inside))
         .join(offsets, groups)
         .select(
-            "source_alias",
-            "key",
+            *KEY,
             F.floor(position / batch_size).cast("bigint").alias("batch"),
             (position % batch_size).alias("position"),
         )

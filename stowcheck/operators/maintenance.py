@@ -4,12 +4,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowcheck.functions.objects import needs_copy_strict
+from stowcheck.operators.toolkit import BUCKET, KEY, per_source
 
-KEY = ["source_alias", "key"]
 
-
-def _synced(source: DataFrame, backup: DataFrame, full_sync: bool) -> DataFrame:
-    """Both sides of every key as structs, with whether the source row is copied."""
+def _synced(source: DataFrame, backup: DataFrame, registry: DataFrame, full_sync: bool) -> DataFrame:
+    """Both sides of every key as structs, its backup bucket, and whether the source row is copied."""
     fields = ["bucket", "size", "e_tag", "last_modified_date"]
     ours = source.select(*KEY, F.struct(*fields).alias("s"))
     copies = backup.select(*KEY, F.struct(*fields).alias("b"))
@@ -21,12 +20,13 @@ def _synced(source: DataFrame, backup: DataFrame, full_sync: bool) -> DataFrame:
         F.col("b.e_tag"),
         full_sync,
     )
-    return ours.join(copies, KEY, "full").withColumn("copied", copy)
+    pairs = per_source(registry.select(*BUCKET, "backup_bucket"))
+    return ours.join(copies, KEY, "full").join(pairs, BUCKET, "left").withColumn("copied", copy)
 
 
 def _new_row(run_at: Column) -> Column:
     return F.struct(
-        F.coalesce("b.bucket", F.concat(F.lit("bb-"), "source_alias")).alias("bucket"),
+        F.coalesce("b.bucket", "backup_bucket").alias("bucket"),
         F.col("s.size").alias("size"),
         F.col("s.e_tag").alias("e_tag"),
         run_at.alias("last_modified_date"),
@@ -34,19 +34,22 @@ def _new_row(run_at: Column) -> Column:
 
 
 def apply_sync(
-    source: DataFrame, backup: DataFrame, run_at: Column, full_sync: bool = False
+    source: DataFrame, backup: DataFrame, registry: DataFrame, run_at: Column, full_sync: bool = False
 ) -> DataFrame:
-    """The backup's next snapshot: copied rows replace or add; source deletes never propagate."""
+    """The backup's next snapshot: copied rows replace or add; source deletes never propagate.
+
+    ``registry`` (source_alias, label, backup_bucket) names the bucket that new rows go to.
+    """
     row = F.when(F.col("copied"), _new_row(run_at)).otherwise(F.col("b"))
     return (
-        _synced(source, backup, full_sync)
+        _synced(source, backup, registry, full_sync)
         .select(*KEY, row.alias("row"), "copied")
         .select(*KEY, "row.*", "copied")
     )
 
 
 def apply_sync_versions(
-    source: DataFrame, backup: DataFrame, run_at: Column, full_sync: bool = False
+    source: DataFrame, backup: DataFrame, registry: DataFrame, run_at: Column, full_sync: bool = False
 ) -> DataFrame:
     """As ``apply_sync`` on a versioned bucket: an overwritten row stays as a non-current version.
 
@@ -61,7 +64,7 @@ def apply_sync_versions(
         written.last_modified_date.alias("last_modified_date"), F.lit(True).alias("is_latest"),
     ))
     return (
-        _synced(source, backup, full_sync)
+        _synced(source, backup, registry, full_sync)
         .select(*KEY, F.explode(F.array_compact(F.array(kept, new))).alias("row"))
         .select(*KEY, "row.*")
     )

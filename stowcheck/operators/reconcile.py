@@ -1,7 +1,8 @@
 """Source against backup: manifests, divergence, missing and orphaned keys, integrity.
 
-Joins are on (source_alias, key). A snapshot's current rows hold a key once, so a hot source
-spreads evenly over its keys.
+Joins are on (source_alias, label, key): a bucket is compared with its own backup only, and one key may
+stand in several buckets of a source. A snapshot's current rows of a bucket hold a key once, so a hot
+source spreads evenly over its keys. ``with_label`` adds the label to rows that know only their bucket.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,16 @@ from stowcheck.functions.objects import (
     pick_checksum,
 )
 from stowcheck.operators.snapshots import current, without_operational
-from stowcheck.operators.toolkit import first_per_group, per_source
+from stowcheck.operators.toolkit import BUCKET, KEY, first_per_group, per_source
 
-KEY = ["source_alias", "key"]
+
+def with_label(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows (source_alias, bucket, ...) of either side with the label the registry gives their bucket.
+
+    Rows of buckets that aren't registered have no place in a reconciliation and are left out.
+    """
+    sides = registry.select(*BUCKET, F.explode(F.array("source_bucket", "backup_bucket")).alias("bucket"))
+    return rows.join(per_source(sides.distinct()), ["source_alias", "bucket"])
 
 
 def paired(source: DataFrame, backup: DataFrame) -> DataFrame:
@@ -75,7 +83,7 @@ def key_sides(inventory: DataFrame, source_dt: str, backup_dt: str | None = None
 
     Equivalent to a full outer join for everything that only needs keys: rows of a key meet in a
     hash aggregation, partly before the one shuffle, and nothing is sorted. An inventory bucketed by
-    (source_alias, key) needs no shuffle either.
+    (source_alias, label, key) needs no shuffle either.
     """
     side = F.col("side")
     chosen = (side == "source") & (F.col("dt") == source_dt) | (side == "backup") & (
@@ -126,8 +134,8 @@ def orphan_keys(source: DataFrame, backup: DataFrame) -> DataFrame:
 
 
 def missing_sample(missing: DataFrame, n: int = MISSING_SAMPLE_SIZE) -> DataFrame:
-    """The first ``n`` missing keys of every source, by key."""
-    return first_per_group(missing, ["source_alias"], [F.col("key")], n)
+    """The first ``n`` missing keys of every bucket, by key."""
+    return first_per_group(missing, BUCKET, [F.col("key")], n)
 
 
 def key_except(sides: DataFrame) -> DataFrame:

@@ -10,9 +10,7 @@ from stowcheck.constants import RESTORE_SAMPLE_SIZE
 from stowcheck.functions.keys import encode_key, is_operational
 from stowcheck.functions.objects import is_archived, normalize_etag, pick_checksum
 from stowcheck.operators.snapshots import without_operational
-from stowcheck.operators.toolkit import first_per_group, per_source, rows_of_sample
-
-KEY = ["source_alias", "key"]
+from stowcheck.operators.toolkit import BUCKET, KEY, first_per_group, per_source, rows_of_sample
 
 
 def with_prefix(df: DataFrame, prefix: str | None) -> DataFrame:
@@ -68,10 +66,9 @@ def restorable(backup: DataFrame) -> DataFrame:
 
 
 def sample_restore_random(backup: DataFrame, n: int = RESTORE_SAMPLE_SIZE, seed: int | None = None) -> DataFrame:
-    """Random ``n`` restorable objects; fewer give all. A per-task top ``n``, merged at the end."""
-    return (
-        restorable(backup).select(*KEY, "e_tag", "size").orderBy(F.rand(seed)).limit(n)
-    )
+    """Random ``n`` restorable objects of every bucket; fewer give all."""
+    drawn = restorable(backup).select(*KEY, "e_tag", "size", F.rand(seed).alias("_draw"))
+    return first_per_group(drawn, BUCKET, [F.col("_draw"), F.col("key")], n).drop("_draw")
 
 
 def _draw(seed: str) -> Column:
@@ -79,10 +76,10 @@ def _draw(seed: str) -> Column:
 
 
 def sample_restore_hash(backup: DataFrame, n: int = RESTORE_SAMPLE_SIZE, seed: str = "0") -> DataFrame:
-    """Repeatable sample of ``n`` per source, ordered by a seeded hash of the key."""
+    """Repeatable sample of ``n`` per bucket, ordered by a seeded hash of the key."""
     return first_per_group(
         restorable(backup).select(*KEY, "e_tag", "size"),
-        ["source_alias"],
+        BUCKET,
         [_draw(seed), F.col("key")],
         n,
     )

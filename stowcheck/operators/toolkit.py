@@ -5,6 +5,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# a source may have several buckets; ``label`` names a bucket and its backup, as the registry pairs them
+BUCKET = ["source_alias", "label"]
+KEY = [*BUCKET, "key"]
+
 
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of every group.

@@ -3,16 +3,17 @@
 VIEWS = {}
 
 VIEWS["fx_obj"] = """
+SELECT source_alias, label, CASE label WHEN 'main' THEN h ELSE (h + 25) % 1000 END AS h, key, size, last_modified_date FROM (
 SELECT CASE l_orderkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'bravo' WHEN 2 THEN 'charlie' ELSE 'delta' END AS source_alias,
   (l_orderkey*31 + l_linenumber*7 + l_partkey*13 + l_suppkey*3) % 1000 AS h,
   concat(CASE (l_orderkey + l_partkey) % 8 WHEN 0 THEN 'vs30=1000/imt=SA(0.15)/' WHEN 1 THEN 'folder/file 1+' WHEN 2 THEN 'a&b,c%/' WHEN 3 THEN 'é~*/' ELSE 'models/' END,
     CAST(l_orderkey AS VARCHAR(20)),'-',CAST(l_linenumber AS VARCHAR(20)),'-',CAST(l_partkey AS VARCHAR(20)),'-',CAST(l_suppkey AS VARCHAR(20)),'.h5') AS key,
   CAST(l_quantity AS BIGINT) * 4096 AS size, l_shipdate AS last_modified_date
-FROM lineitem
+FROM lineitem) CROSS JOIN (SELECT 'main' AS label UNION ALL SELECT 'extra') WHERE label = 'main' OR (source_alias = 'bravo' AND h % 3 = 0)
 """
 
 VIEWS["fx_src"] = """
-SELECT dt, source_alias, 'source' AS side, concat('src-', source_alias) AS bucket, key,
+SELECT dt, source_alias, 'source' AS side, concat('src-', source_alias, CASE label WHEN 'main' THEN '' ELSE '-extra' END) AS bucket, label, key,
   CASE WHEN source_alias = 'charlie' THEN NULL ELSE h % 200 <> 199 END AS is_latest,
   CASE WHEN source_alias = 'charlie' THEN NULL ELSE h % 200 = 198 END AS is_delete_marker,
   size, last_modified_date, concat(md5(key), CASE WHEN h % 11 = 0 THEN '-2' ELSE '' END) AS e_tag, 'STANDARD' AS storage_class
@@ -21,7 +22,7 @@ WHERE h >= 30 AND (dt = '2024-01-30-01-00' OR h < 990)
 """
 
 VIEWS["fx_bkp"] = """
-SELECT dt, source_alias, 'backup' AS side, concat('bb-', source_alias) AS bucket, key,
+SELECT dt, source_alias, 'backup' AS side, concat('bb-', source_alias, CASE label WHEN 'main' THEN '' ELSE '-extra' END) AS bucket, label, key,
   h % 200 <> 199 AS is_latest, h % 200 = 198 AS is_delete_marker,
   CASE WHEN h BETWEEN 100 AND 109 THEN size + 1 ELSE size END AS size, last_modified_date,
   CASE WHEN h BETWEEN 80 AND 99 THEN md5(concat(key,'#')) WHEN h BETWEEN 110 AND 139 THEN concat(md5(concat(key,'#')),'-2')
@@ -30,9 +31,9 @@ SELECT dt, source_alias, 'backup' AS side, concat('bb-', source_alias) AS bucket
 FROM fx_obj CROSS JOIN (SELECT '2024-01-29-01-00' AS dt UNION ALL SELECT '2024-01-30-01-00') d
 WHERE NOT (h BETWEEN 30 AND 79)
 UNION ALL
-SELECT '2024-01-30-01-00', a.source_alias, 'backup', concat('bb-', a.source_alias), p.key, true, false, CAST(10 AS BIGINT),
+SELECT '2024-01-30-01-00', a.source_alias, 'backup', concat('bb-', a.source_alias, CASE a.label WHEN 'main' THEN '' ELSE '-extra' END), a.label, p.key, true, false, CAST(10 AS BIGINT),
   TIMESTAMP '2024-01-30 00:00:00', md5(p.key), 'STANDARD'
-FROM (SELECT DISTINCT source_alias FROM fx_obj) a
+FROM (SELECT DISTINCT source_alias, label FROM fx_obj) a
 CROSS JOIN (SELECT '_state/last-run.json' AS key UNION ALL SELECT '_manifests/m.csv' UNION ALL SELECT '_batch-reports/r.csv'
   UNION ALL SELECT '_events/2024-01/events.jsonl' UNION ALL SELECT 'xstate/kept.bin') p
 """
@@ -40,15 +41,15 @@ CROSS JOIN (SELECT '_state/last-run.json' AS key UNION ALL SELECT '_manifests/m.
 VIEWS["fx_inventory"] = "SELECT * FROM fx_src UNION ALL SELECT * FROM fx_bkp"
 
 VIEWS["fx_live"] = """
-SELECT source_alias, bucket, key, size, e_tag FROM fx_bkp WHERE dt = '2024-01-30-01-00'
+SELECT source_alias, bucket, label, key, size, e_tag FROM fx_bkp WHERE dt = '2024-01-30-01-00'
 UNION ALL
-SELECT source_alias, concat('bb-', source_alias), key, size, md5(key) FROM fx_obj WHERE h BETWEEN 30 AND 54
+SELECT source_alias, concat('bb-', source_alias, CASE label WHEN 'main' THEN '' ELSE '-extra' END), label, key, size, md5(key) FROM fx_obj WHERE h BETWEEN 30 AND 54
 """
 
 VIEWS["fx_checksum"] = """
-SELECT 'source' AS side, source_alias, key, CASE WHEN h % 3 = 0 THEN NULL ELSE md5(key) END AS crc64nvme, CASE WHEN h % 2 = 0 THEN md5(concat('s',key)) ELSE NULL END AS sha256 FROM fx_obj
+SELECT 'source' AS side, source_alias, label, key, CASE WHEN h % 3 = 0 THEN NULL ELSE md5(key) END AS crc64nvme, CASE WHEN h % 2 = 0 THEN md5(concat('s',key)) ELSE NULL END AS sha256 FROM fx_obj
 UNION ALL
-SELECT 'backup', source_alias, key, CASE WHEN h % 5 = 0 THEN md5(concat(key,'!')) ELSE md5(key) END, md5(concat('s',key)) FROM fx_obj
+SELECT 'backup', source_alias, label, key, CASE WHEN h % 5 = 0 THEN md5(concat(key,'!')) ELSE md5(key) END, md5(concat('s',key)) FROM fx_obj
 """
 
 VIEWS["fx_event_log"] = """
@@ -100,7 +101,7 @@ SELECT * FROM (VALUES ('alpha','src-alpha','bb-alpha','main','111111111111',true
 _ALIAS = "CASE {0} % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'bravo' WHEN 2 THEN 'charlie' ELSE 'delta' END"
 
 VIEWS["fx_src_listing"] = """
-SELECT source_alias, bucket, key, size, e_tag FROM fx_src
+SELECT source_alias, bucket, label, key, size, e_tag FROM fx_src
 WHERE dt = '2024-01-30-01-00' AND (is_latest OR is_latest IS NULL) AND (NOT is_delete_marker OR is_delete_marker IS NULL)
 """
 

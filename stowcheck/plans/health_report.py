@@ -70,7 +70,7 @@ def health_rows(inputs: ReportInputs, freshness_hours: float = FRESHNESS_HOURS)
     divergence = reconcile.divergence_counts(sides, delivered)
     missing = sides.where((F.col("in_backup") == 0) & (F.col("in_source") > 0))
     checked = restore.head_check(
-        reconcile.missing_sample(missing.select("source_alias", "key"), MISSING_SAMPLE_SIZE),
+        reconcile.missing_sample(missing.select("source_alias", "label", "key"), MISSING_SAMPLE_SIZE),
         inputs.live,
         bounded=True,
     )

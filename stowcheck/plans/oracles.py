@@ -19,14 +19,14 @@ _NOT_RESERVED = (
 )
 NOT_RESERVED = _NOT_RESERVED.format("key")
 ENCODED = "replace(url_encode({0}), '%2F', '/')"
-ON_KEY = "s.source_alias = b.source_alias AND s.key = b.key"
+ON_KEY = "s.source_alias = b.source_alias AND s.label = b.label AND s.key = b.key"
 SMART = (
     "b.key IS NULL OR s.size <> b.size "
     "OR (instr(s.e_tag,'-') = 0 AND instr(b.e_tag,'-') = 0 AND s.e_tag <> b.e_tag)"
 )
 STRICT = "b.key IS NULL OR s.e_tag IS DISTINCT FROM b.e_tag OR s.size IS DISTINCT FROM b.size"
 PAIR = (
-    "s.source_alias, s.key, b.key IS NULL AS missing, s.size, b.size AS backup_size, "
+    "s.source_alias, s.label, s.key, b.key IS NULL AS missing, s.size, b.size AS backup_size, "
     "s.e_tag, b.e_tag AS backup_e_tag"
 )
 MANIFEST = (
@@ -34,24 +34,24 @@ MANIFEST = (
     f"FROM fx_s s LEFT JOIN fx_b b ON {ON_KEY} WHERE {SMART}"
 )
 B_CURRENT = f"(SELECT * FROM fx_cur WHERE side = 'backup' AND dt = {TODAY})"
-MISSING = f"(SELECT s.source_alias, s.key FROM fx_s s ANTI JOIN fx_b b ON {ON_KEY})"
+MISSING = f"(SELECT s.source_alias, s.label, s.key FROM fx_s s ANTI JOIN fx_b b ON {ON_KEY})"
 RESTORABLE = (
     "(SELECT * FROM fx_b WHERE storage_class IS NULL OR storage_class NOT IN "
     "('GLACIER','DEEP_ARCHIVE','GLACIER_IR'))"
 )
 SAMPLE = (
-    "(SELECT source_alias, key, e_tag, size FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY source_alias ORDER BY md5(concat('0', key)), key) AS rn FROM {0}) WHERE rn <= {1})"
+    "(SELECT source_alias, label, key, e_tag, size FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY source_alias, label ORDER BY md5(concat('0', key)), key) AS rn FROM {0}) WHERE rn <= {1})"
 ).format(RESTORABLE, "{0}")
 # first checksum in priority order of the two the fixture has
 ALGO = "CASE WHEN {0}crc64nvme <> '' THEN 'ChecksumCRC64NVME' WHEN {0}sha256 <> '' THEN 'ChecksumSHA256' END"
 CVAL = "CASE WHEN {0}crc64nvme <> '' THEN {0}crc64nvme WHEN {0}sha256 <> '' THEN {0}sha256 END"
 CK = (
-    f"(SELECT side, source_alias, key, {ALGO.format('')} AS algo, {CVAL.format('')} AS val FROM fx_checksum)"
+    f"(SELECT side, source_alias, label, key, {ALGO.format('')} AS algo, {CVAL.format('')} AS val FROM fx_checksum)"
 )
 
 INTEGRITY = f"""
-(SELECT s.source_alias, s.key, s.e_tag AS source_etag, b.e_tag AS backup_etag,
+(SELECT s.source_alias, s.label, s.key, s.e_tag AS source_etag, b.e_tag AS backup_etag,
   CASE WHEN b.key IS NULL THEN 'missing_in_backup'
        WHEN cs.algo = cb.algo AND cs.val = cb.val THEN 'verified'
        WHEN instr(s.e_tag,'-') > 0 OR instr(b.e_tag,'-') > 0 THEN 'verified'
@@ -59,13 +59,13 @@ INTEGRITY = f"""
   b.key IS NOT NULL AND coalesce(cs.algo = cb.algo AND cs.val <> cb.val, false) AS checksum_conflict
 FROM (SELECT * FROM fx_src_listing WHERE {NOT_RESERVED}) s
 LEFT JOIN (SELECT * FROM fx_live WHERE {NOT_RESERVED}) b ON {ON_KEY}
-LEFT JOIN {CK} cs ON cs.side = 'source' AND cs.source_alias = s.source_alias AND cs.key = s.key
-LEFT JOIN {CK} cb ON cb.side = 'backup' AND cb.source_alias = s.source_alias AND cb.key = s.key
+LEFT JOIN {CK} cs ON cs.side = 'source' AND cs.source_alias = s.source_alias AND cs.label = s.label AND cs.key = s.key
+LEFT JOIN {CK} cb ON cb.side = 'backup' AND cb.source_alias = s.source_alias AND cb.label = s.label AND cb.key = s.key
 WHERE b.key IS NULL OR s.e_tag <> b.e_tag)
 """
 
 VERIFIED = f"""
-(SELECT s.source_alias, s.key,
+(SELECT s.source_alias, s.label, s.key,
   CASE WHEN t.key IS NULL THEN 'copy_error'
        WHEN o.algo = c.algo THEN CASE WHEN o.val = c.val THEN 'verified' ELSE 'mismatch' END
        WHEN t.e_tag = s.e_tag THEN 'verified' ELSE 'mismatch' END AS outcome,
@@ -74,9 +74,9 @@ VERIFIED = f"""
        WHEN o.algo IS DISTINCT FROM c.algo AND t.e_tag <> s.e_tag THEN concat('ETag mismatch: ', t.e_tag, ' != ', s.e_tag)
   END AS detail
 FROM {{sample}} s
-LEFT JOIN fx_src_listing t ON t.source_alias = s.source_alias AND t.key = s.key
-LEFT JOIN {CK} o ON o.side = 'backup' AND o.source_alias = s.source_alias AND o.key = s.key
-LEFT JOIN {CK} c ON c.side = 'source' AND c.source_alias = s.source_alias AND c.key = s.key)
+LEFT JOIN fx_src_listing t ON t.source_alias = s.source_alias AND t.label = s.label AND t.key = s.key
+LEFT JOIN {CK} o ON o.side = 'backup' AND o.source_alias = s.source_alias AND o.label = s.label AND o.key = s.key
+LEFT JOIN {CK} c ON c.side = 'source' AND c.source_alias = s.source_alias AND c.label = s.label AND c.key = s.key)
 """
 
 
@@ -139,13 +139,13 @@ DIVERGENCE = f"""
   count(*) FILTER (b.key IS NULL) AS source_minus_backup, count(*) FILTER (s.key IS NULL) AS backup_minus_source, true AS available
 FROM fx_s s FULL OUTER JOIN fx_b b ON {ON_KEY} GROUP BY 1)
 """
-MISSING_SAMPLE = f"(SELECT source_alias, key FROM (SELECT *, row_number() OVER (PARTITION BY source_alias ORDER BY key) AS rn FROM {MISSING}) WHERE rn <= 10)"
+MISSING_SAMPLE = f"(SELECT source_alias, label, key FROM (SELECT *, row_number() OVER (PARTITION BY source_alias, label ORDER BY key) AS rn FROM {MISSING}) WHERE rn <= 10)"
 HEAD = f"""
 (SELECT *, CASE WHEN still_missing = sample_size THEN format(' (still missing live, sampled {{}})', sample_size)
   WHEN auto_healed = sample_size THEN format(' (auto-healed since snapshot, sampled {{}})', sample_size)
   ELSE format(' ({{}} still missing, {{}} auto-healed, sampled {{}})', still_missing, auto_healed, sample_size) END AS tag
 FROM (SELECT m.source_alias, count(*) AS sample_size, count(*) FILTER (l.key IS NULL) AS still_missing, count(*) FILTER (l.key IS NOT NULL) AS auto_healed
-  FROM {MISSING_SAMPLE} m LEFT JOIN (SELECT DISTINCT source_alias, key FROM fx_live) l ON l.source_alias = m.source_alias AND l.key = m.key GROUP BY 1))
+  FROM {MISSING_SAMPLE} m LEFT JOIN (SELECT DISTINCT source_alias, label, key FROM fx_live) l ON l.source_alias = m.source_alias AND l.label = m.label AND l.key = m.key GROUP BY 1))
 """
 PITR = "(SELECT source_alias, bool_and(coalesce(pitr_status = 'ENABLED', false)) AS pitr_enabled FROM fx_table GROUP BY 1)"
 OWNED_FAILURES = f"(SELECT f.*, b.source_alias FROM {FAILURES} f JOIN {STATES} b ON b.bucket = f.bucket)"
@@ -210,8 +210,8 @@ LEFT JOIN {PROCESS} p ON p.source_alias = r.source_alias LEFT JOIN {BATCH_LINES}
 """
 
 SYNCED = f"""
-(SELECT coalesce(s.source_alias, b.source_alias) AS source_alias, coalesce(s.key, b.key) AS key,
-  s.key IS NOT NULL AND ({STRICT}) AS copied, b.key IS NOT NULL AS had, concat('bb-', s.source_alias) AS new_bucket, s.size AS s_size, s.e_tag AS s_tag,
+(SELECT coalesce(s.source_alias, b.source_alias) AS source_alias, coalesce(s.label, b.label) AS label, coalesce(s.key, b.key) AS key,
+  s.key IS NOT NULL AND ({STRICT}) AS copied, b.key IS NOT NULL AS had, concat('bb-', s.source_alias, CASE s.label WHEN 'main' THEN '' ELSE '-extra' END) AS new_bucket, s.size AS s_size, s.e_tag AS s_tag,
   b.bucket AS b_bucket, b.size AS b_size, b.e_tag AS b_tag, b.last_modified_date AS b_time
 FROM fx_s s FULL OUTER JOIN {B_CURRENT} b ON {ON_KEY})
 """
@@ -229,7 +229,7 @@ AS_OF = f"""
 SELECT key, version_id, last_modified, e_tag, size, is_delete_marker FROM (SELECT *, row_number() OVER
   (PARTITION BY key ORDER BY last_modified DESC, version_id DESC) AS rn FROM fx_version WHERE last_modified <= {STATE_AT}) WHERE rn = 1 AND NOT is_delete_marker
 """
-RESTORE_ROWS = f"(SELECT source_alias, key, size, e_tag FROM fx_live WHERE {NOT_RESERVED})"
+RESTORE_ROWS = f"(SELECT source_alias, label, key, size, e_tag FROM fx_live WHERE {NOT_RESERVED})"
 RESTORE_DIFF = (
     f"(SELECT b.* FROM {RESTORE_ROWS} b ANTI JOIN fx_src_listing s ON {ON_KEY} AND s.e_tag = b.e_tag)"
 )
@@ -304,7 +304,7 @@ _SQL = {
     "inventory_full_manifest": f"SELECT source_alias, bucket, {ENCODED.format('key')} AS key FROM fx_s",
     "divergence_counts": f"SELECT * FROM {DIVERGENCE}",
     "missing_keys": f"SELECT * FROM {MISSING}",
-    "orphan_keys": f"SELECT b.source_alias, b.key FROM fx_b b ANTI JOIN fx_s s ON {ON_KEY}",
+    "orphan_keys": f"SELECT b.source_alias, b.label, b.key FROM fx_b b ANTI JOIN fx_s s ON {ON_KEY}",
     "listing_diff": f"""SELECT s.source_alias, s.bucket, {ENCODED.format('s.key')} AS key, s.size,
         CASE WHEN b.key IS NULL THEN 'missing' WHEN s.e_tag IS DISTINCT FROM b.e_tag THEN 'etag' ELSE 'size' END AS reason
         FROM fx_src_listing s LEFT JOIN fx_live b ON {ON_KEY} WHERE {STRICT}""",
@@ -383,8 +383,8 @@ _SQL = {
         coalesce(superseded_at {IN_WINDOW}, false) AS superseded FROM {SUPERSEDED}) WHERE written OR superseded""",
     "last_good_version": f"""SELECT key, version_id, last_modified, e_tag, size, is_delete_marker FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY last_modified DESC, version_id DESC) AS rn
         FROM fx_version WHERE last_modified < {WINDOW_START}) WHERE rn = 1 AND key IN (SELECT key FROM fx_version WHERE last_modified {IN_WINDOW})""",
-    "purge_batches": f"""SELECT source_alias, key, n // 1000 AS batch, n % 1000 AS position FROM (SELECT b.source_alias, b.key,
-        row_number() OVER (PARTITION BY b.source_alias ORDER BY left(md5(b.key), 3), b.key) - 1 AS n FROM fx_b b ANTI JOIN fx_s s ON {ON_KEY})""",
+    "purge_batches": f"""SELECT source_alias, label, key, n // 1000 AS batch, n % 1000 AS position FROM (SELECT b.source_alias, b.label, b.key,
+        row_number() OVER (PARTITION BY b.source_alias, b.label ORDER BY left(md5(b.key), 3), b.key) - 1 AS n FROM fx_b b ANTI JOIN fx_s s ON {ON_KEY})""",
     "daily_growth": f"SELECT source_alias, dt, objects, previous_dt, previous_objects, delta, round(delta_pct, 6) AS delta_pct FROM {GROWTH}",
     "sample_restore_hash": f"SELECT * FROM {SAMPLE.format(10)}",
     "missing_sample": f"SELECT * FROM {MISSING_SAMPLE}",
@@ -394,9 +394,9 @@ _SQL = {
           FROM fx_export WHERE status = 'COMPLETED' GROUP BY 1, 2) e ON e.source_alias = t.source_alias AND e.table_name = t.table_name""",
     # set operations
     "event_months_union": """SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS events, CAST(0 AS BIGINT) AS with_actor FROM fx_event_log GROUP BY 1, 2""",
-    "key_except": """SELECT source_alias, key, 'source_only' AS found_in FROM (SELECT source_alias, key FROM fx_s EXCEPT SELECT source_alias, key FROM fx_b)
-        UNION ALL SELECT source_alias, key, 'backup_only' FROM (SELECT source_alias, key FROM fx_b EXCEPT SELECT source_alias, key FROM fx_s)""",
-    "key_intersect": "SELECT source_alias, key FROM fx_s INTERSECT SELECT source_alias, key FROM fx_b",
+    "key_except": """SELECT source_alias, label, key, 'source_only' AS found_in FROM (SELECT source_alias, label, key FROM fx_s EXCEPT SELECT source_alias, label, key FROM fx_b)
+        UNION ALL SELECT source_alias, label, key, 'backup_only' FROM (SELECT source_alias, label, key FROM fx_b EXCEPT SELECT source_alias, label, key FROM fx_s)""",
+    "key_intersect": "SELECT source_alias, label, key FROM fx_s INTERSECT SELECT source_alias, label, key FROM fx_b",
     # scalar functions
     "encode_key": f"SELECT key, {ENCODED.format('key')} AS encoded FROM fx_obj",
     "is_multipart_etag": f"SELECT side, key, instr(e_tag, '-') > 0 AS multipart FROM fx_inventory WHERE dt = {TODAY}",
@@ -442,10 +442,10 @@ _SQL = {
         UNION ALL SELECT source_alias, concat('PITR ', table_name), CASE WHEN pitr_status IS NULL THEN 'FAIL' WHEN pitr_status = 'ENABLED' THEN 'PASS' ELSE 'WARN' END,
           CASE WHEN pitr_status IS NULL THEN 'status not readable' WHEN pitr_status = 'ENABLED' THEN '' ELSE concat('status=', pitr_status, ' — enable PITR before backup') END FROM fx_table""",
     # table maintenance
-    "apply_sync": f"""SELECT source_alias, key, CASE WHEN copied THEN coalesce(b_bucket, new_bucket) ELSE b_bucket END AS bucket, CASE WHEN copied THEN s_size ELSE b_size END AS size,
+    "apply_sync": f"""SELECT source_alias, label, key, CASE WHEN copied THEN coalesce(b_bucket, new_bucket) ELSE b_bucket END AS bucket, CASE WHEN copied THEN s_size ELSE b_size END AS size,
         CASE WHEN copied THEN s_tag ELSE b_tag END AS e_tag, CASE WHEN copied THEN {RUN_AT} ELSE b_time END AS last_modified_date, copied FROM {SYNCED}""",
-    "apply_sync_versions": f"""SELECT source_alias, key, b_bucket AS bucket, b_size AS size, b_tag AS e_tag, b_time AS last_modified_date, NOT copied AS is_latest FROM {SYNCED} WHERE had
-        UNION ALL SELECT source_alias, key, coalesce(b_bucket, new_bucket), s_size, s_tag, {RUN_AT}, true FROM {SYNCED} WHERE copied""",
+    "apply_sync_versions": f"""SELECT source_alias, label, key, b_bucket AS bucket, b_size AS size, b_tag AS e_tag, b_time AS last_modified_date, NOT copied AS is_latest FROM {SYNCED} WHERE had
+        UNION ALL SELECT source_alias, label, key, coalesce(b_bucket, new_bucket), s_size, s_tag, {RUN_AT}, true FROM {SYNCED} WHERE copied""",
     "restore_manifest": f"SELECT source_alias, bucket, {ENCODED.format('key')} AS key FROM fx_live WHERE {NOT_RESERVED}",
     "restore_as_of": AS_OF,
     "restore_to_new_table": AS_OF,

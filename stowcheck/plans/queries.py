@@ -79,7 +79,7 @@ def scan_inventory(fx):
     inventory_source.write_inventory(stored, path)
     rows = inventory_source.read_inventory(fx.spark, path)
     return snapshots.snapshot(rows, "bravo", "source", TODAY).select(
-        "dt", "source_alias", "side", "bucket", "key", "is_latest", "is_delete_marker",
+        "dt", "source_alias", "side", "bucket", "label", "key", "is_latest", "is_delete_marker",
         "size", "last_modified_date", "e_tag", "storage_class",
     )
 
@@ -266,13 +266,13 @@ def filter_nonempty(fx):
 @query
 def diff_predicate_smart(fx):
     changed = reconcile.changed_smart(_source(fx), _backup(fx))
-    return changed.select("source_alias", "key", "missing", "size", "backup_size", "e_tag", "backup_e_tag")
+    return changed.select("source_alias", "label", "key", "missing", "size", "backup_size", "e_tag", "backup_e_tag")
 
 
 @query
 def diff_predicate_strict(fx):
     changed = reconcile.changed_strict(_source(fx), _backup(fx))
-    return changed.select("source_alias", "key", "missing", "size", "backup_size", "e_tag", "backup_e_tag")
+    return changed.select("source_alias", "label", "key", "missing", "size", "backup_size", "e_tag", "backup_e_tag")
 
 
 @query
@@ -374,7 +374,7 @@ def restore_verify(fx):
 @query
 def restore_verify_all(fx):
     """The whole restorable backup instead of a sample."""
-    everything = restore.restorable(_backup(fx)).select("source_alias", "key", "e_tag", "size")
+    everything = restore.restorable(_backup(fx)).select("source_alias", "label", "key", "e_tag", "size")
     return restore.restore_verify(everything, fx.source_listing, fx.checksums)
 
 
@@ -892,12 +892,12 @@ def source_check(fx):
 
 @query
 def apply_sync(fx):
-    return maintenance.apply_sync(_source(fx), _backup_current(fx), _time(RUN_AT))
+    return maintenance.apply_sync(_source(fx), _backup_current(fx), fx.bucket_pairs, _time(RUN_AT))
 
 
 @query
 def apply_sync_versions(fx):
-    return maintenance.apply_sync_versions(_source(fx), _backup_current(fx), _time(RUN_AT))
+    return maintenance.apply_sync_versions(_source(fx), _backup_current(fx), fx.bucket_pairs, _time(RUN_AT))
 
 
 @query

@@ -12,6 +12,7 @@ _text, _long, _flag, _time = T.StringType(), T.LongType(), T.BooleanType(), T.Ti
 # one table for all sources, partitioned by the last three columns
 INVENTORY = _struct(
     bucket=_text,
+    label=_text,
     key=_text,
     version_id=_text,
     is_latest=_flag,
@@ -28,7 +29,7 @@ INVENTORY = _struct(
 INVENTORY_PARTITIONS = ["dt", "source_alias", "side"]
 
 LISTING = _struct(
-    source_alias=_text, bucket=_text, key=_text, size=_long, e_tag=_text,
+    source_alias=_text, label=_text, bucket=_text, key=_text, size=_long, e_tag=_text,
     last_modified=_time, storage_class=_text,
 )
 

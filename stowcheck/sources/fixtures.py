@@ -43,6 +43,10 @@ def _one_of(number: str, *values: str) -> str:
     return f"CASE {number} % {len(values)} {cases} END"
 
 
+def _bucket(prefix: str) -> str:
+    return f"concat('{prefix}', source_alias, if(label = 'main', '', concat('-', label))) AS bucket"
+
+
 def _text(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
@@ -96,6 +100,7 @@ class Fixtures:
 
     @cached_property
     def objects(self) -> DataFrame:
+        """One row per object; a second bucket of one source holds a third of its keys, in another state."""
         used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
         return self.spread("lineitem", used, ["l_orderkey", "l_linenumber"]).selectExpr(
             f"{_one_of('l_orderkey', *ALIASES)} AS source_alias",
@@ -109,6 +114,12 @@ class Fixtures:
                concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey), '.h5') AS key""",
             "CAST(l_quantity AS bigint) * 4096 AS size",
             "l_shipdate AS last_modified_date",
+        ).selectExpr(
+            "source_alias",
+            """inline(if(source_alias = 'bravo' AND h % 3 = 0,
+                   array(struct('main' AS label, h AS h), struct('extra' AS label, (h + 25) % 1000 AS h)),
+                   array(struct('main' AS label, h AS h))))""",
+            "key", "size", "last_modified_date",
         )
 
     def _per_dt(self, snapshot: Callable[[str], DataFrame]) -> DataFrame:
@@ -121,7 +132,8 @@ class Fixtures:
                 f"'{dt}' AS dt",
                 "source_alias",
                 "'source' AS side",
-                "concat('src-', source_alias) AS bucket",
+                _bucket("src-"),
+                "label",
                 "key",
                 "if(source_alias = 'charlie', NULL, h % 200 <> 199) AS is_latest",
                 "if(source_alias = 'charlie', NULL, h % 200 = 198) AS is_delete_marker",
@@ -139,7 +151,8 @@ class Fixtures:
                 f"'{dt}' AS dt",
                 "source_alias",
                 "'backup' AS side",
-                "concat('bb-', source_alias) AS bucket",
+                _bucket("bb-"),
+                "label",
                 "key",
                 "h % 200 <> 199 AS is_latest",
                 "h % 200 = 198 AS is_delete_marker",
@@ -153,13 +166,14 @@ class Fixtures:
 
         reserved = ", ".join(f"'{key}'" for key in BACKUP_ONLY_KEYS)
         own = (
-            self.objects.select("source_alias").distinct()
-            .selectExpr("source_alias", f"explode(array({reserved})) AS key")
+            self.objects.select("source_alias", "label").distinct()
+            .selectExpr("source_alias", "label", f"explode(array({reserved})) AS key")
             .selectExpr(
                 f"'{TODAY}' AS dt",
                 "source_alias",
                 "'backup' AS side",
-                "concat('bb-', source_alias) AS bucket",
+                _bucket("bb-"),
+                "label",
                 "key",
                 "true AS is_latest",
                 "false AS is_delete_marker",
@@ -193,11 +207,11 @@ class Fixtures:
 
     def _derived_live(self) -> DataFrame:
         healed = self.objects.where("h BETWEEN 30 AND 54").selectExpr(
-            "source_alias", "concat('bb-', source_alias) AS bucket", "key", "size", "md5(key) AS e_tag"
+            "source_alias", _bucket("bb-"), "label", "key", "size", "md5(key) AS e_tag"
         )
         return (
             self.backup.where(F.col("dt") == TODAY)
-            .select("source_alias", "bucket", "key", "size", "e_tag")
+            .select("source_alias", "bucket", "label", "key", "size", "e_tag")
             .union(healed)
         )
 
@@ -205,7 +219,7 @@ class Fixtures:
     def source_listing(self) -> DataFrame:
         """Live listing of the source buckets: today's current objects."""
         return current(self.source.where(F.col("dt") == TODAY)).select(
-            "source_alias", "bucket", "key", "size", "e_tag"
+            "source_alias", "bucket", "label", "key", "size", "e_tag"
         )
 
     @cached_property
@@ -214,12 +228,12 @@ class Fixtures:
 
     def _derived_checksums(self) -> DataFrame:
         source = self.objects.selectExpr(
-            "'source' AS side", "source_alias", "key",
+            "'source' AS side", "source_alias", "label", "key",
             "if(h % 3 = 0, NULL, md5(key)) AS crc64nvme",
             "if(h % 2 = 0, md5(concat('s', key)), NULL) AS sha256",
         )
         backup = self.objects.selectExpr(
-            "'backup' AS side", "source_alias", "key",
+            "'backup' AS side", "source_alias", "label", "key",
             "if(h % 5 = 0, md5(concat(key, '!')), md5(key)) AS crc64nvme",
             "md5(concat('s', key)) AS sha256",
         )
@@ -357,6 +371,15 @@ class Fixtures:
             "account_id string, inventory_enabled boolean",
         )
 
+    @cached_property
+    def bucket_pairs(self) -> DataFrame:
+        """Every bucket with its backup: the registry's and the second one of a source."""
+        columns = ["source_alias", "label", "source_bucket", "backup_bucket"]
+        second = self.spark.createDataFrame(
+            [("bravo", "extra", "src-bravo-extra", "bb-bravo-extra")], ", ".join(f"{c} string" for c in columns)
+        )
+        return self.registry.select(*columns).union(second)
+
     # --- further views (SQL twins in plans.fixture_sql) -------------------------------------
 
     @cached_property

@@ -39,14 +39,14 @@ def write_inventory(inventory: DataFrame, root: str, rows_per_file: int = 2_000_
 def store_bucketed(
     df: DataFrame, table: str, path: str, buckets: int, partitions: Sequence[str] = ("dt", "side")
 ) -> DataFrame:
-    """Store keyed rows for repeated reconciliation, bucketed and sorted by (source_alias, key).
+    """Store keyed rows for repeated reconciliation, bucketed and sorted by (source_alias, label, key).
 
-    Joins and aggregations on those two columns then need no shuffle and no sort. Directories are
+    Joins and aggregations on those columns then need no shuffle and no sort. Directories are
     split by (dt, side) only, so the files per snapshot are ``buckets``, however many sources there
     are; a filter on one source skips row groups, as files are sorted by it. Choose ``buckets`` like
     the number of shuffle partitions: one task reads one bucket.
     """
-    by = ["source_alias", "key"]
+    by = ["source_alias", "label", "key"]
     writer = df.repartition(buckets, *by).write.mode("overwrite").option("path", path)
     if partitions:
         writer = writer.partitionBy(*partitions)

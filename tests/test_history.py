@@ -79,7 +79,7 @@ def test_restore_as_of_drops_deleted_keys(spark):
 
 def test_purge_batches_are_exact(spark):
     keys = [("big", f"k{i}") for i in range(2503)] + [("small", "x")]
-    got = history.purge_batches(spark.createDataFrame(keys, "source_alias string, key string"), 1000).collect()
+    got = history.purge_batches(spark.createDataFrame(keys, "source_alias string, key string").withColumn("label", F.lit("main")), 1000).collect()
     sizes = defaultdict(set)
     for row in got:
         sizes[(row.source_alias, row.batch)].add(row.position)

@@ -95,15 +95,16 @@ def test_set_reconcile(spark):
     }
 
 
-SIDE = "source_alias string, bucket string, key string, size long, e_tag string, last_modified_date timestamp"
+SIDE = "source_alias string, bucket string, label string, key string, size long, e_tag string, last_modified_date timestamp"
 
 
 def test_apply_sync_keeps_deleted_and_versions(spark):
-    source = spark.createDataFrame([("a", "src", "new", 1, "x", at(1)), ("a", "src", "chg", 2, "y", at(1)), ("a", "src", "same", 3, "z", at(1))], SIDE)
-    backup = spark.createDataFrame([("a", "bk", "chg", 2, "old", at(1)), ("a", "bk", "same", 3, "z", at(1)), ("a", "bk", "deleted", 4, "d", at(1))], SIDE)
-    got = {r.key: (r.e_tag, r.last_modified_date, r.copied) for r in maintenance.apply_sync(source, backup, F.lit(at(9))).collect()}
+    registry = spark.createDataFrame([("a", "main", "bk")], "source_alias string, label string, backup_bucket string")
+    source = spark.createDataFrame([("a", "src", "main", "new", 1, "x", at(1)), ("a", "src", "main", "chg", 2, "y", at(1)), ("a", "src", "main", "same", 3, "z", at(1))], SIDE)
+    backup = spark.createDataFrame([("a", "bk", "main", "chg", 2, "old", at(1)), ("a", "bk", "main", "same", 3, "z", at(1)), ("a", "bk", "main", "deleted", 4, "d", at(1))], SIDE)
+    got = {r.key: (r.e_tag, r.last_modified_date, r.copied) for r in maintenance.apply_sync(source, backup, registry, F.lit(at(9))).collect()}
     assert got == {"new": ("x", at(9), True), "chg": ("y", at(9), True), "same": ("z", at(1), False), "deleted": ("d", at(1), False)}
-    versions = {(r.key, r.e_tag, r.is_latest) for r in maintenance.apply_sync_versions(source, backup, F.lit(at(9))).collect()}
+    versions = {(r.key, r.e_tag, r.is_latest) for r in maintenance.apply_sync_versions(source, backup, registry, F.lit(at(9))).collect()}
     assert versions == {("new", "x", True), ("chg", "old", False), ("chg", "y", True), ("same", "z", True), ("deleted", "d", True)}
 
 

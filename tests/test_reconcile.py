@@ -1,8 +1,9 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from stowcheck.operators import reconcile, restore, snapshots
+from stowcheck.operators import maintenance, reconcile, restore, snapshots
 
 SIDE = "source_alias string, bucket string, key string, size long, e_tag string"
 INVENTORY = (
@@ -11,7 +12,11 @@ INVENTORY = (
 
 
 def listing(spark, rows, alias="a"):
-    return spark.createDataFrame([(alias, "b", *r) for r in rows], SIDE)
+    return labelled(spark.createDataFrame([(alias, "b", *r) for r in rows], SIDE))
+
+
+def labelled(df):
+    return df.withColumn("label", F.lit("main"))
 
 
 def test_integrity_cascade(spark):
@@ -32,7 +37,7 @@ def test_integrity_cascade(spark):
         ],
         "side string, source_alias string, key string, crc64nvme string, sha256 string",
     )
-    status = reconcile.integrity_status(source, backup, checksums)
+    status = reconcile.integrity_status(source, backup, labelled(checksums))
     got = {r.key: (r.issue, r.checksum_conflict) for r in status.collect()}
     assert got == {
         "gone": ("missing_in_backup", False),
@@ -62,7 +67,7 @@ def test_manifest_without_backup_and_full_sync(spark):
 
 
 def inventory(spark, rows):
-    return spark.createDataFrame(rows, INVENTORY)
+    return labelled(spark.createDataFrame(rows, INVENTORY))
 
 
 def test_divergence_counts_empty_and_absent_snapshots(spark):
@@ -137,9 +142,15 @@ def test_random_sample(spark, fx):
 
     backup = snapshots.backup_side(fx.inventory, TODAY)
     sample = restore.sample_restore_random(backup, 25, seed=1).collect()
-    eligible = {(r.source_alias, r.key) for r in restore.restorable(backup).collect()}
-    assert len(sample) == 25 == len({(r.source_alias, r.key) for r in sample} & eligible)
-    few = restore.restorable(backup).limit(4).cache()
+    key = lambda r: (r.source_alias, r.label, r.key)
+    eligible = {key(r) for r in restore.restorable(backup).collect()}
+    drawn = {key(r) for r in sample}
+    assert len(sample) == len(drawn) and drawn <= eligible
+    # every bucket of every source gets its own draw
+    held = Counter(k[:2] for k in eligible)
+    assert Counter(k[:2] for k in drawn) == {b: min(n, 25) for b, n in held.items()}
+    assert len(held) == 5
+    few = restore.restorable(backup).where("label = 'main' AND source_alias = 'alpha'").limit(4).cache()
     assert restore.sample_restore_random(few.withColumn("storage_class", F.lit(None).cast("string")), 25).count() == 4
 
 
@@ -151,7 +162,7 @@ def test_verify_and_rollup(spark):
          ("backup", "a", "tag", "1")],
         "side string, source_alias string, key string, crc64nvme string",
     )
-    verified = restore.restore_verify(sample, restored, checksums)
+    verified = restore.restore_verify(sample, restored, labelled(checksums))
     got = {r.key: (r.outcome, r.detail) for r in verified.collect()}
     assert got["ck"] == ("verified", None) and got["tag"] == ("verified", None)
     assert got["ckbad"] == ("mismatch", "ChecksumCRC64NVME mismatch: 1 != 2")
@@ -170,7 +181,7 @@ def test_head_check_tags(spark):
     sample = spark.createDataFrame([(a, f"k{i}") for a in "xyz" for i in range(2)], "source_alias string, key string")
     live = spark.createDataFrame([("y", "k0"), ("y", "k1"), ("z", "k0"), ("q", "k0")], "source_alias string, key string")
     for bounded in (True, False):
-        tags = {r.source_alias: r.tag for r in restore.head_check(sample, live, bounded).collect()}
+        tags = {r.source_alias: r.tag for r in restore.head_check(labelled(sample), labelled(live), bounded).collect()}
         assert tags == {
             "x": " (still missing live, sampled 2)",
             "y": " (auto-healed since snapshot, sampled 2)",
@@ -182,3 +193,35 @@ def test_restore_targets_by_weekday(spark):
     registry = spark.createDataFrame([("a",), ("b",)], "source_alias string")
     due = lambda day: {r[0] for r in restore.restore_test_targets(registry, day, "a", {0: "b", 2: "gone"}).collect()}
     assert (due(0), due(1), due(2)) == ({"a", "b"}, {"a"}, {"a"})
+
+
+def two_buckets(spark, rows):
+    """Rows (label, key, size, e_tag) of one source."""
+    df = spark.createDataFrame([("a", f"b-{r[0]}", *r) for r in rows], "source_alias string, bucket string, label string, key string, size long, e_tag string")
+    return df.withColumn("last_modified_date", F.lit("2024-01-01").cast("timestamp"))
+
+
+def test_one_key_in_two_buckets(spark):
+    source = two_buckets(spark, [("one", "k", 1, "x"), ("two", "k", 2, "y"), ("two", "both", 3, "z"), ("one", "both", 4, "w")])
+    backup = two_buckets(spark, [("one", "k", 1, "x"), ("one", "both", 4, "w"), ("two", "both", 3, "z"), ("one", "orphan", 5, "o")])
+    assert {(r.label, r.key) for r in reconcile.missing_keys(source, backup).collect()} == {("two", "k")}
+    assert {(r.label, r.key) for r in reconcile.orphan_keys(source, backup).collect()} == {("one", "orphan")}
+    # equal copies under one key don't differ from each other's
+    assert [(r.bucket, r.key) for r in reconcile.inventory_diff(source, backup).collect()] == [("b-two", "k")]
+    assert [(r.bucket, r.reason) for r in reconcile.listing_diff(source, backup).collect()] == [("b-two", "missing")]
+    assert {(r.label, r.key) for r in restore.restore_diff(backup, source).collect()} == {("one", "orphan")}
+    row = reconcile.sync_summary(source, backup).collect()[0]
+    assert (row.objects_copied, row.objects_skipped, row.bytes_transferred) == (1, 3, 2)
+    registry = spark.createDataFrame([("a", "one", "bk-1"), ("a", "two", "bk-2")], "source_alias string, label string, backup_bucket string")
+    synced = maintenance.apply_sync(source, backup, registry, F.lit("2024-01-02").cast("timestamp"))
+    got = {(r.label, r.key): (r.bucket, r.copied) for r in synced.collect()}
+    assert got == {
+        ("two", "k"): ("bk-2", True), ("one", "k"): ("b-one", False), ("one", "both"): ("b-one", False),
+        ("two", "both"): ("b-two", False), ("one", "orphan"): ("b-one", False),
+    }
+
+
+def test_labels_come_from_the_registry(spark):
+    registry = spark.createDataFrame([("a", "one", "s1", "k1"), ("a", "two", "s2", "k2")], "source_alias string, label string, source_bucket string, backup_bucket string")
+    rows = spark.createDataFrame([("a", b, "k") for b in ("s1", "s2", "k1", "k2", "other")], "source_alias string, bucket string, key string")
+    assert {(r.bucket, r.label) for r in reconcile.with_label(rows, registry).collect()} == {("s1", "one"), ("s2", "two"), ("k1", "one"), ("k2", "two")}
