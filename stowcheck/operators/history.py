@@ -85,11 +85,12 @@ def noncurrent_expiry(
     )
 
 
-def mutation_run_match(versions: DataFrame, runs: DataFrame) -> DataFrame:
+def mutation_run_match(versions: DataFrame, runs: DataFrame, salts: int = 64) -> DataFrame:
     """The backup run that wrote each version: the last run of its source started by then.
 
-    An as-of lookup over the union of both, windowed per source and day: few sources hold most
-    rows, so a source is never one task.
+    An as-of lookup over the union of both, windowed per source, salt and day. A first backup writes a
+    whole source in one day, so versions are dealt to ``salts`` groups by their key and id; the few runs
+    are repeated in each.
     """
     events = versions.select(
         "source_alias",
@@ -98,6 +99,7 @@ def mutation_run_match(versions: DataFrame, runs: DataFrame) -> DataFrame:
         F.col("version_id").alias("id"),
         "key",
         F.lit(None).cast("struct<run_id:bigint,started_at:timestamp>").alias("run"),
+        F.pmod(F.xxhash64("key", "version_id"), F.lit(salts)).alias("salt"),
     ).unionByName(
         runs.select(
             "source_alias",
@@ -106,10 +108,11 @@ def mutation_run_match(versions: DataFrame, runs: DataFrame) -> DataFrame:
             F.col("run_id").alias("id"),
             F.lit(None).cast("string").alias("key"),
             F.struct("run_id", "started_at").alias("run"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"),
         )
     )
     matched = carry_last(
-        events, ["source_alias"], F.to_date("at"), ["at", "kind", "id"], F.col("run"), "writer"
+        events, ["source_alias", "salt"], F.to_date("at"), ["at", "kind", "id"], F.col("run"), "writer"
     )
     return matched.where(F.col("kind") == 1).select(
         "source_alias",

@@ -17,7 +17,7 @@ from stowcheck.functions.objects import (
     normalize_etag,
     pick_checksum,
 )
-from stowcheck.operators.snapshots import current, without_operational
+from stowcheck.operators.snapshots import at_delivered, current, without_operational
 from stowcheck.operators.toolkit import BUCKET, KEY, first_per_group, per_source
 
 
@@ -79,6 +79,20 @@ def manifest_count(source: DataFrame, backup: DataFrame, full_sync: bool = False
 
 
 def key_sides(inventory: DataFrame, source_dt: str, backup_dt: str | None = None) -> DataFrame:
+    """``sides_per_key`` of the snapshots of given dates."""
+    side = F.col("side")
+    chosen = (side == "source") & (F.col("dt") == source_dt) | (side == "backup") & (
+        F.col("dt") == (backup_dt or source_dt)
+    )
+    return sides_per_key(inventory.where(chosen))
+
+
+def newest_key_sides(inventory: DataFrame, newest: DataFrame) -> DataFrame:
+    """``sides_per_key`` of the snapshots in ``newest``: one (source_alias, side, dt) per source and side."""
+    return sides_per_key(at_delivered(inventory, newest))
+
+
+def sides_per_key(snapshots: DataFrame) -> DataFrame:
     """Current rows per key on each side, in one scan of both snapshots.
 
     Equivalent to a full outer join for everything that only needs keys: rows of a key meet in a
@@ -86,10 +100,7 @@ def key_sides(inventory: DataFrame, source_dt: str, backup_dt: str | None = None
     (source_alias, label, key) needs no shuffle either.
     """
     side = F.col("side")
-    chosen = (side == "source") & (F.col("dt") == source_dt) | (side == "backup") & (
-        F.col("dt") == (backup_dt or source_dt)
-    )
-    rows = current(inventory.where(chosen)).where(
+    rows = current(snapshots).where(
         (side == "source") | ~is_operational(F.col("key"))
     )
     return rows.groupBy(*KEY).agg(

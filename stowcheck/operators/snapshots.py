@@ -50,6 +50,27 @@ def two_latest_partitions(inventory: DataFrame) -> DataFrame:
     )
 
 
+def newest_delivered(delivered: DataFrame, today: str) -> DataFrame:
+    """Newest ``dt`` at or before ``today`` per (alias, side), from a delivery listing.
+
+    The two sides are delivered independently: the newest backup may be older than the newest source.
+    """
+    return latest_partitions(delivered.where((F.col("dt") > "") & (F.col("dt") <= today)))
+
+
+def at_delivered(inventory: DataFrame, newest: DataFrame) -> DataFrame:
+    """Rows of the snapshots in ``newest`` (one per source and side), which prunes partitions at run time."""
+    return inventory.join(per_source(newest), ["source_alias", "side", "dt"], "left_semi")
+
+
+def newest_source(inventory: DataFrame, newest: DataFrame) -> DataFrame:
+    return current(at_delivered(inventory, newest.where(F.col("side") == "source")))
+
+
+def newest_backup(inventory: DataFrame, newest: DataFrame) -> DataFrame:
+    return without_operational(current(at_delivered(inventory, newest.where(F.col("side") == "backup"))))
+
+
 def at_latest(inventory: DataFrame) -> DataFrame:
     """Rows of the newest snapshot, chosen per side.
 

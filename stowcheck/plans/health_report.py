@@ -46,12 +46,19 @@ def process_signals(inputs: ReportInputs) -> tuple[DataFrame, DataFrame]:
     return signals, failures
 
 
+def newest_snapshots(inputs: ReportInputs) -> DataFrame:
+    """Newest snapshot per source and side, from the delivery listing."""
+    delivered = inputs.deliveries.select("source_alias", "side", symlink_dt(F.col("key")).alias("dt"))
+    return snapshots.newest_delivered(delivered, inputs.today)
+
+
 def restore_results(inputs: ReportInputs, sample_size: int = RESTORE_SAMPLE_SIZE) -> DataFrame:
     """Restore-test result of the sources due today."""
     due = restore.restore_test_targets(
         inputs.registry, inputs.weekday, inputs.canary, inputs.rotation
     )
-    backup = snapshots.backup_side(inputs.inventory, inputs.today).join(due, "source_alias", "left_semi")
+    backup = snapshots.newest_backup(inputs.inventory, newest_snapshots(inputs))
+    backup = backup.join(due, "source_alias", "left_semi")
     sample = restore.sample_restore_hash(backup, sample_size)
     verified = restore.restore_verify(sample, inputs.restored, inputs.checksums, bounded=True)
     return restore.bucket_results(verified, due)
@@ -60,14 +67,12 @@ def restore_results(inputs: ReportInputs, sample_size: int = RESTORE_SAMPLE_SIZE
 def health_rows(inputs: ReportInputs, freshness_hours: float = FRESHNESS_HOURS) -> DataFrame:
     """One row per source with all signals, notes and the overall status.
 
-    The reconciliation of all keys is one shuffle, shared by the counts and the missing sample;
-    everything joined afterwards has one row per source.
+    Each source's newest snapshot is compared with its backup's newest, however old either is. The counts
+    and the missing sample aggregate the keys of both; everything joined afterwards has one row per source.
     """
-    sides = reconcile.key_sides(inputs.inventory, inputs.today)
-    delivered = inputs.deliveries.select(
-        "source_alias", "side", symlink_dt(F.col("key")).alias("dt")
-    ).where(F.col("dt") == inputs.today)
-    divergence = reconcile.divergence_counts(sides, delivered)
+    newest = newest_snapshots(inputs)
+    sides = reconcile.newest_key_sides(inputs.inventory, newest)
+    divergence = reconcile.divergence_counts(sides, newest)
     missing = sides.where((F.col("in_backup") == 0) & (F.col("in_source") > 0))
     checked = restore.head_check(
         reconcile.missing_sample(missing.select("source_alias", "label", "key"), MISSING_SAMPLE_SIZE),

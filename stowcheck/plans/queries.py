@@ -66,6 +66,17 @@ def _backup_current(fx: Fixtures) -> DataFrame:
     return snapshots.current(fx.backup.where(F.col("dt") == TODAY))
 
 
+def _newest(fx: Fixtures) -> DataFrame:
+    """Newest delivered snapshot per source and side."""
+    delivered = fx.deliveries.select("source_alias", "side", keys.symlink_dt(F.col("key")).alias("dt"))
+    return snapshots.newest_delivered(delivered, TODAY)
+
+
+def _newest_sides(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+    newest = _newest(fx)
+    return snapshots.newest_source(fx.inventory, newest), snapshots.newest_backup(fx.inventory, newest)
+
+
 # --- scans, sources, sinks --------------------------------------------------------------------
 
 
@@ -305,7 +316,7 @@ def filter_job_kind(fx):
 
 @query
 def inventory_diff(fx):
-    return reconcile.inventory_diff(_source(fx), _backup(fx))
+    return reconcile.inventory_diff(*_newest_sides(fx))
 
 
 @query
@@ -316,18 +327,18 @@ def inventory_full_manifest(fx):
 
 @query
 def divergence_counts(fx):
-    delivered = snapshots.latest_partitions(fx.inventory.where(F.col("dt") == TODAY))
-    return reconcile.divergence_counts(reconcile.key_sides(fx.inventory, TODAY), delivered)
+    newest = _newest(fx)
+    return reconcile.divergence_counts(reconcile.newest_key_sides(fx.inventory, newest), newest)
 
 
 @query
 def missing_keys(fx):
-    return reconcile.missing_keys(_source(fx), _backup(fx))
+    return reconcile.missing_keys(*_newest_sides(fx))
 
 
 @query
 def orphan_keys(fx):
-    return reconcile.orphan_keys(_source(fx), _backup(fx))
+    return reconcile.orphan_keys(*_newest_sides(fx))
 
 
 @query

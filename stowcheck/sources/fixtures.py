@@ -384,7 +384,15 @@ class Fixtures:
 
     @cached_property
     def deliveries(self) -> DataFrame:
-        """Delivered snapshot files: one object per snapshot, stamped with its delivery time."""
+        """Delivered snapshot files: one object per snapshot, stamped with its delivery time; stored once."""
+        known = (self.spark.sparkContext.applicationId, self.sf_dir, "deliveries")
+        if known not in _stored:
+            path = work_path(self.spark, "deliveries")
+            self._derived_deliveries().coalesce(1).write.parquet(path)
+            _stored[known] = path
+        return self.spark.read.parquet(_stored[known])
+
+    def _derived_deliveries(self) -> DataFrame:
         return self.inventory.groupBy("dt", "source_alias", "side", "bucket").agg(
             (F.count("*") * 130).alias("size")
         ).select(

@@ -47,6 +47,8 @@ def test_run_match_equals_brute_force(spark):
     runs = [(rng.choice("ab"), i, at()) for i in range(40)]
     versions.append(("c", "no-runs", 999, at()))
     versions.append(("a", "before-all", 1000, datetime(2023, 1, 1)))
+    # a first backup: a source written in one day
+    versions += [("b", f"first{i}", 2000 + i, datetime(2024, 2, 1, i % 24, i % 60)) for i in range(300)]
     got = history.mutation_run_match(
         spark.createDataFrame(versions, "source_alias string, key string, version_id long, last_modified timestamp"),
         spark.createDataFrame(runs, "source_alias string, run_id long, started_at timestamp"),

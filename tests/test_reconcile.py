@@ -225,3 +225,18 @@ def test_labels_come_from_the_registry(spark):
     registry = spark.createDataFrame([("a", "one", "s1", "k1"), ("a", "two", "s2", "k2")], "source_alias string, label string, source_bucket string, backup_bucket string")
     rows = spark.createDataFrame([("a", b, "k") for b in ("s1", "s2", "k1", "k2", "other")], "source_alias string, bucket string, key string")
     assert {(r.bucket, r.label) for r in reconcile.with_label(rows, registry).collect()} == {("s1", "one"), ("s2", "two"), ("k1", "one"), ("k2", "two")}
+
+
+def test_each_side_is_compared_at_its_own_newest_snapshot(spark):
+    rows = [("d2", "a", "source", k, True, False) for k in ("k1", "k2")] + [("d1", "a", "source", "old", True, False)]
+    # the backup is a day late; the snapshot after today isn't looked at
+    rows += [("d1", "a", "backup", k, True, False) for k in ("k1", "gone")] + [("d3", "a", "source", "future", True, False)]
+    rows += [("d2", "b", side, "k", True, False) for side in ("source", "backup")]
+    inv = inventory(spark, rows)
+    newest = snapshots.newest_delivered(inv.select("source_alias", "side", "dt").distinct(), "d2")
+    counts = reconcile.divergence_counts(reconcile.newest_key_sides(inv, newest), newest)
+    got = {r.source_alias: (r.source_dt, r.backup_dt, r.source_minus_backup, r.backup_minus_source) for r in counts.collect()}
+    assert got == {"a": ("d2", "d1", 1, 1), "b": ("d2", "d2", 0, 0)}
+    sides = snapshots.newest_source(inv, newest), snapshots.newest_backup(inv, newest)
+    assert [r.key for r in reconcile.missing_keys(*sides).collect()] == ["k2"]
+    assert [r.key for r in reconcile.orphan_keys(*sides).collect()] == ["gone"]
