@@ -185,6 +185,29 @@ def test_fuzzy_passages(spark):
     assert cut[1] == words[300:500] and cut[0] == texts[0] and cut[3] == []
 
 
+def test_passages_whose_parts_stand_alone_before(spark):
+    draw = iter(hashlib.md5(str(i).encode()).hexdigest()[:6] for i in range(20_000))
+    new = lambda n: [next(draw) for _ in range(n)]
+    texts, wanted = [], {}
+    for size, count in [(20, 3)] * 6 + [(30, 2)] * 6 + [(35, 2)] * 6:
+        parts = [new(size) for _ in range(count)]
+        texts += [new(50) + part + new(50) for part in parts]
+        passage = sum(parts, [])
+        # the first text that has the passage has a part of it alone before
+        texts += [new(30) + parts[-1] + new(30) + passage + new(30), new(40) + passage + new(40)]
+        wanted[len(texts) - 1] = (len(texts) - 2, 40, 39 + size * count, 60 + size, 59 + size + size * count, size * count)
+    # no seeds but those of ever other texts: each 39 words of the passage stand alone in one of them
+    passage = new(60)
+    texts += [new(20) + passage[i : i + 39] + new(20) for i in range(22)]
+    texts += [new(20) + passage + new(20), new(10) + passage + new(20)]
+    wanted[len(texts) - 1] = (len(texts) - 2, 10, 69, 20, 79, 60)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in substring_dedup.repeated_passages(df).collect():
+        got.setdefault(r[0], []).append(tuple(r)[1:])
+    assert {i: got.get(i) for i in wanted} == {i: [w] for i, w in wanted.items()}
+
+
 def test_lm_scores(spark, docs, rows):
     train = F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 1
     counts = collections.Counter()
