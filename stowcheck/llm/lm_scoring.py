@@ -8,9 +8,12 @@ with which a node's own estimate counts, and so one mixed probability per node.
 hasn't seen is predicted by its longest seen suffix. log2 of the mixed probabilities is the code length.
 
 Counting sums bytes in context and words in each task before the shuffle. The tree is built by one
-aggregation (up) and one join (down) per depth. Documents are scored where they lie, against node tables
-broadcast in slices of at most ``max_nodes`` nodes: positions are dealt to slices by their last two bytes,
-and there is one pass over the texts per slice. Word counts of the unigram base are broadcast for the
+aggregation (up) and one join (down) per depth. Documents are scored where they lie, against tables broadcast
+in slices of at most ``max_nodes`` nodes and seen grams: positions are dealt to slices by their last two bytes,
+or by more below a context that alone has a large part of a slice. Every slice has the nodes of contexts of fewer
+than two bytes and of those so split, at most 255 a context and four split contexts a slice and byte.
+With more than one slice, each is a job of its own whose sums are stored before the next slice is collected,
+and its tables are dropped: driver and executors hold one slice at a time. Word counts of the unigram base are broadcast for the
 ``max_head`` most frequent words and joined for all others.
 
 Defined results: NULL, empty and word-less texts are the end token alone; repeated rows are scored alike,
@@ -23,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -257,8 +261,8 @@ class SortedTable:
 class Model:
     """One slice of the tree. Seen grams are looked up by hash; the nodes serve unseen ones only."""
 
-    def __init__(self, grams_: Table, nodes: SortedTable, depth: int, slice_: int, slices: int):
-        self.grams, self.nodes, self.depth, self.slice, self.slices = grams_, nodes, depth, slice_, slices
+    def __init__(self, grams_: Table, nodes: SortedTable, depth: int, slice_: int, slices: int, hot: list[list[int]]):
+        self.grams, self.nodes, self.depth, self.slice, self.slices, self.hot = grams_, nodes, depth, slice_, slices, hot
 
     def score(self, bodies: list[bytes]) -> np.ndarray:
         """log10 probability of each body's bytes that belong to this slice."""
@@ -266,7 +270,7 @@ class Model:
         ends = np.cumsum([len(b) for b in bodies])
         own = np.ones(len(codes), bool)
         if self.slices > 1:
-            own = slice_of((codes >> np.uint64(8)) & np.uint64(0xFFFF), self.slices) == self.slice
+            own = slice_of(codes, self.slices, self.hot) == self.slice
         value = np.zeros(len(codes))
         value[own] = self.grams.find(codes[own])
         unseen = np.flatnonzero(np.isnan(value))
@@ -294,8 +298,52 @@ class Model:
         return total
 
 
-def slice_of(two_bytes: np.ndarray, slices: int) -> np.ndarray:
-    return (two_bytes * np.uint64(40503) & np.uint64(0xFFFF)) % np.uint64(slices)
+def slice_of(codes: np.ndarray, slices: int, hot: list[list[int]]) -> np.ndarray:
+    """Slices of codes without a depth; ``hot`` has the split contexts of two bytes, of three and so on."""
+    context = codes >> np.uint64(8)
+    key = context & np.uint64(0xFFFF)
+    split = np.ones(len(codes), bool)
+    for near, keys in enumerate(hot, 2):
+        split &= np.isin(key, np.array(keys, np.uint64))
+        key = np.where(split, context & np.uint64((1 << (8 * (near + 1))) - 1), key)
+    return (key % np.uint64(65521) * np.uint64(40503) & np.uint64(0xFFFF)) % np.uint64(slices)
+
+
+def _near(near: int) -> Column:
+    """The last ``near`` bytes of a code's context."""
+    return F.expr("shiftright(code, 8)").bitwiseAND((1 << (8 * near)) - 1)
+
+
+def _slice_of(slices: int, hot: list[list[int]]) -> Column:
+    """The slice of a row (code, depth) of the tables; NULL if every slice has it."""
+    key = F.when(F.col("depth") >= 2 + len(hot), _near(2 + len(hot)))
+    for near in range(1 + len(hot), 1, -1):
+        own = F.when(F.col("depth") >= near, _near(near))
+        key = F.when(_near(near).isin(hot[near - 2]), key).otherwise(own)
+    return (key % 65521 * 40503).bitwiseAND(0xFFFF) % slices
+
+
+def _dealing(every: DataFrame, depth: int, max_nodes: int) -> tuple[int, list[list[int]]]:
+    """Slices and split contexts, so that at most ``max_nodes`` rows of ``every`` (code, depth) are dealt to a slice."""
+    total = every.count()
+    if total <= max_nodes:
+        return 1, []
+    hot, below = [], every
+    for near in range(2, depth):
+        sizes = below.where(F.col("depth") >= near).groupBy(_near(near).alias("near")).count()
+        keys = [r["near"] for r in sizes.where(4 * F.col("count") > max_nodes).select("near").collect()]
+        if not keys:
+            break
+        hot.append(keys)
+        below = below.where(_near(near).isin(keys))
+    slices = math.ceil(total / max_nodes)
+    # dealing by hash is uneven
+    while slices < 0xFFFF:
+        sizes = every.groupBy(_slice_of(slices, hot).alias("slice")).count().where("slice IS NOT NULL")
+        if (sizes.agg(F.max("count")).first()[0] or 0) <= max_nodes:
+            break
+        slices += max(1, slices // 4)
+    return slices, hot
 
 
 def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -341,7 +389,8 @@ def score(
 
     divisor = tokens + 0.5 * (known + 1)
     head = context.broadcast(_head_words(words, max_head))
-    slices = max(1, math.ceil(nodes.count() / max_nodes))
+    logs = logs.withColumn("depth", F.lit(depth))
+    slices, hot = _dealing(nodes.select("code", "depth").unionByName(logs.select("code", "depth")), depth, max_nodes)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of documents (word NULL) with what the head words give, and rows of their other words."""
@@ -376,16 +425,23 @@ def score(
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), kept.alias("doc"), F.col(text).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
 
-    scored = rows.withColumn("value", F.lit(0.0))
+    if slices > 1:
+        # the row numbers of every pass
+        rows = stored(rows, "texts")
+    scored, parts = rows.withColumn("value", F.lit(0.0)), []
     for i in range(slices):
-        two = F.expr("shiftright(code, 8) & 65535")
-        part = (two * 40503).bitwiseAND(0xFFFF) % slices == i
-        own = nodes.where((F.col("depth") < 2) | part), logs.where(part)
+        part = F.coalesce(_slice_of(slices, hot), F.lit(i)) == i
+        own = nodes.where(part), logs.where(part)
         # codes start with their depth
         by_depth = SortedTable([_collected(own[0].where(F.col("depth") == d)) for d in range(depth + 1)])
-        model = context.broadcast(Model(Table(*_collected(own[1])), by_depth, depth, i, slices))
+        model = context.broadcast(Model(Table(*_collected(own[1])), by_depth, depth, i, slices, hot))
         del by_depth
-        scored = _add_scores(scored, model)
+        if slices == 1:
+            scored = _add_scores(scored, model)
+        else:
+            sums = _add_scores(rows.select("rid", "text", F.lit(0.0).alias("value")), model)
+            parts.append(stored(sums.select("rid", "value"), f"slice_{i}"))
+            model.destroy()
     # texts go no further: the scores are stored with the row numbers of this very pass
     split_rows = scored.mapInArrow(_with_scores(split), f"rid bigint, doc {kind}, word binary, n_tokens bigint, n_known bigint, value double, score double")
     split_rows = stored(split_rows, "scored")
@@ -397,6 +453,9 @@ def score(
         F.sum(F.col("times") * each).alias("_value"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known")
     )
     done = split_rows.where("word IS NULL").join(tail, "rid", "left")
+    if parts:
+        total = reduce(DataFrame.union, parts).groupBy("rid").agg(F.sum("value").alias("score"))
+        done = done.drop("score").join(total, "rid")
     return done.select(
         "doc",
         "n_tokens",

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from stowcheck.llm import decontaminate, line_dedup, minhash, mixing, quality, substring_dedup, url_filter, warc
+from stowcheck.llm import decontaminate, line_dedup, lm_scoring, minhash, mixing, quality, substring_dedup, url_filter, warc
 from stowcheck.llm.lm_scoring import score
 from stowcheck.llm.tables import ship_code
 from stowcheck.llm.words import lower_words
@@ -225,3 +225,21 @@ def test_lm_scores(spark, docs, rows):
     # slices change nothing
     two = score(docs, train, depth=2, max_nodes=3_000).collect()
     assert sorted(r.score for r in two) == pytest.approx(sorted(r.score for r in one))
+
+
+def test_lm_slices_are_bounded(spark, monkeypatch):
+    # half of all nodes follow the same two bytes
+    draw = [int(hashlib.md5(str(i).encode()).hexdigest(), 16) for i in range(1200)]
+    words = [chr(97 + d % 25) + chr(97 + d // 25 % 25) + "zz" + chr(97 + d // 625 % 25) for d in draw]
+    df = spark.createDataFrame([(i, " ".join(words[i : i + 100])) for i in range(0, 1200, 100)], "doc_id long, text string")
+    want = {r.doc.doc_id: r.score for r in score(df, F.lit(True), depth=4).collect()}
+    sizes, collected = [], lm_scoring._collected
+
+    def measured(part):
+        found = collected(part)
+        sizes.append(len(found[0]))
+        return found
+
+    monkeypatch.setattr(lm_scoring, "_collected", measured)
+    got = {r.doc.doc_id: r.score for r in score(df, F.lit(True), depth=4, max_nodes=5_000).collect()}
+    assert max(sizes) <= 5_000 and got == pytest.approx(want)
