@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowcheck.llm import decontaminate, line_dedup, lm_scoring, minhash, mixing, quality, substring_dedup, toxicity, url_filter, warc
+from stowcheck.llm import (
+    decontaminate,
+    line_dedup,
+    lm_scoring,
+    minhash,
+    mixing,
+    quality,
+    substring_dedup,
+    token_ids,
+    toxicity,
+    url_filter,
+    warc,
+)
 from stowcheck.llm.tables import read_table, ship_code, stored
 from stowcheck.session import configure, work_path
 
@@ -149,9 +161,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc.doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written in order of documents, and read back from the files."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = work_path(spark, "documents.tokens")
+    token_ids.write_token_ids(token_ids.encode_documents(docs, tokenizer_file("word_bpe_49k.json")), path)
+    return token_ids.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_minhash_dedup, op3_quality_rules, op4_line_dedup, op5_warc, op6_substring_dedup, op7_lm_scoring, op8_decontamination, op9_toxicity, op10_mixing)
-}
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_minhash_dedup, op3_quality_rules, op4_line_dedup, op5_warc, op6_substring_dedup, op7_lm_scoring,
+        op8_decontamination, op9_toxicity, op10_mixing, op11_token_ids,
+    )
+}
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
