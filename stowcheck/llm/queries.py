@@ -171,7 +171,7 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written in order of documents, and read back from the files."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     path = work_path(spark, "documents.tokens")
-    token_ids.write_token_ids(token_ids.encode_documents(docs, tokenizer_file("word_bpe_49k.json")), path)
+    token_ids.write_documents(docs, path, tokenizer_file("word_bpe_49k.json"))
     return token_ids.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

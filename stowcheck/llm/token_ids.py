@@ -8,7 +8,7 @@ documents and ids. So attempts of lost executors leave nothing that is read, and
 starts in the stream of all ids without opening the others. Reading plans one partition per file, and
 decodes the blocks of a few documents at a time.
 
-``encode_documents`` tokenizes whole texts and orders them by (doc_id, hash of the text) in range partitions.
+``write_documents`` orders documents by (doc_id, hash of the text) in range partitions and encodes whole texts.
 Defined results: a NULL or empty text has the end id only; NULL ids come first; repeated rows are repeated
 documents; an empty table makes files without documents; other columns are not written. Paths may lie in any
 file system that pyarrow reaches.
@@ -20,8 +20,10 @@ import json
 import posixpath
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,39 +40,74 @@ SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 MAGIC = b"TOKENS8B"
 ORDER = "_order"
-CODED_AT_ONCE = 1 << 20
+CODED_AT_ONCE = 1 << 18
 END_ID = 1
 
 # --- tokenizing -----------------------------------------------------------------------------------
 
-_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-_tokenizers: dict[str, object] = {}
-_REMEMBERED = 300_000
+_tokenizers: dict[str, WordTokenizer] = {}
+_WORDS, _PIECES = 400_000, 150_000
+_TEXTS_AT_ONCE = 200
 
 
 class WordTokenizer:
     """A tokenizer whose white space separates tokens and is dropped: words are encoded once and remembered.
 
-    Its normalizer and its pattern work inside words, so the ids of a text are those of its words in turn.
+    Its normalizer and its pattern work inside words, so the ids of a text are those of its words in turn. Words
+    of plain characters, which the normalizer only lower-cases, are cut where its pattern cuts them, into letters,
+    single digits and other signs. Such pieces are encoded many in one text, as each ends with a token that is
+    marked as an end; a text whose ends don't match its pieces is encoded piece by piece. Ids are kept and
+    returned as little-endian unsigned 32-bit integers.
     """
 
+    # no quotes (the pattern knows contractions) and no < (special tokens start so)
+    PLAIN = re.compile(r"[!-&(-;=-~\u00C0-\u00FF]+")
+    PIECES = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[0-9]|[^A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_SPLIT.split(t) for t in texts]
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update(zip(part, (c.ids for c in coded), strict=True))
-        known = self.known
-        return [np.array([i for w in words for i in known[w]], np.uint32) for words in split]
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # bytes.split() separates at the six ASCII white spaces only
+        split = [t.encode().split() for t in texts]
+        for known, most in ((self.words, _WORDS), (self.pieces, _PIECES)):
+            if len(known) > most:
+                known.clear()
+        self._learn(set(chain.from_iterable(split)).difference(self.words))
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+    def _learn(self, new: set[bytes]) -> None:
+        plain: dict[bytes, list[str]] = {}
+        other: list[bytes] = []
+        for word in new:
+            text = word.decode()
+            if self.PLAIN.fullmatch(text):
+                plain[word] = self.PIECES.findall(text)
+            else:
+                other.append(word)
+        pieces = list(set(chain.from_iterable(plain.values())).difference(self.pieces))
+        for k in range(0, len(pieces), 5_000):
+            part = pieces[k : k + 5_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.pieces.update((p, data[cuts[i] : cuts[i + 1]]) for i, p in enumerate(part))
+            else:
+                self.pieces.update(zip(part, self._each(part), strict=True))
+        self.words.update((w, b"".join(map(self.pieces.__getitem__, found))) for w, found in plain.items())
+        self.words.update(zip(other, self._each([w.decode() for w in other]), strict=True))
+
+    def _each(self, texts: list[str]) -> Iterator[bytes]:
+        for coded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield array("I", coded.ids).tobytes()
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -79,22 +116,16 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): little-endian unsigned 32-bit ids of every text and the end id, in order of documents."""
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokenizer(tokenizer_path)
-        end = np.array([end_id], np.uint32)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [np.concatenate([i, end]).astype("<u4").tobytes() for i in tokenizer.encode(texts)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in range partitions by (doc_id, hash of the text), and in that order in each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest(F.col("text")).alias("_digest"))
     ordered = rows.repartitionByRange("doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
-    return ordered.select("doc_id", "text").mapInArrow(encoded, "doc_id long, ids binary")
+    return ordered.select("doc_id", "text")
+
+
+def write_documents(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, **options) -> None:
+    """Ids of every text and the end id, in order of documents; texts are encoded by the tasks that write."""
+    write_token_ids(in_order(docs), path, tokenizer=tokenizer_path, end_id=end_id, **options)
 
 
 # --- files ----------------------------------------------------------------------------------------
@@ -196,8 +227,21 @@ class TokenCommit(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, max_file_ids: int):
+    def __init__(self, path: str, max_file_ids: int, tokenizer: str | None, end_id: int):
         self.path, self.max_file_ids = path, max_file_ids
+        self.tokenizer, self.end_id = tokenizer, end_id
+
+    def coded(self, batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+        """(doc_id, ids) of a batch that has ids, or texts to encode."""
+        doc_ids = batch.column("doc_id").to_pylist()
+        if self.tokenizer is None:
+            yield from zip(doc_ids, batch.column("ids").to_pylist(), strict=True)
+            return
+        tokenizer, end = word_tokenizer(self.tokenizer), array("I", [self.end_id]).tobytes()
+        for k in range(0, len(doc_ids), _TEXTS_AT_ONCE):
+            texts = [t or "" for t in batch.column("text").slice(k, _TEXTS_AT_ONCE).to_pylist()]
+            for doc_id, ids in zip(doc_ids[k : k + _TEXTS_AT_ONCE], tokenizer.encode(texts), strict=True):
+                yield doc_id, ids + end
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> TokenCommit:
         system, path = _open(self.path)
@@ -209,11 +253,11 @@ class TokenWriter(DataSourceArrowWriter):
             files.append((name, len(out.lengths), out.n_ids))
 
         for batch in iterator:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+            for doc_id, ids in self.coded(batch):
                 if out is None:
                     name = f".{uuid.uuid4().hex}.tokens"
                     out = TokenFile(system.open_output_stream(posixpath.join(path, name)))
-                out.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4").astype(np.uint64))
+                out.add(doc_id, np.frombuffer(ids or b"", "<u4"))
                 if out.n_ids >= self.max_file_ids:
                     done()
                     out = None
@@ -281,7 +325,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class TokenDataSource(DataSource):
-    """Options: ``path``; ``max_file_ids`` for writing."""
+    """Options: ``path``; for writing ``max_file_ids``, and ``tokenizer`` (its file) with ``end_id`` for rows with
+    a text in place of ids."""
 
     @classmethod
     def name(cls) -> str:
@@ -294,11 +339,19 @@ class TokenDataSource(DataSource):
         return TokenReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> TokenWriter:
-        return TokenWriter(self.options["path"], int(self.options.get("max_file_ids", 32 << 20)))
+        return TokenWriter(
+            self.options["path"],
+            int(self.options.get("max_file_ids", 32 << 20)),
+            self.options.get("tokenizer"),
+            int(self.options.get("end_id", END_ID)),
+        )
 
 
 def write_token_ids(coded: DataFrame, path: str, **options) -> None:
-    """(doc_id, ids) rows, in the order of their partitions; ``path`` must be new."""
+    """(doc_id, ids) rows, in the order of their partitions; ids are little-endian unsigned 32-bit integers.
+
+    ``path`` must be new. NULL ids count as none.
+    """
     coded.sparkSession.dataSource.register(TokenDataSource)
     coded.write.format("token_ids").mode("append").options(**options).save(path)
 

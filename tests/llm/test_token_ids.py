@@ -1,5 +1,6 @@
 """Simple-8b, and files of token ids, against the tokenizer itself on whole texts."""
 
+import random
 import zlib
 
 import numpy as np
@@ -55,6 +56,14 @@ def test_simple8b_round_trip(high):
                 assert (block == v[b * simple8b.BLOCK : (b + 1) * simple8b.BLOCK]).all()
 
 
+def test_words_encoded_by_themselves_equal_whole_texts(tokenizer):
+    path, rng = queries.tokenizer_file("word_bpe_49k.json"), random.Random(3)
+    signs = "aZ09'<|> .,éÉ×÷ßªº́İıſﬁ日_-*\x1c\x85\u2028\xa0ǅ½²"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) + rng.choice(["", "<|endoftext|>", "don't", "'S x"]) for _ in range(2_000)]
+    for text, ids in zip(texts, token_ids.WordTokenizer(path).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_words_pack_their_selectors_share():
     assert len(simple8b.encode(np.ones(60, np.uint64))[0]) == 1
     assert len(simple8b.encode(np.full(1000, 40_000, np.uint64))[0]) == 1
@@ -65,7 +74,7 @@ def test_words_pack_their_selectors_share():
 def test_files_read_back(spark, docs, tokenizer, tmp_path, max_file_ids):
     path = str(tmp_path / "tokens")
     small = docs.where("doc_id is null or doc_id % 10 < 3 or doc_id < 0")
-    token_ids.write_token_ids(token_ids.encode_documents(small, queries.tokenizer_file("word_bpe_49k.json")), path, max_file_ids=max_file_ids)
+    token_ids.write_documents(small, path, queries.tokenizer_file("word_bpe_49k.json"), max_file_ids=max_file_ids)
     got = token_ids.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids")).collect()
     want = expected([(r.doc_id, r.text) for r in small.collect()], tokenizer)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
@@ -73,13 +82,13 @@ def test_files_read_back(spark, docs, tokenizer, tmp_path, max_file_ids):
 
 def test_empty_table(spark, docs, tmp_path):
     path = str(tmp_path / "none")
-    token_ids.write_token_ids(token_ids.encode_documents(docs.where("false"), queries.tokenizer_file("word_bpe_49k.json")), path)
+    token_ids.write_documents(docs.where("false"), path, queries.tokenizer_file("word_bpe_49k.json"))
     assert token_ids.read_token_ids(spark, path).count() == 0
 
 
 def test_cut_file_is_an_error(spark, docs, tmp_path):
     path = tmp_path / "cut"
-    token_ids.write_token_ids(token_ids.encode_documents(docs.limit(5), queries.tokenizer_file("word_bpe_49k.json")), str(path))
+    token_ids.write_documents(docs.limit(5), str(path), queries.tokenizer_file("word_bpe_49k.json"))
     for file in path.glob("*.tokens"):
         file.write_bytes(file.read_bytes()[:-3])
     with pytest.raises(Exception, match="not a whole file"):
