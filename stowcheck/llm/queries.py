@@ -14,6 +14,7 @@ from stowcheck.llm import (
     minhash,
     mixing,
     quality,
+    spelling,
     substring_dedup,
     token_ids,
     toxicity,
@@ -175,11 +176,17 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some of them misspelled by a rule, with their near words, forms and roots."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.grouped(spelling.word_counts(docs, spelling.misspelled))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_minhash_dedup, op3_quality_rules, op4_line_dedup, op5_warc, op6_substring_dedup, op7_lm_scoring,
-        op8_decontamination, op9_toxicity, op10_mixing, op11_token_ids,
+        op8_decontamination, op9_toxicity, op10_mixing, op11_token_ids, op13_spelling_variants,
     )
 }
 

@@ -17,6 +17,7 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 RUN, ESCAPE = 14, 15
 RUN_BITS = 32
 _LIMITS = np.array([1 << int(b) for b in BITS], np.uint64)
+_KIND_OF_BITS = np.searchsorted(BITS, np.arange(54)).astype(np.int8)
 _U = np.uint64
 
 
@@ -31,24 +32,27 @@ def encode(values: np.ndarray, first_exception: int = 0) -> tuple[np.ndarray, np
     blocks = -(-n // BLOCK)
     if not blocks:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    # smallest selector class a value fits; places past the end fit nothing
-    kind = np.full(blocks * BLOCK, 16, np.int8)
-    kind[:n] = np.searchsorted(_LIMITS, values, side="right")
-    kind = kind.reshape(blocks, BLOCK)
-    take = np.ones((blocks, BLOCK), np.int64)
-    chosen = np.where(kind == 14, ESCAPE, 13).astype(np.int8)
-    for s in range(12, max(-1, int(kind.min()) - 1), -1):
-        count = int(COUNTS[s])
-        too_wide = np.zeros((blocks, BLOCK + 1), np.int16)
-        np.cumsum(kind > s, axis=1, out=too_wide[:, 1:])
-        fits = too_wide[:, count:] == too_wide[:, :-count]
-        chosen[:, : fits.shape[1]][fits] = s
-        take[:, : fits.shape[1]][fits] = count
+    # smallest selector class a value fits; places past a block's end fit nothing
+    kind = np.full((blocks, BLOCK + int(COUNTS[0])), 16, np.int8)
+    kind[:, :BLOCK] = _kinds(values, blocks * BLOCK).reshape(blocks, BLOCK)
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = values
-    left = _run_lengths(flat.reshape(blocks, BLOCK), n)
-    runs = (left > take) & (kind <= 13) & (flat.reshape(blocks, BLOCK) < _U(1 << RUN_BITS))
-    chosen[runs], take[runs] = RUN, left[runs]
+    # the selector of most values whose widest value fits, for every place; windows of 2 to 60 places are
+    # made of two shorter ones
+    chosen = np.where(kind[:, :BLOCK] == 14, ESCAPE, 13).astype(np.int8)
+    widest = {1: kind}
+    for s in range(12, max(-1, int(kind.min()) - 1), -1):
+        count = int(COUNTS[s])
+        half = min(c for c in widest if 2 * c >= count)
+        longer = np.maximum(widest[half][:, : half - count or None], widest[half][:, count - half :])
+        widest[count] = longer
+        np.putmask(chosen, longer[:, :BLOCK] <= s, np.int8(s))
+    take = COUNTS.astype(np.int32)[np.minimum(chosen, 13)]
+    equal = flat[1:] == flat[:-1]
+    if (equal[2:] & equal[1:-1] & equal[:-2]).any():
+        left = _run_lengths(flat.reshape(blocks, BLOCK), n)
+        runs = (left > take) & (kind[:, :BLOCK] <= 13) & (flat.reshape(blocks, BLOCK) < _U(1 << RUN_BITS))
+        chosen[runs], take[runs] = RUN, left[runs]
 
     lengths = np.full(blocks, BLOCK, np.int64)
     lengths[-1] = n - (blocks - 1) * BLOCK
@@ -87,6 +91,17 @@ def encode(values: np.ndarray, first_exception: int = 0) -> tuple[np.ndarray, np
     return words, per_block, exceptions
 
 
+def _kinds(values: np.ndarray, size: int) -> np.ndarray:
+    """Smallest selector class of each value, 14 for an exception; 16 past the end."""
+    kind = np.full(size, 16, np.int8)
+    if len(values) and values.max() < 1 << 53:
+        # exact below 2^53: the exponent is the number of bits
+        kind[: len(values)] = _KIND_OF_BITS[np.frexp(values.astype(np.float64))[1]]
+    else:
+        kind[: len(values)] = np.searchsorted(_LIMITS, values, side="right")
+    return kind
+
+
 def _run_lengths(values: np.ndarray, n: int) -> np.ndarray:
     """For every place, how many equal values follow from it on, itself included, within its block."""
     blocks = len(values)
@@ -94,7 +109,7 @@ def _run_lengths(values: np.ndarray, n: int) -> np.ndarray:
     ends[:, :-1] = values[:, 1:] != values[:, :-1]
     ends.reshape(-1)[n - 1] = True
     last = np.flatnonzero(ends.reshape(-1))
-    until = last[np.searchsorted(last, np.arange(blocks * BLOCK))]
+    until = np.repeat(last, np.diff(last, prepend=-1))
     return (until - np.arange(blocks * BLOCK) + 1).reshape(blocks, BLOCK)
 
 

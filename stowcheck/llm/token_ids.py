@@ -40,13 +40,13 @@ SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 MAGIC = b"TOKENS8B"
 ORDER = "_order"
-CODED_AT_ONCE = 1 << 18
+CODED_AT_ONCE = 1 << 19
 END_ID = 1
 
 # --- tokenizing -----------------------------------------------------------------------------------
 
 _tokenizers: dict[str, WordTokenizer] = {}
-_WORDS, _PIECES = 400_000, 150_000
+_WORDS, _PIECES = 1_000_000, 300_000
 _TEXTS_AT_ONCE = 200
 
 
@@ -89,7 +89,7 @@ class WordTokenizer:
         for word in new:
             text = word.decode()
             if self.PLAIN.fullmatch(text):
-                plain[word] = self.PIECES.findall(text)
+                plain[word] = self.PIECES.findall(text.lower())
             else:
                 other.append(word)
         pieces = list(set(chain.from_iterable(plain.values())).difference(self.pieces))
