@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowcheck.llm import (
+    align,
     decontaminate,
     line_dedup,
     lm_scoring,
@@ -176,6 +177,17 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned groups and links of two tokenizers in every document, and how common its links are.
+
+    The ranks are the vocabulary of byte_bpe_50k.json.
+    """
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, some of them misspelled by a rule, with their near words, forms and roots."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -186,7 +198,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_minhash_dedup, op3_quality_rules, op4_line_dedup, op5_warc, op6_substring_dedup, op7_lm_scoring,
-        op8_decontamination, op9_toxicity, op10_mixing, op11_token_ids, op13_spelling_variants,
+        op8_decontamination, op9_toxicity, op10_mixing, op11_token_ids, op12_tokenizer_alignment,
+        op13_spelling_variants,
     )
 }
 
