@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from stowcheck.llm.pair_runs import Spilled, packed, run_bytes, unpacked
 from stowcheck.llm.tables import stored
 
 RADIX_BITS = 6
-CHUNK_RECORDS = 3_000_000
+CHUNK_RECORDS = 2_000_000
 CHUNK_DOCS = 1 << 14
 WIDE_GROUP = 1 << 16
 # a record: A id, B id, document of the chunk
@@ -66,13 +67,22 @@ class Side:
         return b"".join(map(self.spelled.__getitem__, ids))
 
 
+# tiktoken's pattern overruns its stack on some hundred thousand white spaces in a row
+_LONG_SPACE = re.compile(r"\s{20000}")
+
+
 class Tokenizers:
-    """Byte-level BPE (A, a tiktoken file of ranks) and SentencePiece (B)."""
+    """Byte-level BPE (A) and SentencePiece (B).
+
+    A is given twice, as a tiktoken file of ranks with its pattern, which is several times faster, and as the same
+    vocabulary for the tokenizers library, which encodes texts with very long white space.
+    """
 
-    def __init__(self, ranks_path: str, pieces_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, vocabulary_path: str, pieces_path: str):
         import sentencepiece
         import tiktoken
 
+        self.vocabulary_path, self.slow_a = vocabulary_path, None
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -93,14 +103,26 @@ class Tokenizers:
                 yield None
                 continue
             whole = (" " + text).encode()
-            a = self.a.encode_ordinary(" " + text)
+            a = self._encode_a(" " + text)
             if self.side_a.join(a) == whole and self.side_b.join(b) == whole:
                 yield np.array(a, np.int64), np.array(b, np.int64)
             else:
                 yield None
 
 
-_loaded: dict[tuple[str, str, str], Tokenizers] = {}
+    def _encode_a(self, text: str) -> list[int]:
+        if len(text) < 20_000 or not _LONG_SPACE.search(text):
+            return self.a.encode_ordinary(text)
+        if self.slow_a is None:
+            from tokenizers import Tokenizer
+
+            self.slow_a = Tokenizer.from_file(self.vocabulary_path)
+            # strings of special tokens are text like any other
+            self.slow_a.encode_special_tokens = True
+        return self.slow_a.encode(text, add_special_tokens=False).ids
+
+
+_loaded: dict[tuple[str, ...], Tokenizers] = {}
 
 
 def tokenizers(*paths: str) -> Tokenizers:
@@ -146,7 +168,7 @@ class Aligned:
         of = np.repeat(np.arange(len(self.a)), many)
         inside = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
         found = [pair_key(self.a[of], self.b[first_b[self.group_a[of]] + inside])]
-        links = [np.ones(len(of), np.int64)]
+        links = [np.ones(len(of), np.int32)]
         for g in np.flatnonzero(wide):
             # ids of a wide group and how often each occurs, instead of its tokens
             ids_a, n_a = np.unique(self.a[self.group_a == g], return_counts=True)
@@ -171,7 +193,7 @@ class Chunk:
         self.docs: list[tuple] = []
         self.records: list[np.ndarray] = []
         self.links: list[np.ndarray] = []
-        self.size = 0
+        self.size, self.weighted = 0, False
 
     def add(self, doc_id: int | None, aligned: Aligned | None, both: Tokenizers) -> None:
         doc = len(self.docs)
@@ -184,6 +206,7 @@ class Chunk:
         self.records.append((pairs << np.uint64(DOC_BITS)) | np.uint64(doc))
         self.links.append(links)
         self.size += len(pairs)
+        self.weighted |= bool((links > 1).any())
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """A row per document, and one per radix with its run of keys and its records."""
@@ -193,11 +216,18 @@ class Chunk:
         yield _encoded(columns, n)
         if not self.size:
             return
-        records, links = np.concatenate(self.records), np.concatenate(self.links)
-        order = np.argsort(records)
-        records, links = records[order], links[order]
-        starts = np.flatnonzero(np.diff(records, prepend=~records[0]))
-        records, links = records[starts], np.add.reduceat(links, starts)
+        records = np.concatenate(self.records)
+        self.records.clear()
+        if self.weighted:
+            order = np.argsort(records)
+            records, links = records[order], np.concatenate(self.links)[order]
+            starts = np.flatnonzero(np.diff(records, prepend=~records[0]))
+            links = np.add.reduceat(links, starts)
+        else:
+            records.sort()
+            starts = np.flatnonzero(np.diff(records, prepend=~records[0]))
+            links = np.diff(starts, append=len(records))
+        records = records[starts]
         pairs, docs = records >> np.uint64(DOC_BITS), records & np.uint64((1 << DOC_BITS) - 1)
         radix = ((pairs >> np.uint64(B_BITS)) & np.uint64((1 << self.radix_bits) - 1)).astype(np.int64)
         order = np.argsort(radix, kind="stable")
@@ -216,16 +246,15 @@ def _encoded(columns: dict, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in ENCODED], schema=ENCODED)
 
 
-def align(docs: DataFrame, ranks_path: str, pieces_path: str, pattern: str, radix_bits: int = RADIX_BITS,
-          chunk_records: int = CHUNK_RECORDS) -> DataFrame:
+def align(docs: DataFrame, files: tuple[str, str, str, str], radix_bits: int = RADIX_BITS, chunk_records: int = CHUNK_RECORDS) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document.
 
     n_best counts links whose pair is as common as the commonest of its A id; count_sum sums the counts over
-    links. ``radix_bits``: the merge runs in 2^radix_bits independent parts; more for more chunks.
+    links. ``files`` are the arguments of ``Tokenizers``. ``radix_bits``: the merge runs in 2^radix_bits independent parts; more for more chunks.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = tokenizers(ranks_path, pieces_path, pattern)
+        both = tokenizers(*files)
         number = TaskContext.get().partitionId() << 32
         chunk = Chunk(number, radix_bits)
         for batch in batches:

@@ -178,14 +178,17 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned groups and links of two tokenizers in every document, and how common its links are.
+    """Aligned groups and links of two tokenizers in every document, and how common its links are."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, two_tokenizers())
 
-    The ranks are the vocabulary of byte_bpe_50k.json.
-    """
+
+def two_tokenizers() -> tuple[str, str, str, str]:
     import public_tokenizers
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return align.align(docs, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    files = map(public_tokenizers.path, ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+    ranks, vocabulary, pieces = files
+    return ranks, public_tokenizers.PATTERN, vocabulary, pieces
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

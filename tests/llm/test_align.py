@@ -15,7 +15,7 @@ from stowcheck.llm.tables import ship_code
 SF = "/root/testdata/sf0.001"
 ODD = [(None, "a null id"), (900001, None), (900002, ""), (900003, " \t\n "), (900003, " \t\n "), (900004, "word " * 20_000),
        (900005, "Ünï<|endoftext|></s><unk> x ́y 日本語 🎉🎉 \x00\x1c\x85 ▁ ▁x"), (900006, "=" * 5_001 + "-" * 777 + " " * 999), (900007, "ab" * 30_000),
-       (900008, "▁")]
+       (900008, "▁"), (900009, " " * 300_000 + "x" + "\n" * 50_000)]
 
 
 @pytest.fixture(scope="module")
@@ -86,10 +86,6 @@ def columns(df):
     return sorted(map(tuple, rows), key=str)
 
 
-def paths():
-    return queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.tokenizer_file("piece_bpe_32k.model"), public_tokenizers.PATTERN
-
-
 def test_runs_merge():
     rng = np.random.default_rng(1)
     want, spilled = collections.Counter(), pair_runs.Spilled()
@@ -105,12 +101,12 @@ def test_runs_merge():
 # few records to a chunk give many runs to merge
 @pytest.mark.parametrize(("radix_bits", "chunk_records"), [(0, 2_000), (3, 20_000), (align.RADIX_BITS, align.CHUNK_RECORDS)])
 def test_alignment_equals_brute_force(docs, radix_bits, chunk_records):
-    got = columns(align.align(docs, *paths(), radix_bits, chunk_records))
+    got = columns(align.align(docs, queries.two_tokenizers(), radix_bits, chunk_records))
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
 def test_wide_groups_count_like_others(monkeypatch, docs):
-    both = align.tokenizers(*paths())
+    both = align.tokenizers(*queries.two_tokenizers())
     for text in ("=" * 501, "word word", "ab" * 300):
         a, b = next(both.encode([text]))
         aligned = align.Aligned(both, a, b)
@@ -125,7 +121,7 @@ def test_wide_groups_count_like_others(monkeypatch, docs):
 
 
 def test_empty_table(docs):
-    assert align.align(docs.where("false"), *paths()).count() == 0
+    assert align.align(docs.where("false"), queries.two_tokenizers()).count() == 0
 
 
 def test_registered_query(spark):
