@@ -68,6 +68,17 @@ def symlink_root(path: Column) -> Column:
     )
 
 
+# inventory/<alias>/<side>/<bucket>/<bucket>/<id>/hive/dt=<dt>/symlink.txt
+_DELIVERY = r"(?:^|/)inventory/([^/]+)/(source|backup)/([^/]+)/.*/hive/dt=([^/]+)/symlink\.txt$"
+
+
+def delivery_fields(path: Column) -> Column:
+    """(source_alias, side, bucket, dt) that the path of a delivered snapshot names; NULL for other paths."""
+    names = ("source_alias", "side", "bucket", "dt")
+    fields = [F.regexp_extract(path, _DELIVERY, i + 1).alias(name) for i, name in enumerate(names)]
+    return F.when(path.rlike(_DELIVERY), F.struct(*fields))
+
+
 def arn_bucket(arn: Column) -> Column:
     return F.substring_index(arn, ":::", -1)
 

@@ -4,20 +4,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowcheck.constants import PURGE_BATCH_SIZE, VERSION_RETENTION_DAYS
-from stowcheck.operators.toolkit import BUCKET, KEY, carry_last, latest_per_group, neighbour
+from stowcheck.operators.toolkit import (
+    BUCKET,
+    KEY,
+    broadcast_if_small,
+    count_at_most,
+    latest_per_group,
+    neighbours,
+)
 
 ORDER = ["last_modified", "version_id"]
 
 
-def _month() -> Column:
-    return F.date_trunc("month", "last_modified")
-
-
 def version_changes(versions: DataFrame) -> DataFrame:
     """Each version against the one before it: a true mutation, or a re-copy of equal content."""
-    paired = neighbour(
-        versions, ["key"], _month(), ORDER, F.col("e_tag"), "previous_e_tag"
-    )
+    used = versions.select("key", *ORDER, "e_tag")
+    paired = neighbours(used, ["key"], ORDER, before={"previous_e_tag": "e_tag"})
     kind = (
         F.when(F.col("previous_e_tag").isNull(), "first")
         .when(F.col("previous_e_tag") == F.col("e_tag"), "recopy")
@@ -26,16 +28,16 @@ def version_changes(versions: DataFrame) -> DataFrame:
     return paired.select("key", "version_id", "last_modified", "e_tag", "previous_e_tag", kind.alias("kind"))
 
 
-def with_superseded_at(versions: DataFrame) -> DataFrame:
-    return neighbour(
-        versions, ["key"], _month(), ORDER, F.col("last_modified"), "superseded_at", following=True
-    )
+def with_superseded_at(versions: DataFrame, *columns: str) -> DataFrame:
+    """Key, order and ``columns`` of every version (all by default) with the time of the one after it."""
+    used = versions.select("key", *ORDER, *columns) if columns else versions
+    return neighbours(used, ["key"], ORDER, after={"superseded_at": "last_modified"})
 
 
 def mutated_in_window(versions: DataFrame, start: Column, end: Column) -> DataFrame:
     """Versions written or superseded inside [start, end]."""
     return (
-        with_superseded_at(versions)
+        neighbours(versions.select("key", *ORDER), ["key"], ORDER, after={"superseded_at": "last_modified"})
         .select(
             "key",
             "version_id",
@@ -79,48 +81,62 @@ def noncurrent_expiry(
     expires = F.col("superseded_at") + F.make_dt_interval(days=F.lit(retention_days))
     kept_forever = retention_days == 0
     return (
-        with_superseded_at(versions)
+        with_superseded_at(versions, "size")
         .where(~F.lit(kept_forever) & (expires <= at))
         .select("key", "version_id", "size", "superseded_at", expires.alias("expired_at"))
     )
 
 
-def mutation_run_match(versions: DataFrame, runs: DataFrame, salts: int = 64) -> DataFrame:
-    """The backup run that wrote each version: the last run of its source started by then.
+def runs_by_day(runs: DataFrame) -> DataFrame:
+    """(source_alias, day, runs, carried): the runs of each day in order, and the last run before it.
 
-    An as-of lookup over the union of both, windowed per source, salt and day. A first backup writes a
-    whole source in one day, so versions are dealt to ``salts`` groups by their key and id; the few runs
-    are repeated in each.
+    There is a row for every day from a source's first run to the day after its last; of several runs started
+    at once the one with the largest id counts. Windows are over the days of a source.
     """
-    events = versions.select(
+    daily = runs.groupBy("source_alias", F.to_date("started_at").alias("_from")).agg(
+        F.array_sort(F.collect_list(F.struct("started_at", "run_id"))).alias("runs")
+    )
+    days = Window.partitionBy("source_alias").orderBy("_from")
+    last = F.element_at("runs", -1)
+    spans = daily.select(
         "source_alias",
-        F.col("last_modified").alias("at"),
-        F.lit(1).alias("kind"),
-        F.col("version_id").alias("id"),
-        "key",
-        F.lit(None).cast("struct<run_id:bigint,started_at:timestamp>").alias("run"),
-        F.pmod(F.xxhash64("key", "version_id"), F.lit(salts)).alias("salt"),
-    ).unionByName(
-        runs.select(
-            "source_alias",
-            F.col("started_at").alias("at"),
-            F.lit(0).alias("kind"),
-            F.col("run_id").alias("id"),
-            F.lit(None).cast("string").alias("key"),
-            F.struct("run_id", "started_at").alias("run"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"),
-        )
+        "_from",
+        "runs",
+        F.lag(last).over(days).alias("_before"),
+        F.coalesce(F.lead("_from").over(days), F.date_add("_from", 2)).alias("_until"),
     )
-    matched = carry_last(
-        events, ["source_alias", "salt"], F.to_date("at"), ["at", "kind", "id"], F.col("run"), "writer"
+    each = spans.withColumn("day", F.explode(F.sequence(F.col("_from"), F.date_sub("_until", 1))))
+    first = F.col("day") == F.col("_from")
+    return each.select(
+        "source_alias",
+        "day",
+        F.when(first, F.col("runs")).otherwise(F.slice("runs", 1, 0)).alias("runs"),
+        F.when(first, F.col("_before")).otherwise(last).alias("carried"),
     )
-    return matched.where(F.col("kind") == 1).select(
+
+
+def mutation_run_match(versions: DataFrame, runs: DataFrame) -> DataFrame:
+    """The backup run that wrote each version: the last run of its source started by then.
+
+    Versions are neither sorted nor copied. Each is joined with the runs of its source and day, in order, and
+    its run is searched for within the row. The runs are broadcast if their days are few, which is counted;
+    else both sides are shuffled by source and day, and AQE splits a day that holds many versions.
+    """
+    by_day = runs_by_day(runs)
+    ends = by_day.groupBy("source_alias").agg(F.max("day").alias("_end"))
+    known = versions.select("source_alias", "key", "version_id", "last_modified").join(broadcast_if_small(ends), "source_alias", "left")
+    # later versions belong to the day after the last run, which has that run carried in
+    day = F.least(F.to_date("last_modified"), F.col("_end"))
+    matched = known.withColumn("day", day).join(broadcast_if_small(by_day), ["source_alias", "day"], "left")
+    started = count_at_most(F.col("runs"), F.col("last_modified"), lambda run: run["started_at"])
+    writer = F.when(started > 0, F.get("runs", started - 1)).otherwise(F.col("carried"))
+    return matched.withColumn("_writer", writer).select(
         "source_alias",
         "key",
-        F.col("id").alias("version_id"),
-        F.col("at").alias("last_modified"),
-        F.col("writer.run_id").alias("run_id"),
-        F.col("writer.started_at").alias("run_started_at"),
+        "version_id",
+        "last_modified",
+        F.col("_writer.run_id").alias("run_id"),
+        F.col("_writer.started_at").alias("run_started_at"),
     )
 
 

@@ -88,7 +88,7 @@ def key_sides(inventory: DataFrame, source_dt: str, backup_dt: str | None = None
 
 
 def newest_key_sides(inventory: DataFrame, newest: DataFrame) -> DataFrame:
-    """``sides_per_key`` of the snapshots in ``newest``: one (source_alias, side, dt) per source and side."""
+    """``sides_per_key`` of the snapshots in ``newest``, one per bucket and side."""
     return sides_per_key(at_delivered(inventory, newest))
 
 
@@ -110,23 +110,24 @@ def sides_per_key(snapshots: DataFrame) -> DataFrame:
 
 
 def divergence_counts(sides: DataFrame, delivered: DataFrame) -> DataFrame:
-    """Counts in both directions from ``key_sides``; NULL unless both sides have a snapshot.
+    """Counts in both directions per bucket from ``key_sides``; NULL unless both sides have a snapshot.
 
-    ``delivered`` holds the compared (source_alias, side, dt): a delivered snapshot without current
+    ``delivered`` holds the compared (source_alias, label, side, dt): a delivered snapshot without current
     keys is available and counts as empty.
     """
-    compared = delivered.groupBy("source_alias").agg(
+    compared = delivered.groupBy(*BUCKET).agg(
         F.max(F.when(F.col("side") == "source", F.col("dt"))).alias("source_dt"),
         F.max(F.when(F.col("side") == "backup", F.col("dt"))).alias("backup_dt"),
     )
-    counts = sides.groupBy("source_alias").agg(
+    counts = sides.groupBy(*BUCKET).agg(
         F.sum(F.when(F.col("in_backup") == 0, F.col("in_source")).otherwise(0)).alias("_missing"),
         F.sum(F.when(F.col("in_source") == 0, F.col("in_backup")).otherwise(0)).alias("_orphans"),
     )
     available = F.col("source_dt").isNotNull() & F.col("backup_dt").isNotNull()
     none = F.lit(0).cast("bigint")
-    return compared.join(per_source(counts), "source_alias", "left").select(
-        "source_alias",
+    # one row per configured bucket
+    return compared.join(per_source(counts), BUCKET, "left").select(
+        *BUCKET,
         "source_dt",
         "backup_dt",
         F.when(available, F.coalesce("_missing", none)).alias("source_minus_backup"),
@@ -135,6 +136,19 @@ def divergence_counts(sides: DataFrame, delivered: DataFrame) -> DataFrame:
     )
 
 
+def source_divergence(divergence: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``divergence_counts`` summed per source over its available buckets; NULL if there is none.
+
+    ``buckets_unavailable`` counts registered buckets that can't be compared, those never delivered included.
+    """
+    every = pairs.select(*BUCKET).distinct().join(per_source(divergence), BUCKET, "left")
+    return every.groupBy("source_alias").agg(
+        F.sum("source_minus_backup").alias("source_minus_backup"),
+        F.sum("backup_minus_source").alias("backup_minus_source"),
+        F.count_if(~F.coalesce("available", F.lit(False))).alias("buckets_unavailable"),
+    )
+
+
 def missing_keys(source: DataFrame, backup: DataFrame) -> DataFrame:
     return source.select(*KEY).join(backup.select(*KEY), KEY, "left_anti")
 

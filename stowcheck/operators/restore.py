@@ -135,19 +135,22 @@ def restore_verify(
     )
 
 
-def bucket_results(verified: DataFrame, registry: DataFrame) -> DataFrame:
-    """Restore-test result per registered source; one without a sample is skipped."""
-    tested = verified.groupBy("source_alias").agg(
-        F.count("*").alias("sample_count"),
-        F.count_if(F.col("outcome") == "copy_error").alias("copy_errors"),
-        F.count_if(F.col("outcome") == "mismatch").alias("mismatches"),
+def bucket_results(verified: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Restore-test result per registered bucket and its backup; one without a sample is skipped.
+
+    The keys in error are listed: samples, and so the lists, have a fixed number of rows per bucket.
+    """
+    def keys_of(outcome: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("outcome") == outcome, F.struct("key", "detail"))))
+
+    tested = verified.groupBy(*BUCKET).agg(
+        F.count("*").alias("sample_count"), keys_of("copy_error").alias("errors"), keys_of("mismatch").alias("mismatches")
     )
-    failed = (F.col("copy_errors") > 0) | (F.col("mismatches") > 0)
+    failed = F.greatest(F.size("errors"), F.size("mismatches")) > 0
     return (
-        registry.select("source_alias")
-        .distinct()
-        .join(per_source(tested), "source_alias", "left")
-        .na.fill(0)
+        pairs.select(*BUCKET, "source_bucket", "backup_bucket")
+        .join(per_source(tested), BUCKET, "left")
+        .na.fill(0, ["sample_count"])
         .withColumn(
             "result",
             F.when(F.col("sample_count") == 0, "skipped").when(failed, "failed").otherwise("passed"),

@@ -4,10 +4,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowcheck.constants import FRESHNESS_HOURS
-from stowcheck.functions.keys import is_operational
+from stowcheck.functions.keys import delivery_fields, is_operational
 from stowcheck.functions.objects import is_archived, is_current
 from stowcheck.functions.times import age_hours
-from stowcheck.operators.toolkit import first_per_group, per_source
+from stowcheck.operators.toolkit import BUCKET, first_per_group, per_source
 
 
 def snapshot(inventory: DataFrame, alias: str, side: str, dt: str) -> DataFrame:
@@ -36,31 +36,57 @@ def backup_side(inventory: DataFrame, dt: str) -> DataFrame:
     )
 
 
-def latest_partitions(inventory: DataFrame) -> DataFrame:
-    """Newest ``dt`` per (alias, side). Reads no data column; alias without delivery has no row."""
-    return inventory.groupBy("source_alias", "side").agg(F.max("dt").alias("dt"))
+# a snapshot is that of a bucket: buckets of one source, and the two sides of one bucket, are delivered apart
+SNAPSHOT = [*BUCKET, "side"]
 
 
-def two_latest_partitions(inventory: DataFrame) -> DataFrame:
-    delivered = inventory.select("source_alias", "side", "dt").distinct()
-    window = Window.partitionBy("source_alias", "side").orderBy(F.desc("dt"))
+def delivery_catalogue(listing: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source_alias, label, side, bucket, dt) of every delivered snapshot, from the paths of a listing alone.
+
+    ``pairs`` names the label of a bucket and of its backup (source_alias, label, source_bucket, backup_bucket).
+    Paths that name no snapshot, and buckets that aren't registered, are left out.
+    """
+    both = F.array(
+        F.struct(F.lit("source").alias("side"), F.col("source_bucket").alias("bucket")),
+        F.struct(F.lit("backup").alias("side"), F.col("backup_bucket").alias("bucket")),
+    )
+    labels = pairs.select(*BUCKET, F.inline(both)).distinct()
+    delivered = listing.select(delivery_fields(F.col("key")).alias("_of")).where(F.col("_of").isNotNull()).select("_of.*")
+    named = delivered.join(per_source(labels), ["source_alias", "side", "bucket"])
+    return named.select(*SNAPSHOT, "bucket", "dt").distinct()
+
+
+def latest_partitions(catalogue: DataFrame) -> DataFrame:
+    """Newest ``dt`` per bucket and side; a bucket without delivery has no row."""
+    return catalogue.groupBy(*SNAPSHOT).agg(F.max("dt").alias("dt"))
+
+
+def two_latest_partitions(catalogue: DataFrame) -> DataFrame:
+    delivered = catalogue.select(*SNAPSHOT, "dt").distinct()
+    window = Window.partitionBy(*SNAPSHOT).orderBy(F.desc("dt"))
     return (
         delivered.withColumn("newest", F.row_number().over(window).cast("bigint"))
         .where(F.col("newest") <= 2)
     )
 
 
-def newest_delivered(delivered: DataFrame, today: str) -> DataFrame:
-    """Newest ``dt`` at or before ``today`` per (alias, side), from a delivery listing.
+def newest_delivered(catalogue: DataFrame, today: str) -> DataFrame:
+    """Newest ``dt`` at or before ``today`` per bucket and side.
 
-    The two sides are delivered independently: the newest backup may be older than the newest source.
+    Each is delivered independently: the newest backup may be older than the newest source, and one bucket of a
+    source older than another.
     """
-    return latest_partitions(delivered.where((F.col("dt") > "") & (F.col("dt") <= today)))
+    return latest_partitions(catalogue.where((F.col("dt") > "") & (F.col("dt") <= today)))
 
 
 def at_delivered(inventory: DataFrame, newest: DataFrame) -> DataFrame:
-    """Rows of the snapshots in ``newest`` (one per source and side), which prunes partitions at run time."""
-    return inventory.join(per_source(newest), ["source_alias", "side", "dt"], "left_semi")
+    """Rows of the snapshots in ``newest`` (one per configured bucket and side).
+
+    ``newest`` is broadcast; its keys prune the partitions of a stored inventory at run time. Spark only does so
+    behind a comparison, hence the one on ``dt``.
+    """
+    wanted = newest.select(*SNAPSHOT, "dt").where(F.col("dt") > "")
+    return inventory.join(per_source(wanted), [*SNAPSHOT, "dt"], "left_semi")
 
 
 def newest_source(inventory: DataFrame, newest: DataFrame) -> DataFrame:
@@ -71,14 +97,9 @@ def newest_backup(inventory: DataFrame, newest: DataFrame) -> DataFrame:
     return without_operational(current(at_delivered(inventory, newest.where(F.col("side") == "backup"))))
 
 
-def at_latest(inventory: DataFrame) -> DataFrame:
-    """Rows of the newest snapshot, chosen per side.
-
-    The join side has one row per (source, side) and is broadcast; its keys prune the partitions of
-    a stored inventory at run time. Spark only does so behind a comparison, hence the one on ``dt``.
-    """
-    newest = latest_partitions(inventory).where(F.col("dt") > "")
-    return inventory.join(per_source(newest), ["source_alias", "side", "dt"], "left_semi")
+def at_latest(inventory: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Rows of the newest snapshot of every bucket and side; no row of another snapshot is read."""
+    return at_delivered(inventory, latest_partitions(catalogue))
 
 
 def newest_nonempty(listing: DataFrame, modified: str, *by: str) -> DataFrame:
@@ -103,39 +124,36 @@ def snapshot_count(inventory: DataFrame) -> DataFrame:
     )
 
 
-def _change(counts: DataFrame) -> DataFrame:
-    """Previous count and change per (alias, side). One row per snapshot, so the window is small."""
-    window = Window.partitionBy("source_alias", "side").orderBy("dt")
-    delta = F.col("objects") - F.col("previous_objects")
+def _change(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Previous count and change per group. One row per snapshot, so the window is small."""
+    window = Window.partitionBy(*by).orderBy("dt")
     return counts.withColumns(
         {
             "previous_dt": F.lag("dt").over(window),
             "previous_objects": F.lag("objects").over(window),
         }
-    ).withColumns(
-        {
-            "delta": delta,
-            "delta_pct": F.when(
-                F.col("previous_objects") != 0, delta / F.col("previous_objects") * 100
-            ),
-        }
-    )
+    ).withColumns({"delta": F.col("objects") - F.col("previous_objects"), "delta_pct": _percent("objects", "previous_objects")})
+
+
+def _percent(now: str, before: str) -> Column:
+    return F.when(F.col(before) != 0, (F.col(now) - F.col(before)) / F.col(before) * 100)
+
+
+def bucket_counts(inventory: DataFrame) -> DataFrame:
+    """Current objects of every snapshot (source_alias, label, side, dt); one without any counts 0."""
+    alive = is_current(F.col("is_latest"), F.col("is_delete_marker"))
+    return inventory.groupBy(*SNAPSHOT, "dt").agg(F.count_if(alive).alias("objects"))
 
 
-def count_delta(inventory: DataFrame, side: str = "source") -> DataFrame:
-    """Newest snapshot against the one before it.
+def count_delta(counts: DataFrame, side: str = "source") -> DataFrame:
+    """Newest snapshot of every bucket against the one before it, from ``bucket_counts``.
 
     A snapshot without current rows still counts as delivered, with 0 objects.
     """
-    alive = is_current(F.col("is_latest"), F.col("is_delete_marker"))
-    counts = (
-        inventory.where(F.col("side") == side)
-        .groupBy("source_alias", "side", "dt")
-        .agg(F.count_if(alive).alias("objects"))
-    )
-    newest = first_per_group(_change(counts), ["source_alias", "side"], [F.desc("dt")], 1)
+    changes = _change(counts.where(F.col("side") == side), SNAPSHOT)
+    newest = first_per_group(changes, SNAPSHOT, [F.desc("dt")], 1)
     return newest.select(
-        "source_alias",
+        *BUCKET,
         F.col("dt").alias("today_dt"),
         F.col("objects").alias("today_count"),
         F.col("previous_dt").alias("yesterday_dt"),
@@ -146,10 +164,17 @@ def count_delta(inventory: DataFrame, side: str = "source") -> DataFrame:
     )
 
 
+def source_delta(deltas: DataFrame) -> DataFrame:
+    """``count_delta`` summed per source over its buckets that have two snapshots; NULL if none has."""
+    compared = F.when(F.col("available"), F.col("today_count"))
+    sums = deltas.groupBy("source_alias").agg(F.sum(compared).alias("_now"), F.sum("yesterday_count").alias("_before"))
+    return sums.select("source_alias", (F.col("_now") - F.col("_before")).alias("delta"), _percent("_now", "_before").alias("delta_pct"))
+
+
 def daily_growth(inventory: DataFrame) -> DataFrame:
     """Source count of every snapshot with its change to the one before."""
     counts = snapshot_count(inventory.where(F.col("side") == "source"))
-    return _change(counts).drop("side")
+    return _change(counts, ["source_alias", "side"]).drop("side")
 
 
 def inventory_freshness(

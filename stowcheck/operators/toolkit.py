@@ -1,6 +1,6 @@
 """Shared building blocks: top-k per group and order-based lookups that split hot groups."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,77 +51,73 @@ def rows_of_sample(
     return df.join(F.broadcast(wanted) if bounded else wanted, list(keys), "left_semi")
 
 
-def neighbour(
-    df: DataFrame,
-    group: Sequence[str],
-    bucket: Column,
-    order: Sequence[str],
-    value: Column,
-    name: str,
-    following: bool = False,
-) -> DataFrame:
-    """Add ``value`` of the previous (or following) row of the same group as column ``name``.
+def count_at_most(entries: Column, value: Column, key: Callable[[Column], Column] = lambda e: e) -> Column:
+    """How many entries of an ascending array are at most ``value``: binary search within the row."""
+    def step(found: Column, exponent: Column) -> Column:
+        further = found + F.call_function("shiftleft", F.lit(1), exponent)
+        at_most = key(F.get(entries, further - 1)) <= value
+        return F.when((further <= F.size(entries)) & at_most, further).otherwise(found)
 
-    ``bucket`` must not decrease along ``order`` within a group (a calendar month of the first
-    order column, say). Rows are windowed per (group, bucket), so one group may hold a third of
-    all rows without landing in one task; only one edge row per (group, bucket) is windowed per
-    group, and handed back by a join on (group, bucket).
-    """
-    keys = [*group, "_bucket"]
-    rows = df.withColumns({"_bucket": bucket, "_value": F.struct(value.alias("v"))})
-    inner = Window.partitionBy(*keys).orderBy(*order)
-    outer = Window.partitionBy(*group).orderBy("_bucket")
-    if following:
-        local = F.lead("_value").over(inner)
-        edge_value = F.min_by("_value", F.struct(*order))
-        carried = F.lead("_edge").over(outer)
-    else:
-        local = F.lag("_value").over(inner)
-        edge_value = F.max_by("_value", F.struct(*order))
-        carried = F.lag("_edge").over(outer)
-    edges = (
-        rows.groupBy(*keys).agg(edge_value.alias("_edge"))
-        .select(*keys, carried.alias("_carried"))
-    )
-    return (
-        rows.withColumn("_local", local)
-        .join(edges, keys)
-        .withColumn(name, F.coalesce("_local", "_carried").getField("v"))
-        .drop("_bucket", "_value", "_local", "_carried")
-    )
+    highest = F.floor(F.log2(F.size(entries).cast("double"))).cast("int")
+    exponents = F.sequence(highest, F.lit(0), F.lit(-1))
+    return F.when(F.size(entries) > 0, F.aggregate(exponents, F.lit(0), step)).otherwise(0)
 
 
-def carry_last(
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcasting if it has at most ``most_rows``, which is counted first."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def range_of(df: DataFrame, keys: Sequence[str], ranges: int, sampled_per_range: int = 16) -> Column:
+    """Number of the range of ``keys`` a row falls in; ranges hold about equally many rows.
+
+    Split points come from a sample of ``ranges * sampled_per_range`` rows, each task handing on as many at
+    most. Rows are compared with them as a whole, so one key, or one key at one time, may lie in many ranges.
+    """
+    sample = df.select(*keys).orderBy(F.rand(7)).limit(ranges * sampled_per_range)
+    at = F.struct(*keys)
+    # sorted by Spark, whose order of strings and NULLs isn't Python's
+    points = sample.agg(F.array_sort(F.collect_list(at)).alias("points")).first()["points"]
+    splits = [points[len(points) * i // ranges] for i in range(1, ranges)] if points else []
+    if not splits:
+        return F.lit(0)
+    kinds = [field.dataType for field in sample.schema]
+    literal = F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(p, kinds, keys)]) for p in splits])
+    return count_at_most(literal, at)
+
+
+def neighbours(
     df: DataFrame,
     group: Sequence[str],
-    bucket: Column,
     order: Sequence[str],
-    value: Column,
-    name: str,
+    before: dict[str, str] | None = None,
+    after: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add the latest non-NULL ``value`` at or before each row of its group (an as-of lookup).
+    """Add columns of the previous (``before``) and the following (``after``) row of the same group, by new name.
 
-    Split by ``bucket`` the way ``neighbour`` is. ``value`` must be non-NULL only on lookup rows.
+    Rows are dealt to ranges of (group, order) by sampled split points, so a group of any size spreads over
+    tasks, even one that holds a third of all rows at one time. Neighbours stand in one range except at its
+    ends: each range hands its first and last row to the others. Rows and ends read the same shuffle, and there
+    are two end rows per range, and four ranges to a shuffle partition. ``order`` must tell the rows of a group apart.
     """
-    keys = [*group, "_bucket"]
-    rows = df.withColumns({"_bucket": bucket, "_value": value})
-    inner = Window.partitionBy(*keys).orderBy(*order)
-    outer = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    marker = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    edges = (
-        rows.groupBy(*keys).agg(F.max_by("_value", marker).alias("_edge"))
-        .select(*keys, F.last("_edge", ignorenulls=True).over(outer).alias("_carried"))
-    )
-    return (
-        rows.withColumn(
-            "_local",
-            F.last("_value", ignorenulls=True).over(
-                inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
-        .join(edges, keys)
-        .withColumn(name, F.coalesce("_local", "_carried"))
-        .drop("_bucket", "_value", "_local", "_carried")
-    )
+    before, after = before or {}, after or {}
+    # several to a partition: ranges are dealt to partitions by hash
+    ranges = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_range", range_of(df, [*group, *order], ranges)).repartition("_range")
+    whole, at, here = F.struct(*df.columns), F.struct(*group, *order), F.struct(*group)
+    # the ends carry all columns, or the shuffle would be planned twice with different columns
+    ends = rows.groupBy("_range").agg(F.min_by(whole, at).alias("_first"), F.max_by(whole, at).alias("_last"))
+    numbered = Window.orderBy("_range")
+    ends = ends.select("_range", F.lag("_last").over(numbered).alias("_end_before"), F.lead("_first").over(numbered).alias("_end_after"))
+    inside = Window.partitionBy("_range", *group).orderBy(*order)
+
+    def beside(shifted: Callable[[str], Column], end: str, column: str) -> Column:
+        wrapped = shifted("_values").over(inside)
+        same = F.struct(*[F.col(f"{end}.{g}") for g in group]).eqNullSafe(here)
+        return F.when(wrapped.isNotNull(), wrapped[column]).when(same, F.col(f"{end}.{column}"))
+
+    values = F.struct(*{*before.values(), *after.values()})
+    found = rows.withColumn("_values", values).join(F.broadcast(ends), "_range", "left")
+    added = {name: beside(F.lag, "_end_before", column) for name, column in before.items()}
+    added |= {name: beside(F.lead, "_end_after", column) for name, column in after.items()}
+    return found.withColumns(added).drop("_range", "_values", "_end_before", "_end_after")

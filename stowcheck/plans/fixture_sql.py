@@ -6,34 +6,36 @@ VIEWS["fx_obj"] = """
 SELECT source_alias, label, CASE label WHEN 'main' THEN h ELSE (h + 25) % 1000 END AS h, key, size, last_modified_date FROM (
 SELECT CASE l_orderkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'bravo' WHEN 2 THEN 'charlie' ELSE 'delta' END AS source_alias,
   (l_orderkey*31 + l_linenumber*7 + l_partkey*13 + l_suppkey*3) % 1000 AS h,
-  concat(CASE (l_orderkey + l_partkey) % 8 WHEN 0 THEN 'vs30=1000/imt=SA(0.15)/' WHEN 1 THEN 'folder/file 1+' WHEN 2 THEN 'a&b,c%/' WHEN 3 THEN 'é~*/' ELSE 'models/' END,
+  concat(CASE (l_orderkey + l_partkey) % 8 WHEN 0 THEN 'run=1000/part=A(0.15)/' WHEN 1 THEN 'folder/file 1+' WHEN 2 THEN 'a&b,c%/' WHEN 3 THEN 'é~*/' ELSE 'models/' END,
     CAST(l_orderkey AS VARCHAR(20)),'-',CAST(l_linenumber AS VARCHAR(20)),'-',CAST(l_partkey AS VARCHAR(20)),'-',CAST(l_suppkey AS VARCHAR(20)),'.h5') AS key,
   CAST(l_quantity AS BIGINT) * 4096 AS size, l_shipdate AS last_modified_date
-FROM lineitem) CROSS JOIN (SELECT 'main' AS label UNION ALL SELECT 'extra') WHERE label = 'main' OR (source_alias = 'bravo' AND h % 3 = 0)
+FROM lineitem) CROSS JOIN (SELECT unnest(['main', 'extra', 'old', 'late']) AS label)
+WHERE label = 'main' OR (label = 'extra' AND source_alias = 'bravo' AND h % 3 = 0) OR (label = 'old' AND source_alias = 'alpha' AND h % 10 = 3)
+  OR (label = 'late' AND source_alias = 'charlie' AND h % 10 = 3)
 """
 
 VIEWS["fx_src"] = """
-SELECT dt, source_alias, 'source' AS side, concat('src-', source_alias, CASE label WHEN 'main' THEN '' ELSE '-extra' END) AS bucket, label, key,
+SELECT dt, source_alias, 'source' AS side, concat('src-', source_alias, CASE label WHEN 'main' THEN '' ELSE concat('-', label) END) AS bucket, label, key,
   CASE WHEN source_alias = 'charlie' THEN NULL ELSE h % 200 <> 199 END AS is_latest,
   CASE WHEN source_alias = 'charlie' THEN NULL ELSE h % 200 = 198 END AS is_delete_marker,
   size, last_modified_date, concat(md5(key), CASE WHEN h % 11 = 0 THEN '-2' ELSE '' END) AS e_tag, 'STANDARD' AS storage_class
 FROM fx_obj CROSS JOIN (SELECT '2024-01-29-01-00' AS dt UNION ALL SELECT '2024-01-30-01-00') d
-WHERE h >= 30 AND (dt = '2024-01-30-01-00' OR h < 990)
+WHERE h >= 30 AND (dt = '2024-01-29-01-00' AND h < 990 OR dt = '2024-01-30-01-00' AND label <> 'old')
 """
 
 VIEWS["fx_bkp"] = """
-SELECT dt, source_alias, 'backup' AS side, concat('bb-', source_alias, CASE label WHEN 'main' THEN '' ELSE '-extra' END) AS bucket, label, key,
+SELECT dt, source_alias, 'backup' AS side, concat('bb-', source_alias, CASE label WHEN 'main' THEN '' ELSE concat('-', label) END) AS bucket, label, key,
   h % 200 <> 199 AS is_latest, h % 200 = 198 AS is_delete_marker,
   CASE WHEN h BETWEEN 100 AND 109 THEN size + 1 ELSE size END AS size, last_modified_date,
   CASE WHEN h BETWEEN 80 AND 99 THEN md5(concat(key,'#')) WHEN h BETWEEN 110 AND 139 THEN concat(md5(concat(key,'#')),'-2')
     ELSE concat(md5(key), CASE WHEN h % 11 = 0 THEN '-2' ELSE '' END) END AS e_tag,
   CASE h % 4 WHEN 0 THEN 'GLACIER_IR' WHEN 1 THEN NULL ELSE 'STANDARD' END AS storage_class
 FROM fx_obj CROSS JOIN (SELECT '2024-01-29-01-00' AS dt UNION ALL SELECT '2024-01-30-01-00') d
-WHERE NOT (h BETWEEN 30 AND 79)
+WHERE NOT (h BETWEEN 30 AND 79) AND (dt = '2024-01-29-01-00' OR label NOT IN ('old', 'late'))
 UNION ALL
-SELECT '2024-01-30-01-00', a.source_alias, 'backup', concat('bb-', a.source_alias, CASE a.label WHEN 'main' THEN '' ELSE '-extra' END), a.label, p.key, true, false, CAST(10 AS BIGINT),
+SELECT '2024-01-30-01-00', a.source_alias, 'backup', concat('bb-', a.source_alias, CASE a.label WHEN 'main' THEN '' ELSE concat('-', a.label) END), a.label, p.key, true, false, CAST(10 AS BIGINT),
   TIMESTAMP '2024-01-30 00:00:00', md5(p.key), 'STANDARD'
-FROM (SELECT DISTINCT source_alias, label FROM fx_obj) a
+FROM (SELECT DISTINCT source_alias, label FROM fx_obj WHERE label NOT IN ('old', 'late')) a
 CROSS JOIN (SELECT '_state/last-run.json' AS key UNION ALL SELECT '_manifests/m.csv' UNION ALL SELECT '_batch-reports/r.csv'
   UNION ALL SELECT '_events/2024-01/events.jsonl' UNION ALL SELECT 'xstate/kept.bin') p
 """
@@ -43,7 +45,7 @@ VIEWS["fx_inventory"] = "SELECT * FROM fx_src UNION ALL SELECT * FROM fx_bkp"
 VIEWS["fx_live"] = """
 SELECT source_alias, bucket, label, key, size, e_tag FROM fx_bkp WHERE dt = '2024-01-30-01-00'
 UNION ALL
-SELECT source_alias, concat('bb-', source_alias, CASE label WHEN 'main' THEN '' ELSE '-extra' END), label, key, size, md5(key) FROM fx_obj WHERE h BETWEEN 30 AND 54
+SELECT source_alias, concat('bb-', source_alias, CASE label WHEN 'main' THEN '' ELSE concat('-', label) END), label, key, size, md5(key) FROM fx_obj WHERE h BETWEEN 30 AND 54
 """
 
 VIEWS["fx_checksum"] = """
@@ -96,6 +98,12 @@ SELECT * FROM (VALUES ('alpha','src-alpha','bb-alpha','main','111111111111',true
   AS t(source_alias, source_bucket, backup_bucket, label, account_id, inventory_enabled)
 """
 
+VIEWS["fx_pair"] = """
+SELECT source_alias, label, source_bucket, backup_bucket FROM fx_registry
+UNION ALL SELECT * FROM (VALUES ('bravo','extra','src-bravo-extra','bb-bravo-extra'), ('alpha','old','src-alpha-old','bb-alpha-old'),
+  ('charlie','late','src-charlie-late','bb-charlie-late')) AS t(source_alias, label, source_bucket, backup_bucket)
+"""
+
 # --- views of this repository -----------------------------------------------------------------
 
 _ALIAS = "CASE {0} % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'bravo' WHEN 2 THEN 'charlie' ELSE 'delta' END"
@@ -117,6 +125,14 @@ SELECT * FROM fx_cur WHERE side = 'backup' AND dt = '2024-01-30-01-00'
   AND NOT (starts_with(key,'_state/') OR starts_with(key,'_manifests/') OR starts_with(key,'_batch-reports/') OR starts_with(key,'_events/'))
 """
 
+# current rows of each bucket's and side's newest snapshot
+VIEWS["fx_newest"] = "SELECT source_alias, label, side, max(dt) AS dt FROM fx_inventory WHERE dt <= '2024-01-30-01-00' GROUP BY ALL"
+VIEWS["fx_ns"] = "SELECT c.* FROM fx_cur c JOIN fx_newest n USING (source_alias, label, side, dt) WHERE side = 'source'"
+VIEWS["fx_nb"] = """
+SELECT c.* FROM fx_cur c JOIN fx_newest n USING (source_alias, label, side, dt) WHERE side = 'backup'
+  AND NOT (starts_with(key,'_state/') OR starts_with(key,'_manifests/') OR starts_with(key,'_batch-reports/') OR starts_with(key,'_events/'))
+"""
+
 VIEWS["fx_delivery"] = """
 SELECT source_alias, side,
   concat('inventory/', source_alias, '/', side, '/', bucket, '/', bucket, '/daily/hive/dt=', dt, '/symlink.txt') AS key,

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowcheck.constants import FRESHNESS_HOURS, MISSING_SAMPLE_SIZE, RESTORE_SAMPLE_SIZE
-from stowcheck.functions.keys import symlink_dt
 from stowcheck.operators import health, operations, reconcile, restore, snapshots
 from stowcheck.operators.toolkit import per_source
 
@@ -17,6 +16,7 @@ class ReportInputs:
     live: DataFrame
     deliveries: DataFrame
     registry: DataFrame
+    pairs: DataFrame
     run_states: DataFrame
     jobs: DataFrame
     exports: DataFrame
@@ -47,13 +47,12 @@ def process_signals(inputs: ReportInputs) -> tuple[DataFrame, DataFrame]:
 
 
 def newest_snapshots(inputs: ReportInputs) -> DataFrame:
-    """Newest snapshot per source and side, from the delivery listing."""
-    delivered = inputs.deliveries.select("source_alias", "side", symlink_dt(F.col("key")).alias("dt"))
-    return snapshots.newest_delivered(delivered, inputs.today)
+    """Newest snapshot per bucket and side, from the delivery listing."""
+    return snapshots.newest_delivered(snapshots.delivery_catalogue(inputs.deliveries, inputs.pairs), inputs.today)
 
 
 def restore_results(inputs: ReportInputs, sample_size: int = RESTORE_SAMPLE_SIZE) -> DataFrame:
-    """Restore-test result of the sources due today."""
+    """Restore-test result of every bucket of the sources due today."""
     due = restore.restore_test_targets(
         inputs.registry, inputs.weekday, inputs.canary, inputs.rotation
     )
@@ -61,18 +60,18 @@ def restore_results(inputs: ReportInputs, sample_size: int = RESTORE_SAMPLE_SIZE
     backup = backup.join(due, "source_alias", "left_semi")
     sample = restore.sample_restore_hash(backup, sample_size)
     verified = restore.restore_verify(sample, inputs.restored, inputs.checksums, bounded=True)
-    return restore.bucket_results(verified, due)
+    return restore.bucket_results(verified, inputs.pairs.join(due, "source_alias", "left_semi"))
 
 
 def health_rows(inputs: ReportInputs, freshness_hours: float = FRESHNESS_HOURS) -> DataFrame:
     """One row per source with all signals, notes and the overall status.
 
-    Each source's newest snapshot is compared with its backup's newest, however old either is. The counts
+    Each bucket's newest snapshot is compared with its backup's newest, however old either is. The counts
     and the missing sample aggregate the keys of both; everything joined afterwards has one row per source.
     """
     newest = newest_snapshots(inputs)
     sides = reconcile.newest_key_sides(inputs.inventory, newest)
-    divergence = reconcile.divergence_counts(sides, newest)
+    divergence = reconcile.source_divergence(reconcile.divergence_counts(sides, newest), inputs.pairs)
     missing = sides.where((F.col("in_backup") == 0) & (F.col("in_source") > 0))
     checked = restore.head_check(
         reconcile.missing_sample(missing.select("source_alias", "label", "key"), MISSING_SAMPLE_SIZE),
@@ -80,7 +79,7 @@ def health_rows(inputs: ReportInputs, freshness_hours: float = FRESHNESS_HOURS)
         bounded=True,
     )
     freshness = snapshots.inventory_freshness(inputs.deliveries, inputs.now, freshness_hours)
-    delta = snapshots.count_delta(inputs.inventory)
+    delta = snapshots.source_delta(snapshots.count_delta(snapshots.bucket_counts(inputs.inventory)))
     process, failures = process_signals(inputs)
     tested = restore.restore_test_overall(restore_results(inputs), "source_alias")
 
@@ -95,7 +94,7 @@ def health_rows(inputs: ReportInputs, freshness_hours: float = FRESHNESS_HOURS)
         .distinct()
         .join(per_source(freshness), key, "left")
         .join(per_source(delta), key, "left")
-        .join(per_source(divergence.drop("available")), key, "left")
+        .join(per_source(divergence), key, "left")
         .join(per_source(checked), key, "left")
         .join(per_source(tested.select(key, F.col("overall").alias("restore_result"))), key, "left")
         .join(per_source(health.pitr_by_source(inputs.tables)), key, "left")
@@ -110,6 +109,7 @@ def health_rows(inputs: ReportInputs, freshness_hours: float = FRESHNESS_HOURS)
             gated("delta_pct", "delta_pct"),
             gated("source_minus_backup", "missing"),
             gated("backup_minus_source", "orphans"),
+            gated("buckets_unavailable", "buckets_unavailable"),
             gated("still_missing", "still_missing"),
             gated("auto_healed", "auto_healed"),
             gated("tag", "tag"),

@@ -33,8 +33,10 @@ MANIFEST = (
     f"SELECT s.source_alias, s.bucket, {ENCODED.format('s.key')} AS key "
     f"FROM fx_s s LEFT JOIN fx_b b ON {ON_KEY} WHERE {SMART}"
 )
+NEWEST_MANIFEST = MANIFEST.replace("fx_s ", "fx_ns ").replace("fx_b ", "fx_nb ")
 B_CURRENT = f"(SELECT * FROM fx_cur WHERE side = 'backup' AND dt = {TODAY})"
 MISSING = f"(SELECT s.source_alias, s.label, s.key FROM fx_s s ANTI JOIN fx_b b ON {ON_KEY})"
+NEWEST_MISSING = MISSING.replace("fx_s ", "fx_ns ").replace("fx_b ", "fx_nb ")
 RESTORABLE = (
     "(SELECT * FROM fx_b WHERE storage_class IS NULL OR storage_class NOT IN "
     "('GLACIER','DEEP_ARCHIVE','GLACIER_IR'))"
@@ -80,12 +82,22 @@ LEFT JOIN {CK} c ON c.side = 'source' AND c.source_alias = s.source_alias AND c.
 """
 
 
-def _bucket_results(sample: str, registry: str = "fx_registry") -> str:
+def _bucket_results(sample: str, pairs: str = "fx_pair") -> str:
     return f"""
-(SELECT r.source_alias, coalesce(n, 0) AS sample_count, coalesce(ce, 0) AS copy_errors, coalesce(mm, 0) AS mismatches,
-  CASE WHEN coalesce(n, 0) = 0 THEN 'skipped' WHEN ce > 0 OR mm > 0 THEN 'failed' ELSE 'passed' END AS result
-FROM {registry} r LEFT JOIN (SELECT source_alias, count(*) AS n, count(*) FILTER (outcome = 'copy_error') AS ce,
-  count(*) FILTER (outcome = 'mismatch') AS mm FROM {VERIFIED.format(sample=sample)} GROUP BY 1) v ON v.source_alias = r.source_alias)
+(SELECT r.source_alias, r.label, r.source_bucket, r.backup_bucket, coalesce(n, 0) AS sample_count,
+  coalesce(ce, '') AS errors, coalesce(mm, '') AS mismatches,
+  CASE WHEN coalesce(n, 0) = 0 THEN 'skipped' WHEN ce <> '' OR mm <> '' THEN 'failed' ELSE 'passed' END AS result
+FROM {pairs} r LEFT JOIN (SELECT source_alias, label, count(*) AS n,
+  string_agg(concat(key, ': ', detail), '; ' ORDER BY key) FILTER (outcome = 'copy_error') AS ce,
+  string_agg(concat(key, ': ', detail), '; ' ORDER BY key) FILTER (outcome = 'mismatch') AS mm
+  FROM {VERIFIED.format(sample=sample)} GROUP BY 1, 2) v ON v.source_alias = r.source_alias AND v.label = r.label)
+"""
+
+
+def _restore_overall(results: str) -> str:
+    return f"""
+(SELECT source_alias, CASE WHEN bool_or(result = 'failed') THEN 'failed' WHEN bool_and(result = 'skipped') THEN 'skipped' ELSE 'passed' END AS result
+FROM {results} GROUP BY 1)
 """
 
 
@@ -130,16 +142,36 @@ GROWTH = f"""
   CASE WHEN lag(objects) OVER w <> 0 THEN (objects - lag(objects) OVER w) / (lag(objects) OVER w)::DOUBLE * 100 END AS delta_pct
 FROM {COUNTS} WHERE side = 'source' WINDOW w AS (PARTITION BY source_alias, side ORDER BY dt))
 """
+BUCKET_COUNTS = """
+(SELECT source_alias, label, side, dt, count(*) FILTER ((is_latest OR is_latest IS NULL) AND (NOT is_delete_marker OR is_delete_marker IS NULL)) AS objects
+FROM fx_inventory GROUP BY ALL)
+"""
 DELTA = f"""
-(SELECT source_alias, dt AS today_dt, objects AS today_count, previous_dt AS yesterday_dt, previous_objects AS yesterday_count,
-  delta, delta_pct, previous_dt IS NOT NULL AS available FROM {GROWTH} WHERE dt = {TODAY})
+(SELECT source_alias, label, dt AS today_dt, objects AS today_count, previous_dt AS yesterday_dt, previous_objects AS yesterday_count,
+  objects - previous_objects AS delta, CASE WHEN previous_objects <> 0 THEN (objects - previous_objects) / previous_objects::DOUBLE * 100 END AS delta_pct,
+  previous_dt IS NOT NULL AS available
+FROM (SELECT *, lag(dt) OVER w AS previous_dt, lag(objects) OVER w AS previous_objects, row_number() OVER (PARTITION BY source_alias, label ORDER BY dt DESC) AS rn
+  FROM {BUCKET_COUNTS} WHERE side = 'source' WINDOW w AS (PARTITION BY source_alias, label ORDER BY dt)) WHERE rn = 1)
+"""
+SOURCE_DELTA = f"""
+(SELECT source_alias, CAST(n - b AS BIGINT) AS delta, CASE WHEN b <> 0 THEN (n - b) / b::DOUBLE * 100 END AS delta_pct
+FROM (SELECT source_alias, sum(today_count) FILTER (available) AS n, sum(yesterday_count) AS b FROM {DELTA} GROUP BY 1))
 """
 DIVERGENCE = f"""
-(SELECT coalesce(s.source_alias, b.source_alias) AS source_alias, {TODAY} AS source_dt, {TODAY} AS backup_dt,
-  count(*) FILTER (b.key IS NULL) AS source_minus_backup, count(*) FILTER (s.key IS NULL) AS backup_minus_source, true AS available
-FROM fx_s s FULL OUTER JOIN fx_b b ON {ON_KEY} GROUP BY 1)
+(SELECT n.source_alias, n.label, source_dt, backup_dt, CASE WHEN source_dt IS NOT NULL AND backup_dt IS NOT NULL THEN coalesce(m, 0) END AS source_minus_backup,
+  CASE WHEN source_dt IS NOT NULL AND backup_dt IS NOT NULL THEN coalesce(o, 0) END AS backup_minus_source, source_dt IS NOT NULL AND backup_dt IS NOT NULL AS available
+FROM (SELECT source_alias, label, max(dt) FILTER (side = 'source') AS source_dt, max(dt) FILTER (side = 'backup') AS backup_dt FROM fx_newest GROUP BY 1, 2) n
+LEFT JOIN (SELECT coalesce(s.source_alias, b.source_alias) AS source_alias, coalesce(s.label, b.label) AS label,
+    count(*) FILTER (b.key IS NULL) AS m, count(*) FILTER (s.key IS NULL) AS o
+  FROM fx_ns s FULL OUTER JOIN fx_nb b ON {ON_KEY} GROUP BY 1, 2) d ON d.source_alias = n.source_alias AND d.label = n.label)
+"""
+SOURCE_DIVERGENCE = f"""
+(SELECT p.source_alias, CAST(sum(source_minus_backup) AS BIGINT) AS source_minus_backup, CAST(sum(backup_minus_source) AS BIGINT) AS backup_minus_source,
+  count(*) FILTER (NOT coalesce(available, false)) AS buckets_unavailable
+FROM fx_pair p LEFT JOIN {DIVERGENCE} d ON d.source_alias = p.source_alias AND d.label = p.label GROUP BY 1)
 """
 MISSING_SAMPLE = f"(SELECT source_alias, label, key FROM (SELECT *, row_number() OVER (PARTITION BY source_alias, label ORDER BY key) AS rn FROM {MISSING}) WHERE rn <= 10)"
+NEWEST_MISSING_SAMPLE = MISSING_SAMPLE.replace("fx_s ", "fx_ns ").replace("fx_b ", "fx_nb ")
 HEAD = f"""
 (SELECT *, CASE WHEN still_missing = sample_size THEN format(' (still missing live, sampled {{}})', sample_size)
   WHEN auto_healed = sample_size THEN format(' (auto-healed since snapshot, sampled {{}})', sample_size)
@@ -147,6 +179,7 @@ HEAD = f"""
 FROM (SELECT m.source_alias, count(*) AS sample_size, count(*) FILTER (l.key IS NULL) AS still_missing, count(*) FILTER (l.key IS NOT NULL) AS auto_healed
   FROM {MISSING_SAMPLE} m LEFT JOIN (SELECT DISTINCT source_alias, label, key FROM fx_live) l ON l.source_alias = m.source_alias AND l.label = m.label AND l.key = m.key GROUP BY 1))
 """
+NEWEST_HEAD = HEAD.replace("fx_s ", "fx_ns ").replace("fx_b ", "fx_nb ")
 PITR = "(SELECT source_alias, bool_and(coalesce(pitr_status = 'ENABLED', false)) AS pitr_enabled FROM fx_table GROUP BY 1)"
 OWNED_FAILURES = f"(SELECT f.*, b.source_alias FROM {FAILURES} f JOIN {STATES} b ON b.bucket = f.bucket)"
 PROCESS = f"""
@@ -157,8 +190,8 @@ FROM fx_registry r LEFT JOIN {LAST_BACKUP} a ON a.source_alias = r.source_alias
 LEFT JOIN (SELECT source_alias, max(failure_pct) AS worst_failure_pct, count(*) FILTER (alarming) AS alarming_buckets FROM {OWNED_FAILURES} GROUP BY 1) w ON w.source_alias = r.source_alias
 LEFT JOIN {EXPORT_SUMMARY} e ON e.source_alias = r.source_alias)
 """
-DUE = "(SELECT * FROM fx_registry WHERE source_alias IN ('alpha', 'charlie'))"
-DUE_SAMPLE = f"(SELECT * FROM {SAMPLE.format(10)} WHERE source_alias IN ('alpha', 'charlie'))"
+DUE = "(SELECT * FROM fx_pair WHERE source_alias IN ('alpha', 'charlie'))"
+DUE_SAMPLE = f"(SELECT * FROM {SAMPLE.format(10).replace('fx_b ', 'fx_nb ')} WHERE source_alias IN ('alpha', 'charlie'))"
 
 THREE_COLORS = """
 CASE WHEN restore_result = 'failed' OR NOT pitr_enabled OR (inventory_enabled AND inventory_age_hours IS NULL)
@@ -198,20 +231,21 @@ FROM (SELECT r.source_alias, r.inventory_enabled,
   CASE WHEN r.inventory_enabled THEN f.age_hours END AS inventory_age_hours, coalesce(r.inventory_enabled AND f.stale, false) AS inventory_stale,
   CASE WHEN r.inventory_enabled THEN d.delta END AS delta, CASE WHEN r.inventory_enabled THEN d.delta_pct END AS delta_pct,
   CASE WHEN r.inventory_enabled THEN v.source_minus_backup END AS missing, CASE WHEN r.inventory_enabled THEN v.backup_minus_source END AS orphans,
+  CASE WHEN r.inventory_enabled THEN v.buckets_unavailable END AS buckets_unavailable,
   CASE WHEN r.inventory_enabled THEN h.still_missing END AS still_missing, CASE WHEN r.inventory_enabled THEN h.auto_healed END AS auto_healed,
   CASE WHEN r.inventory_enabled THEN h.tag END AS tag, t.result AS restore_result, i.pitr_enabled,
   p.last_backup_at, p.last_backup_age_hours AS backup_age_hours, p.worst_failure_pct AS failure_pct, p.alarming_buckets,
   p.exports_completed, p.exports_in_progress, p.exports_failed, p.exports_no_recent, p.exports_errored, l.warns, l.infos
 FROM fx_registry r
-LEFT JOIN {FRESHNESS} f ON f.source_alias = r.source_alias LEFT JOIN {DELTA} d ON d.source_alias = r.source_alias
-LEFT JOIN {DIVERGENCE} v ON v.source_alias = r.source_alias LEFT JOIN {HEAD} h ON h.source_alias = r.source_alias
-LEFT JOIN {_bucket_results(DUE_SAMPLE, DUE)} t ON t.source_alias = r.source_alias LEFT JOIN {PITR} i ON i.source_alias = r.source_alias
+LEFT JOIN {FRESHNESS} f ON f.source_alias = r.source_alias LEFT JOIN {SOURCE_DELTA} d ON d.source_alias = r.source_alias
+LEFT JOIN {SOURCE_DIVERGENCE} v ON v.source_alias = r.source_alias LEFT JOIN {NEWEST_HEAD} h ON h.source_alias = r.source_alias
+LEFT JOIN {_restore_overall(_bucket_results(DUE_SAMPLE, DUE))} t ON t.source_alias = r.source_alias LEFT JOIN {PITR} i ON i.source_alias = r.source_alias
 LEFT JOIN {PROCESS} p ON p.source_alias = r.source_alias LEFT JOIN {BATCH_LINES} l ON l.source_alias = r.source_alias))
 """
 
 SYNCED = f"""
 (SELECT coalesce(s.source_alias, b.source_alias) AS source_alias, coalesce(s.label, b.label) AS label, coalesce(s.key, b.key) AS key,
-  s.key IS NOT NULL AND ({STRICT}) AS copied, b.key IS NOT NULL AS had, concat('bb-', s.source_alias, CASE s.label WHEN 'main' THEN '' ELSE '-extra' END) AS new_bucket, s.size AS s_size, s.e_tag AS s_tag,
+  s.key IS NOT NULL AND ({STRICT}) AS copied, b.key IS NOT NULL AS had, concat('bb-', s.source_alias, CASE s.label WHEN 'main' THEN '' ELSE concat('-', s.label) END) AS new_bucket, s.size AS s_size, s.e_tag AS s_tag,
   b.bucket AS b_bucket, b.size AS b_size, b.e_tag AS b_tag, b.last_modified_date AS b_time
 FROM fx_s s FULL OUTER JOIN {B_CURRENT} b ON {ON_KEY})
 """
@@ -263,9 +297,9 @@ HAVING max(ts) + INTERVAL {hours} HOUR <= (SELECT max(ts) FROM fx_event_log WHER
 _SQL = {
     # scans, sources, sinks
     "scan_inventory": f"SELECT * FROM fx_src WHERE dt = {TODAY} AND source_alias = 'bravo'",
-    "latest_partition": "SELECT source_alias, side, max(dt) AS dt FROM fx_inventory GROUP BY 1, 2",
-    "two_latest_partitions": """SELECT * FROM (SELECT source_alias, side, dt, row_number() OVER (PARTITION BY source_alias, side ORDER BY dt DESC) AS newest
-        FROM (SELECT DISTINCT source_alias, side, dt FROM fx_inventory)) WHERE newest <= 2""",
+    "latest_partition": "SELECT source_alias, label, side, max(dt) AS dt FROM fx_inventory GROUP BY 1, 2, 3",
+    "two_latest_partitions": """SELECT * FROM (SELECT source_alias, label, side, dt, row_number() OVER (PARTITION BY source_alias, label, side ORDER BY dt DESC) AS newest
+        FROM (SELECT DISTINCT source_alias, label, side, dt FROM fx_inventory)) WHERE newest <= 2""",
     "scan_listing": "SELECT * FROM fx_live WHERE starts_with(key, 'models/')",
     "read_event_log": """SELECT event_id, event_type, source, ts AS timestamp, details, strftime(ts, '%Y-%m') AS month
         FROM fx_event_log WHERE event_id % 10 > 1 AND ts >= TIMESTAMP '2023-12-01' AND ts < TIMESTAMP '2024-02-01'""",
@@ -285,8 +319,7 @@ _SQL = {
     # projections, filters, predicates
     "filter_current_version": "SELECT dt, source_alias, side, key FROM fx_cur",
     "filter_operational": f"SELECT dt, source_alias, key FROM fx_bkp WHERE {NOT_RESERVED}",
-    "filter_partition": """SELECT dt, source_alias, side, key, size FROM fx_inventory i WHERE dt =
-        (SELECT max(dt) FROM fx_inventory m WHERE m.source_alias = i.source_alias AND m.side = i.side)""",
+    "filter_partition": """SELECT i.dt, source_alias, label, side, key, size FROM fx_inventory i JOIN fx_newest n USING (source_alias, label, side) WHERE i.dt = n.dt""",
     "filter_restorable_class": """SELECT source_alias, side, dt,
         count(*) FILTER (storage_class IS NULL OR storage_class NOT IN ('GLACIER','DEEP_ARCHIVE','GLACIER_IR')) AS restorable,
         count(*) FILTER (storage_class IN ('GLACIER','DEEP_ARCHIVE','GLACIER_IR')) AS archived FROM fx_inventory GROUP BY 1, 2, 3""",
@@ -296,15 +329,15 @@ _SQL = {
     "diff_predicate_strict": f"SELECT {PAIR} FROM fx_s s LEFT JOIN fx_b b ON {ON_KEY} WHERE {STRICT}",
     "project_manifest": f"SELECT source_alias, bucket, {ENCODED.format('key')} AS key FROM fx_s",
     "filter_events": "SELECT event_id, ts, event_type, bucket FROM fx_event_log WHERE source = 'bravo' AND ts >= TIMESTAMP '2024-01-15'",
-    "select_restore_targets": "SELECT dt, side, bucket, key FROM fx_inventory WHERE source_alias IN ('alpha', 'delta')",
+    "select_restore_targets": "SELECT dt, side, bucket, key FROM fx_inventory WHERE source_alias IN ('alpha', 'delta') AND label = 'main'",
     "filter_job_kind": """SELECT bucket, job_id, description, creation_time, status FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY creation_time DESC, job_id) AS rn
         FROM fx_job WHERE starts_with(description, 'restore:')) WHERE rn <= 3""",
     # joins
-    "inventory_diff": MANIFEST,
+    "inventory_diff": NEWEST_MANIFEST,
     "inventory_full_manifest": f"SELECT source_alias, bucket, {ENCODED.format('key')} AS key FROM fx_s",
     "divergence_counts": f"SELECT * FROM {DIVERGENCE}",
-    "missing_keys": f"SELECT * FROM {MISSING}",
-    "orphan_keys": f"SELECT b.source_alias, b.label, b.key FROM fx_b b ANTI JOIN fx_s s ON {ON_KEY}",
+    "missing_keys": f"SELECT * FROM {NEWEST_MISSING}",
+    "orphan_keys": f"SELECT b.source_alias, b.label, b.key FROM fx_nb b ANTI JOIN fx_ns s ON {ON_KEY}",
     "listing_diff": f"""SELECT s.source_alias, s.bucket, {ENCODED.format('s.key')} AS key, s.size,
         CASE WHEN b.key IS NULL THEN 'missing' WHEN s.e_tag IS DISTINCT FROM b.e_tag THEN 'etag' ELSE 'size' END AS reason
         FROM fx_src_listing s LEFT JOIN fx_live b ON {ON_KEY} WHERE {STRICT}""",
@@ -371,7 +404,7 @@ _SQL = {
     "compliance_summary": f"""SELECT r.source_alias, coalesce(m, 0) AS missing_count, coalesce(x, 0) AS mismatch_count, coalesce(m, 0) = 0 AND coalesce(x, 0) = 0 AS clean,
         last_backup_at, t.result AS restore_test, pitr_enabled FROM fx_registry r
         LEFT JOIN (SELECT source_alias, count(*) FILTER (issue = 'missing_in_backup') AS m, count(*) FILTER (issue = 'etag_mismatch') AS x FROM {INTEGRITY} GROUP BY 1) i ON i.source_alias = r.source_alias
-        LEFT JOIN {LAST_BACKUP} a ON a.source_alias = r.source_alias LEFT JOIN {_bucket_results(SAMPLE.format(200))} t ON t.source_alias = r.source_alias
+        LEFT JOIN {LAST_BACKUP} a ON a.source_alias = r.source_alias LEFT JOIN {_restore_overall(_bucket_results(SAMPLE.format(200)))} t ON t.source_alias = r.source_alias
         LEFT JOIN {PITR} p ON p.source_alias = r.source_alias""",
     # windows, top-k, sampling
     "recent_jobs": """SELECT bucket, job_id, creation_time, status FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY creation_time DESC, job_id) AS rn FROM fx_job) WHERE rn <= 3""",

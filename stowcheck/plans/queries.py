@@ -67,9 +67,8 @@ def _backup_current(fx: Fixtures) -> DataFrame:
 
 
 def _newest(fx: Fixtures) -> DataFrame:
-    """Newest delivered snapshot per source and side."""
-    delivered = fx.deliveries.select("source_alias", "side", keys.symlink_dt(F.col("key")).alias("dt"))
-    return snapshots.newest_delivered(delivered, TODAY)
+    """Newest delivered snapshot per bucket and side."""
+    return snapshots.newest_delivered(fx.catalogue, TODAY)
 
 
 def _newest_sides(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
@@ -97,12 +96,12 @@ def scan_inventory(fx):
 
 @query
 def latest_partition(fx):
-    return snapshots.latest_partitions(fx.inventory)
+    return snapshots.latest_partitions(fx.catalogue)
 
 
 @query
 def two_latest_partitions(fx):
-    return snapshots.two_latest_partitions(fx.inventory)
+    return snapshots.two_latest_partitions(fx.catalogue)
 
 
 @query
@@ -256,7 +255,7 @@ def filter_operational(fx):
 
 @query
 def filter_partition(fx):
-    return snapshots.at_latest(fx.inventory).select("dt", "source_alias", "side", "key", "size")
+    return snapshots.at_latest(fx.inventory, fx.catalogue).select("dt", "source_alias", "label", "side", "key", "size")
 
 
 @query
@@ -436,7 +435,7 @@ def snapshot_count(fx):
 
 @query
 def count_delta(fx):
-    return _rounded(snapshots.count_delta(fx.inventory), delta_pct=6)
+    return _rounded(snapshots.count_delta(snapshots.bucket_counts(fx.inventory)), delta_pct=6)
 
 
 @query
@@ -499,7 +498,7 @@ def report_overall(fx):
 def _bucket_results(fx: Fixtures) -> DataFrame:
     sample = restore.sample_restore_hash(_backup(fx), 200)
     verified = restore.restore_verify(sample, fx.source_listing, fx.checksums, bounded=True)
-    return restore.bucket_results(verified, fx.registry)
+    return restore.bucket_results(verified, fx.bucket_pairs)
 
 
 @query
@@ -518,7 +517,13 @@ def restore_test_overall(fx):
 
 @query
 def restore_test_results(fx):
-    return _bucket_results(fx)
+    """Result of every bucket with the keys in error."""
+    def shown(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda e: F.concat(e["key"], F.lit(": "), e["detail"])), "; ")
+
+    results = _bucket_results(fx)
+    lists = {n: F.coalesce(shown(n), F.lit("")) for n in ("errors", "mismatches")}
+    return results.withColumns(lists)
 
 
 @query
@@ -826,6 +831,7 @@ def _report_inputs(fx: Fixtures) -> health_report.ReportInputs:
         live=fx.live,
         deliveries=fx.deliveries,
         registry=fx.registry,
+        pairs=fx.bucket_pairs,
         run_states=fx.run_states,
         jobs=fx.jobs,
         exports=fx.exports,

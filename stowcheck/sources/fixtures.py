@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowcheck.operators.snapshots import current
+from stowcheck.operators.snapshots import current, delivery_catalogue
 from stowcheck.session import work_path
 from stowcheck.sources.inventory import list_files, store_bucketed
 
@@ -18,6 +18,8 @@ TODAY = "2024-01-30-01-00"
 YESTERDAY = "2024-01-29-01-00"
 NOW_TEXT = "2024-01-31 00:00:00"
 ALIASES = ("alpha", "bravo", "charlie", "delta")
+# delivered like the others, and not delivered today: both sides of ``old``, the backup of ``late``
+SECOND_BUCKETS = (("bravo", "extra"), ("alpha", "old"), ("charlie", "late"))
 # reserved-prefix keys, and one trap key that only looks like one to a LIKE pattern
 BACKUP_ONLY_KEYS = (
     "_state/last-run.json",
@@ -100,13 +102,13 @@ class Fixtures:
 
     @cached_property
     def objects(self) -> DataFrame:
-        """One row per object; a second bucket of one source holds a third of its keys, in another state."""
+        """One row per object; a second bucket holds a third or a tenth of its source's keys, in another state."""
         used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
         return self.spread("lineitem", used, ["l_orderkey", "l_linenumber"]).selectExpr(
             f"{_one_of('l_orderkey', *ALIASES)} AS source_alias",
             "(l_orderkey * 31 + l_linenumber * 7 + l_partkey * 13 + l_suppkey * 3) % 1000 AS h",
             """concat(CASE (l_orderkey + l_partkey) % 8
-                   WHEN 0 THEN 'vs30=1000/imt=SA(0.15)/'
+                   WHEN 0 THEN 'run=1000/part=A(0.15)/'
                    WHEN 1 THEN 'folder/file 1+'
                    WHEN 2 THEN 'a&b,c%/'
                    WHEN 3 THEN 'é~*/'
@@ -116,9 +118,11 @@ class Fixtures:
             "l_shipdate AS last_modified_date",
         ).selectExpr(
             "source_alias",
-            """inline(if(source_alias = 'bravo' AND h % 3 = 0,
-                   array(struct('main' AS label, h AS h), struct('extra' AS label, (h + 25) % 1000 AS h)),
-                   array(struct('main' AS label, h AS h))))""",
+            """inline(CASE WHEN source_alias = 'bravo' AND h % 3 = 0 OR source_alias IN ('alpha', 'charlie') AND h % 10 = 3
+                   THEN array(struct('main' AS label, h AS h),
+                              struct(CASE source_alias WHEN 'bravo' THEN 'extra' WHEN 'alpha' THEN 'old' ELSE 'late' END AS label,
+                                     (h + 25) % 1000 AS h))
+                   ELSE array(struct('main' AS label, h AS h)) END)""",
             "key", "size", "last_modified_date",
         )
 
@@ -127,7 +131,8 @@ class Fixtures:
 
     def _derived_source(self) -> DataFrame:
         def snapshot(dt: str) -> DataFrame:
-            kept = "h >= 30" if dt == TODAY else "h >= 30 AND h < 990"
+            # bucket ``old`` of alpha wasn't delivered today
+            kept = "h >= 30 AND label <> 'old'" if dt == TODAY else "h >= 30 AND h < 990"
             return self.objects.where(kept).selectExpr(
                 f"'{dt}' AS dt",
                 "source_alias",
@@ -147,7 +152,9 @@ class Fixtures:
 
     def _derived_backup(self) -> DataFrame:
         def snapshot(dt: str) -> DataFrame:
-            return self.objects.where("NOT (h BETWEEN 30 AND 79)").selectExpr(
+            # nor were the backups of ``old`` and of charlie's ``late``
+            kept = "NOT (h BETWEEN 30 AND 79)" + (" AND label NOT IN ('old', 'late')" if dt == TODAY else "")
+            return self.objects.where(kept).selectExpr(
                 f"'{dt}' AS dt",
                 "source_alias",
                 "'backup' AS side",
@@ -166,7 +173,7 @@ class Fixtures:
 
         reserved = ", ".join(f"'{key}'" for key in BACKUP_ONLY_KEYS)
         own = (
-            self.objects.select("source_alias", "label").distinct()
+            self.objects.where("label NOT IN ('old', 'late')").select("source_alias", "label").distinct()
             .selectExpr("source_alias", "label", f"explode(array({reserved})) AS key")
             .selectExpr(
                 f"'{TODAY}' AS dt",
@@ -373,10 +380,10 @@ class Fixtures:
 
     @cached_property
     def bucket_pairs(self) -> DataFrame:
-        """Every bucket with its backup: the registry's and the second one of a source."""
+        """Every bucket with its backup: the registry's and the second ones."""
         columns = ["source_alias", "label", "source_bucket", "backup_bucket"]
         second = self.spark.createDataFrame(
-            [("bravo", "extra", "src-bravo-extra", "bb-bravo-extra")], ", ".join(f"{c} string" for c in columns)
+            [(a, label, f"src-{a}-{label}", f"bb-{a}-{label}") for a, label in SECOND_BUCKETS], ", ".join(f"{c} string" for c in columns)
         )
         return self.registry.select(*columns).union(second)
 
@@ -406,6 +413,11 @@ class Fixtures:
             F.to_timestamp("dt", "yyyy-MM-dd-HH-mm").alias("last_modified"),
         )
 
+    @cached_property
+    def catalogue(self) -> DataFrame:
+        """Delivered snapshots per bucket and side, from their paths."""
+        return delivery_catalogue(self.deliveries, self.bucket_pairs)
+
     @cached_property
     def buckets(self) -> DataFrame:
         """Buckets seen in the event log, per source."""

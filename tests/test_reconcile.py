@@ -96,7 +96,7 @@ def test_divergence_equals_brute_force_with_repeated_keys(spark):
         r.source_alias: (r.source_minus_backup, r.backup_minus_source)
         for r in reconcile.divergence_counts(
             reconcile.key_sides(inventory(spark, rows), "d"),
-            spark.createDataFrame([(a, s, "d") for a in "ab" for s in ("source", "backup")], "source_alias string, side string, dt string"),
+            spark.createDataFrame([(a, s, "d") for a in "ab" for s in ("source", "backup")], "source_alias string, side string, dt string").withColumn("label", F.lit("main")),
         ).collect()
     }
     for alias in "ab":
@@ -110,7 +110,7 @@ def test_count_delta_edges(spark):
     rows = [("d1", "one", "source", "k", None, None)]
     rows += [("d1", "zero", "source", "k", True, True), ("d2", "zero", "source", "k", True, False)]
     rows += [(d, "two", "source", f"k{i}", None, None) for d, n in (("d1", 4), ("d2", 3)) for i in range(n)]
-    got = {r.source_alias: r for r in snapshots.count_delta(inventory(spark, rows)).collect()}
+    got = {r.source_alias: r for r in snapshots.count_delta(snapshots.bucket_counts(inventory(spark, rows))).collect()}
     assert (got["one"].today_count, got["one"].delta, got["one"].available) == (1, None, False)
     assert (got["zero"].yesterday_count, got["zero"].delta, got["zero"].delta_pct) == (0, 1, None)
     assert (got["two"].delta, got["two"].delta_pct) == (-1, -25.0)
@@ -168,9 +168,10 @@ def test_verify_and_rollup(spark):
     assert got["ckbad"] == ("mismatch", "ChecksumCRC64NVME mismatch: 1 != 2")
     assert got["tagbad"] == ("mismatch", "ETag mismatch: y != x")
     assert got["lost"][0] == "copy_error"
-    registry = spark.createDataFrame([("a",), ("idle",)], "source_alias string")
-    results = restore.bucket_results(verified, registry)
-    assert {r.source_alias: r.result for r in results.collect()} == {"a": "failed", "idle": "skipped"}
+    results = restore.bucket_results(verified, bucket_pairs(spark, ("a", "main"), ("idle", "main")))
+    got = {r.source_alias: r for r in results.collect()}
+    assert {a: r.result for a, r in got.items()} == {"a": "failed", "idle": "skipped"}
+    assert [e.key for e in got["a"].errors] == ["lost"] and [e.key for e in got["a"].mismatches] == ["ckbad", "tagbad"]
     assert restore.restore_test_overall(results).collect()[0].overall == "failed"
     skipped = results.where("source_alias = 'idle'")
     assert restore.restore_test_overall(skipped).collect()[0].overall == "skipped"
@@ -233,10 +234,73 @@ def test_each_side_is_compared_at_its_own_newest_snapshot(spark):
     rows += [("d1", "a", "backup", k, True, False) for k in ("k1", "gone")] + [("d3", "a", "source", "future", True, False)]
     rows += [("d2", "b", side, "k", True, False) for side in ("source", "backup")]
     inv = inventory(spark, rows)
-    newest = snapshots.newest_delivered(inv.select("source_alias", "side", "dt").distinct(), "d2")
+    newest = snapshots.newest_delivered(inv.select("source_alias", "label", "side", "dt").distinct(), "d2")
     counts = reconcile.divergence_counts(reconcile.newest_key_sides(inv, newest), newest)
     got = {r.source_alias: (r.source_dt, r.backup_dt, r.source_minus_backup, r.backup_minus_source) for r in counts.collect()}
     assert got == {"a": ("d2", "d1", 1, 1), "b": ("d2", "d2", 0, 0)}
     sides = snapshots.newest_source(inv, newest), snapshots.newest_backup(inv, newest)
     assert [r.key for r in reconcile.missing_keys(*sides).collect()] == ["k2"]
     assert [r.key for r in reconcile.orphan_keys(*sides).collect()] == ["gone"]
+
+
+def bucket_pairs(spark, *buckets):
+    rows = [(a, label, f"src-{a}-{label}", f"bb-{a}-{label}") for a, label in buckets]
+    return spark.createDataFrame(rows, "source_alias string, label string, source_bucket string, backup_bucket string")
+
+
+def delivered(*snapshots_of):
+    """Paths of the snapshots (alias, label, side, dt) in a listing."""
+    for alias, label, side, dt in snapshots_of:
+        bucket = f"{'src' if side == 'source' else 'bb'}-{alias}-{label}"
+        yield (f"inventory/{alias}/{side}/{bucket}/{bucket}/daily/hive/dt={dt}/symlink.txt",)
+
+
+def test_buckets_of_a_source_delivered_on_different_days(spark):
+    """``extra`` was last delivered the day before ``main``; both are compared."""
+    both = ("source", "backup")
+    rows = [("d2", "a", side, "main", k) for side in both for k in ("k1", "k2")]
+    rows += [("d1", "a", "source", "extra", k) for k in ("e1", "e2")] + [("d1", "a", "backup", "extra", k) for k in ("e2", "e3")]
+    rows += [("d1", "a", side, "main", "stale") for side in both] + [("d2", "a", "source", "half", "h")]
+    inv = spark.createDataFrame(rows, "dt string, source_alias string, side string, label string, key string")
+    inv = inv.withColumns({"is_latest": F.lit(True), "is_delete_marker": F.lit(False), "bucket": F.lit("b"), "size": F.lit(1), "e_tag": F.lit("t")})
+    pairs = bucket_pairs(spark, ("a", "main"), ("a", "extra"), ("a", "half"), ("a", "never"), ("b", "never"))
+    paths = [*delivered(*{(r[1], r[3], r[2], r[0]) for r in rows}), ("inventory/a/source/other/other/daily/hive/dt=d9/symlink.txt",), ("inventory/a/x",)]
+    catalogue = snapshots.delivery_catalogue(spark.createDataFrame(paths, "key string"), pairs)
+    newest = snapshots.newest_delivered(catalogue, "d3")
+    sides = snapshots.newest_source(inv, newest), snapshots.newest_backup(inv, newest)
+    assert {(r.label, r.key) for r in reconcile.missing_keys(*sides).collect()} == {("extra", "e1"), ("half", "h")}
+    assert {(r.label, r.key) for r in reconcile.orphan_keys(*sides).collect()} == {("extra", "e3")}
+    assert {r.key for r in reconcile.inventory_diff(*sides).collect()} == {"e1", "h"}
+    counts = reconcile.divergence_counts(reconcile.newest_key_sides(inv, newest), newest)
+    got = {r.label: (r.source_dt, r.backup_dt, r.source_minus_backup, r.backup_minus_source, r.available) for r in counts.collect()}
+    assert got == {"main": ("d2", "d2", 0, 0, True), "extra": ("d1", "d1", 1, 1, True), "half": ("d2", None, None, None, False)}
+    rolled = {r.source_alias: tuple(r)[1:] for r in reconcile.source_divergence(counts, pairs).collect()}
+    assert rolled == {"a": (1, 1, 2), "b": (None, None, 1)}
+    deltas = snapshots.count_delta(snapshots.bucket_counts(inv))
+    assert {r.label: (r.today_dt, r.today_count, r.delta) for r in deltas.collect()} == {"main": ("d2", 2, 1), "extra": ("d1", 2, None), "half": ("d2", 1, None)}
+    assert [tuple(r) for r in snapshots.source_delta(deltas).collect()] == [("a", 1, 100.0)]
+
+
+def test_newest_snapshots_are_chosen_from_paths_alone(fx, plan_of):
+    newest = snapshots.newest_delivered(fx.catalogue, "2024-01-30-01-00")
+    assert {(r.label, r.side): r.dt for r in newest.where("label in ('old', 'late')").collect()} == {
+        ("old", "source"): "2024-01-29-01-00", ("old", "backup"): "2024-01-29-01-00",
+        ("late", "source"): "2024-01-30-01-00", ("late", "backup"): "2024-01-29-01-00",
+    }
+    plan = plan_of(newest)
+    assert plan.count("FileScan") == 1 and "ReadSchema: struct<key:string>" in plan
+    # and prune the inventory's partitions at run time
+    assert "dynamicpruning" in plan_of(snapshots.newest_source(fx.inventory, newest).select("key"))
+
+
+def test_one_failed_bucket_makes_its_source_fail(spark):
+    verified = spark.createDataFrame(
+        [("a", "one", "k1", "verified", None), ("a", "two", "k2", "copy_error", "lost"), ("a", "two", "k3", "mismatch", "differs")],
+        "source_alias string, label string, key string, outcome string, detail string",
+    )
+    results = restore.bucket_results(verified, bucket_pairs(spark, ("a", "one"), ("a", "two"), ("a", "idle")))
+    got = {r.label: (r.backup_bucket, r.result, [e.key for e in r.errors or []], [e.key for e in r.mismatches or []]) for r in results.collect()}
+    assert got == {
+        "one": ("bb-a-one", "passed", [], []), "two": ("bb-a-two", "failed", ["k2"], ["k3"]), "idle": ("bb-a-idle", "skipped", [], []),
+    }
+    assert [(r.source_alias, r.overall, r.buckets) for r in restore.restore_test_overall(results, "source_alias").collect()] == [("a", "failed", 3)]

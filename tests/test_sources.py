@@ -19,7 +19,7 @@ def test_partitioned_inventory_prunes_and_keeps_dt_text(spark, fx, tmp_path, pla
     assert "PartitionFilters: [isnotnull(dt" in plan
     known = {tuple(r) for r in inventory.stored_partitions(spark, path).select("source_alias", "side", "dt").collect()}
     assert known == {tuple(r) for r in fx.inventory.select("source_alias", "side", "dt").distinct().collect()}
-    latest = snapshots.at_latest(stored).select("key")
+    latest = snapshots.at_latest(stored, fx.catalogue).select("key")
     assert "dynamicpruning" in plan_of(latest)
     listed = inventory.list_files(spark, path, "*.parquet")
     assert listed.where("size <= 0").count() == 0 and listed.count() > 0
