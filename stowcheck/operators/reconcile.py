@@ -109,8 +109,13 @@ def sides_per_key(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def differing(sides: DataFrame) -> DataFrame:
+    """Keys on one side only: all that counts and samples of a divergence need of ``sides_per_key``."""
+    return sides.where((F.col("in_source") == 0) | (F.col("in_backup") == 0))
+
+
 def divergence_counts(sides: DataFrame, delivered: DataFrame) -> DataFrame:
-    """Counts in both directions per bucket from ``key_sides``; NULL unless both sides have a snapshot.
+    """Counts in both directions per bucket from ``key_sides``, or what ``differing`` leaves of it; NULL unless both sides have a snapshot.
 
     ``delivered`` holds the compared (source_alias, label, side, dt): a delivered snapshot without current
     keys is available and counts as empty.
@@ -165,7 +170,7 @@ def missing_sample(missing: DataFrame, n: int = MISSING_SAMPLE_SIZE) -> DataFram
 
 def key_except(sides: DataFrame) -> DataFrame:
     """Distinct keys on one side only, tagged."""
-    return sides.where((F.col("in_source") == 0) | (F.col("in_backup") == 0)).select(
+    return differing(sides).select(
         *KEY,
         F.when(F.col("in_backup") == 0, "source_only").otherwise("backup_only").alias("found_in"),
     )

@@ -41,7 +41,8 @@ SNAPSHOT = [*BUCKET, "side"]
 
 
 def delivery_catalogue(listing: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(source_alias, label, side, bucket, dt) of every delivered snapshot, from the paths of a listing alone.
+    """(source_alias, label, side, bucket, dt, delivered_at) of every delivered snapshot, from a listing alone:
+    the paths (key), and where it has them the times (last_modified).
 
     ``pairs`` names the label of a bucket and of its backup (source_alias, label, source_bucket, backup_bucket).
     Paths that name no snapshot, and buckets that aren't registered, are left out.
@@ -51,9 +52,10 @@ def delivery_catalogue(listing: DataFrame, pairs: DataFrame) -> DataFrame:
         F.struct(F.lit("backup").alias("side"), F.col("backup_bucket").alias("bucket")),
     )
     labels = pairs.select(*BUCKET, F.inline(both)).distinct()
-    delivered = listing.select(delivery_fields(F.col("key")).alias("_of")).where(F.col("_of").isNotNull()).select("_of.*")
-    named = delivered.join(per_source(labels), ["source_alias", "side", "bucket"])
-    return named.select(*SNAPSHOT, "bucket", "dt").distinct()
+    at = F.col("last_modified") if "last_modified" in listing.columns else F.lit(None).cast("timestamp")
+    delivered = listing.select(delivery_fields(F.col("key")).alias("_of"), at.alias("_at")).where(F.col("_of").isNotNull())
+    named = delivered.select("_of.*", "_at").join(per_source(labels), ["source_alias", "side", "bucket"])
+    return named.groupBy(*SNAPSHOT, "bucket", "dt").agg(F.max("_at").alias("delivered_at"))
 
 
 def latest_partitions(catalogue: DataFrame) -> DataFrame:

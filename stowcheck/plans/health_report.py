@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stowcheck.constants import FRESHNESS_HOURS, MISSING_SAMPLE_SIZE, RESTORE_SAMPLE_SIZE
 from stowcheck.operators import health, operations, reconcile, restore, snapshots
 from stowcheck.operators.toolkit import per_source
+from stowcheck.session import work_path
 
 
 @dataclass
@@ -17,6 +18,7 @@ class ReportInputs:
     deliveries: DataFrame
     registry: DataFrame
     pairs: DataFrame
+    counts: DataFrame
     run_states: DataFrame
     jobs: DataFrame
     exports: DataFrame
@@ -63,14 +65,21 @@ def restore_results(inputs: ReportInputs, sample_size: int = RESTORE_SAMPLE_SIZE
     return restore.bucket_results(verified, inputs.pairs.join(due, "source_alias", "left_semi"))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def health_rows(inputs: ReportInputs, freshness_hours: float = FRESHNESS_HOURS) -> DataFrame:
     """One row per source with all signals, notes and the overall status.
 
-    Each bucket's newest snapshot is compared with its backup's newest, however old either is. The counts
-    and the missing sample aggregate the keys of both; everything joined afterwards has one row per source.
+    Each bucket's newest snapshot is compared with its backup's newest, however old either is. The keys of
+    both are aggregated once, and those on one side only are written down: the counts and the missing sample
+    read them. Everything joined afterwards has one row per source.
     """
     newest = newest_snapshots(inputs)
-    sides = reconcile.newest_key_sides(inputs.inventory, newest)
+    sides = _stored(reconcile.differing(reconcile.newest_key_sides(inputs.inventory, newest)), "differing-keys")
     divergence = reconcile.source_divergence(reconcile.divergence_counts(sides, newest), inputs.pairs)
     missing = sides.where((F.col("in_backup") == 0) & (F.col("in_source") > 0))
     checked = restore.head_check(
@@ -79,7 +88,7 @@ def health_rows(inputs: ReportInputs, freshness_hours: float = FRESHNESS_HOURS)
         bounded=True,
     )
     freshness = snapshots.inventory_freshness(inputs.deliveries, inputs.now, freshness_hours)
-    delta = snapshots.source_delta(snapshots.count_delta(snapshots.bucket_counts(inputs.inventory)))
+    delta = snapshots.source_delta(snapshots.count_delta(inputs.counts))
     process, failures = process_signals(inputs)
     tested = restore.restore_test_overall(restore_results(inputs), "source_alias")
 

@@ -297,6 +297,9 @@ HAVING max(ts) + INTERVAL {hours} HOUR <= (SELECT max(ts) FROM fx_event_log WHER
 _SQL = {
     # scans, sources, sinks
     "scan_inventory": f"SELECT * FROM fx_src WHERE dt = {TODAY} AND source_alias = 'bravo'",
+    "read_delivered": """SELECT dt, source_alias, side, bucket, label, key, is_latest, is_delete_marker, size, last_modified_date, e_tag, storage_class
+        FROM fx_inventory JOIN fx_newest USING (source_alias, label, side, dt)""",
+    "kept_counts": f"SELECT source_alias, label, side, dt, strptime(dt, '%Y-%m-%d-%H-%M') AS delivered_at, objects FROM {BUCKET_COUNTS}",
     "latest_partition": "SELECT source_alias, label, side, max(dt) AS dt FROM fx_inventory GROUP BY 1, 2, 3",
     "two_latest_partitions": """SELECT * FROM (SELECT source_alias, label, side, dt, row_number() OVER (PARTITION BY source_alias, label, side ORDER BY dt DESC) AS newest
         FROM (SELECT DISTINCT source_alias, label, side, dt FROM fx_inventory)) WHERE newest <= 2""",

@@ -19,10 +19,12 @@ from stowcheck.operators import (
 from stowcheck.operators.toolkit import per_source
 from stowcheck.plans import health_report
 from stowcheck.session import configure, work_path
+from stowcheck.sources import counts as counts_source
+from stowcheck.sources import delivery as delivery_source
 from stowcheck.sources import events as event_source
 from stowcheck.sources import inventory as inventory_source
 from stowcheck.sources import sinks
-from stowcheck.sources.fixtures import TODAY, Fixtures, now
+from stowcheck.sources.fixtures import TODAY, YESTERDAY, Fixtures, now
 from stowcheck.streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
@@ -94,6 +96,28 @@ def scan_inventory(fx):
     )
 
 
+@query
+def read_delivered(fx):
+    """Snapshots delivered as data files and symlinks; the newest of each bucket and side read back."""
+    path = work_path(fx.spark, "delivered")
+    delivery_source.deliver(fx.inventory, path)
+    catalogue = snapshots.delivery_catalogue(delivery_source.list_deliveries(fx.spark, path), fx.bucket_pairs)
+    newest = catalogue.join(snapshots.newest_delivered(catalogue, TODAY), [*snapshots.SNAPSHOT, "dt"], "left_semi")
+    return delivery_source.read_delivered(fx.spark, path, newest).select(
+        "dt", "source_alias", "side", "bucket", "label", "key", "is_latest", "is_delete_marker",
+        "size", "last_modified_date", "e_tag", "storage_class",
+    )
+
+
+@query
+def kept_counts(fx):
+    """Counts per snapshot recorded in two runs: yesterday's deliveries, then the rest."""
+    path = work_path(fx.spark, "kept-counts")
+    for until in (YESTERDAY, TODAY):
+        counts_source.record_counts(fx.inventory, fx.catalogue.where(F.col("dt") <= until), path)
+    return counts_source.read_counts(fx.spark, path)
+
+
 @query
 def latest_partition(fx):
     return snapshots.latest_partitions(fx.catalogue)
@@ -435,7 +459,7 @@ def snapshot_count(fx):
 
 @query
 def count_delta(fx):
-    return _rounded(snapshots.count_delta(snapshots.bucket_counts(fx.inventory)), delta_pct=6)
+    return _rounded(snapshots.count_delta(fx.counts), delta_pct=6)
 
 
 @query
@@ -832,6 +856,7 @@ def _report_inputs(fx: Fixtures) -> health_report.ReportInputs:
         deliveries=fx.deliveries,
         registry=fx.registry,
         pairs=fx.bucket_pairs,
+        counts=fx.counts,
         run_states=fx.run_states,
         jobs=fx.jobs,
         exports=fx.exports,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stowcheck.operators.snapshots import current, delivery_catalogue
 from stowcheck.session import work_path
+from stowcheck.sources.counts import read_counts, record_counts
 from stowcheck.sources.inventory import list_files, store_bucketed
 
 TODAY = "2024-01-30-01-00"
@@ -418,6 +419,16 @@ class Fixtures:
         """Delivered snapshots per bucket and side, from their paths."""
         return delivery_catalogue(self.deliveries, self.bucket_pairs)
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Counts kept per snapshot, recorded once."""
+        known = (self.spark.sparkContext.applicationId, self.sf_dir, "counts")
+        if known not in _stored:
+            path = work_path(self.spark, "counts")
+            record_counts(self.inventory, self.catalogue, path)
+            _stored[known] = path
+        return read_counts(self.spark, _stored[known])
+
     @cached_property
     def buckets(self) -> DataFrame:
         """Buckets seen in the event log, per source."""
