@@ -8,13 +8,14 @@ with which a node's own estimate counts, and so one mixed probability per node.
 hasn't seen is predicted by its longest seen suffix. log2 of the mixed probabilities is the code length.
 
 Counting sums bytes in context and words in each task before the shuffle. The tree is built by one
-aggregation (up) and one join (down) per depth. Documents are scored where they lie, against tables broadcast
-in slices of at most ``max_nodes`` nodes and seen grams: positions are dealt to slices by their last two bytes,
-or by more below a context that alone has a large part of a slice. Every slice has the nodes of contexts of fewer
-than two bytes and of those so split, at most 255 a context and four split contexts a slice and byte.
-With more than one slice, each is a job of its own whose sums are stored before the next slice is collected,
-and its tables are dropped: driver and executors hold one slice at a time. Word counts of the unigram base are broadcast for the
-``max_head`` most frequent words and joined for all others.
+aggregation (up) and one join (down) per depth. Documents are scored where they lie, against tables in slices
+of at most ``max_nodes`` nodes and seen grams: positions are dealt to slices by their last two bytes, or by more
+below a context that alone has a large part of a slice. Every slice has the nodes of contexts of fewer than two
+bytes and of those so split, at most 255 a context and four split contexts a slice and byte. A slice's tables are
+built by one task and written to one file in the shared folder; neither they nor the tree pass the driver.
+Workers map the file, so those of one machine share one copy of the slice in use. With more than one slice, each
+is a job of its own whose sums are stored. Word counts of the unigram base are broadcast for the ``max_head`` most
+frequent words and joined for all others. The tables of the tree are dropped when the nodes have been stored.
 
 Defined results: NULL, empty and word-less texts are the end token alone; repeated rows are scored alike,
 and counted as often as they occur; without training rows every decision has probability 1/2 and no word is
@@ -24,17 +25,20 @@ known; an empty table gives an empty result. Whole texts are read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowcheck.llm.tables import stored
+from stowcheck.llm.tables import drop_tables, open_path, stored
 from stowcheck.llm.words import lower_words
+from stowcheck.session import work_path
 
 DEPTH = 5
 END = b"\n"
@@ -131,8 +135,8 @@ def _mask(depth: int) -> int:
     return (1 << (8 * (depth + 1))) - 1
 
 
-def _tree(gram_counts: DataFrame, depth: int) -> list[DataFrame]:
-    """Per depth: node (context and the byte's bits so far, under a leading 1), q: mixed probability of a 1."""
+def _tree(gram_counts: DataFrame, depth: int, scratch: list[str]) -> list[DataFrame]:
+    """``scratch`` gets the paths of the tables it leaves. Per depth: node (context and the byte's bits so far, under a leading 1), q: mixed probability of a 1."""
     k, byte = F.col("k"), F.col("gram").bitwiseAND(255)
     right = lambda x, by: F.expr(f"shiftright({x}, {by})")
     bits = gram_counts.select("gram", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select(
@@ -156,7 +160,7 @@ def _tree(gram_counts: DataFrame, depth: int) -> list[DataFrame]:
             block = high + F.log1p(F.exp(low - high)) - math.log(2)
             df = df.withColumn("block", block)
             df = df.select("node", "n0", "n1", "p", "block", F.exp(F.col("own") - F.col("block") - math.log(2)).alias("stop"))
-        return stored(df, f"tree_{d}")
+        return stored(df, f"tree_{d}", scratch)
 
     levels = {depth: weighted(level, depth)}
     for d in range(depth - 1, -1, -1):
@@ -179,13 +183,13 @@ def _tree(gram_counts: DataFrame, depth: int) -> list[DataFrame]:
             (F.col("left") - share).alias("left"),
             (F.col("mixed") + share * F.col("p")).alias("mixed"),
         )
-        out.append(stored(df, f"mixed_{d}"))
+        out.append(stored(df, f"mixed_{d}", scratch))
     return [df.select("node", "q") for df in out]
 
 
-def _nodes(gram_counts: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def _nodes(gram_counts: DataFrame, depth: int, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
     """(code, value) of all nodes, with log odds of a 1, and of all seen grams, with log10 probability."""
-    tree = _tree(gram_counts, depth)
+    tree = _tree(gram_counts, depth, scratch)
     odds = F.log(F.col("q") / (1 - F.col("q")))
     nodes = [
         df.select(F.col("node").bitwiseOR(F.lit(d << DEPTH_SHIFT)).alias("code"), odds.cast("float").alias("value"), F.lit(d).alias("depth"))
@@ -203,20 +207,22 @@ def _nodes(gram_counts: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
 
 
 class Table:
-    """Open addressing over numpy arrays; built where it is used."""
+    """Open addressing over numpy arrays."""
 
-    def __init__(self, codes: np.ndarray, values: np.ndarray):
-        self.codes, self.values, self.slots = codes, values, None
+    def __init__(self, codes: np.ndarray, values: np.ndarray, slots: np.ndarray):
+        self.codes, self.values, self.slots = codes, values, slots
+        self.bits = len(slots).bit_length() - 1
 
-    def _build(self) -> None:
-        self.bits = max(4, int(2 * len(self.codes)).bit_length())
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        left, at = np.arange(len(self.codes), dtype=np.int32), self._home(self.codes)
+    @classmethod
+    def built(cls, codes: np.ndarray, values: np.ndarray) -> Table:
+        table = cls(codes, values, np.full(1 << max(4, int(2 * len(codes)).bit_length()), -1, np.int32))
+        left, at = np.arange(len(codes), dtype=np.int32), table._home(codes)
         while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]
-            lost = self.slots[at] != left
-            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+            free = table.slots[at] < 0
+            table.slots[at[free]] = left[free]
+            lost = table.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & ((1 << table.bits) - 1)
+        return table
 
     def _home(self, codes: np.ndarray) -> np.ndarray:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -226,8 +232,6 @@ class Table:
         out = np.full(len(codes), np.nan, np.float32)
         if not len(self.codes):
             return out
-        if self.slots is None:
-            self._build()
         left, at = np.arange(len(codes)), self._home(codes)
         while len(left):
             slot = self.slots[at]
@@ -241,15 +245,8 @@ class Table:
 class SortedTable:
     """Binary search: slower than ``Table``, but nothing beside the codes and values is held."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
-        """``parts`` in the order of their codes; each is sorted alone, so that copies stay small."""
-        codes, values = [], []
-        while parts:
-            code, value = parts.pop(0)
-            order = np.argsort(code)
-            codes.append(code[order])
-            values.append(value[order])
-        self.codes, self.values = np.concatenate(codes), np.concatenate(values)
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.codes, self.values = codes, values
 
     def find(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.codes):
@@ -258,28 +255,116 @@ class SortedTable:
         return np.where(self.codes[at] == codes, self.values[at], np.float32(np.nan))
 
 
+# --- slices in files of the shared folder ---------------------------------------------------------
+
+# node codes, gram codes, slots of the grams' table, values of both
+_KINDS = ("<u8", "<u8", "<i4", "<f4", "<f4")
+
+
+def _write_slice(path: str, nodes: tuple[np.ndarray, np.ndarray], grams_: tuple[np.ndarray, np.ndarray]) -> None:
+    table = Table.built(*grams_)
+    arrays = (nodes[0], table.codes, table.slots, nodes[1], table.values)
+    system, name = open_path(path)
+    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(name) as out:
+        out.write(np.array([len(a) for a in arrays], "<i8").tobytes())
+        for array, kind in zip(arrays, _KINDS, strict=True):
+            out.write(np.ascontiguousarray(array, kind).tobytes())
+
+
+_opened: dict[str, tuple[Table, SortedTable]] = {}
+
+
+def _open_slice(path: str) -> tuple[Table, SortedTable]:
+    """Tables of a slice, the last opened kept. Where the shared folder is mounted the file is mapped, so all
+    workers of a machine share it in the page cache; from another store each worker reads it, once a slice."""
+    if path not in _opened:
+        _opened.clear()
+        system, name = open_path(path)
+        if isinstance(system, fs.LocalFileSystem):
+            data = np.memmap(name, np.uint8, "r")
+        else:
+            with system.open_input_file(name) as raw:
+                data = np.frombuffer(raw.read(), np.uint8)
+        at, arrays = 8 * len(_KINDS), []
+        for n, kind in zip(data[:at].view("<i8").tolist(), _KINDS, strict=True):
+            size = n * np.dtype(kind).itemsize
+            arrays.append(data[at : at + size].view(kind))
+            at += size
+        node_codes, gram_codes, slots, node_values, gram_values = arrays
+        _opened[path] = Table(gram_codes, gram_values, slots), SortedTable(node_codes, node_values)
+    return _opened[path]
+
+
+def _written(rows: DataFrame, slices: int) -> list[tuple[str, int]]:
+    """Path and number of rows of every slice's file, from ``rows`` (code, value, is_gram, slice; a NULL slice
+    means all). A task builds the tables of one slice at a time; a repeated task writes files of other names."""
+    folder = work_path(rows.sparkSession, "slices")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: int | None = None
+        parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+
+        def close() -> pa.RecordBatch:
+            path = f"{folder}/{current}-{uuid.uuid4().hex}"
+            none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+            nodes, seen = (tuple(map(np.concatenate, zip(none, *part, strict=True))) for part in parts)
+            _write_slice(path, nodes, seen)
+            return pa.RecordBatch.from_pydict({"slice": [current], "path": [path], "n": [len(nodes[0]) + len(seen[0])]})
+
+        for batch in batches:
+            of = batch["slice"].to_numpy()
+            bounds = np.flatnonzero(np.diff(of, prepend=of[0] - 1 if len(of) else 0))
+            for lo, hi in zip(bounds, [*bounds[1:], len(of)], strict=True):
+                if current is not None and of[lo] != current:
+                    yield close()
+                    parts = [[], []]
+                current, part = int(of[lo]), batch.slice(lo, hi - lo)
+                codes, values = part["code"].to_numpy().view(np.uint64), part["value"].to_numpy()
+                is_gram = part["is_gram"].to_numpy(zero_copy_only=False)
+                for flag in (False, True):
+                    parts[flag].append((codes[is_gram == flag], values[is_gram == flag]))
+        if current is not None:
+            yield close()
+
+    every = F.sequence(F.lit(0), F.lit(slices - 1))
+    own = F.when(F.col("slice").isNull(), every).otherwise(F.array(F.col("slice").cast("int")))
+    dealt = rows.select(F.explode(own).alias("slice"), "is_gram", "code", "value")
+    dealt = dealt.repartition("slice").sortWithinPartitions("slice", "is_gram", "code")
+    files = stored(dealt.mapInArrow(write, "slice long, path string, n long"), "slice_files")
+    found = {r["slice"]: (r["path"], r["n"]) for r in files.collect()}
+    return [found[i] if i in found else _empty_slice(folder, i) for i in range(slices)]
+
+
+def _empty_slice(folder: str, i: int) -> tuple[str, int]:
+    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    _write_slice(f"{folder}/{i}", none, none)
+    return f"{folder}/{i}", 0
+
+
 class Model:
     """One slice of the tree. Seen grams are looked up by hash; the nodes serve unseen ones only."""
 
-    def __init__(self, grams_: Table, nodes: SortedTable, depth: int, slice_: int, slices: int, hot: list[list[int]]):
-        self.grams, self.nodes, self.depth, self.slice, self.slices, self.hot = grams_, nodes, depth, slice_, slices, hot
+    def __init__(self, path: str, depth: int, slice_: int, slices: int, hot: list[list[int]]):
+        self.path, self.depth, self.slice, self.slices, self.hot = path, depth, slice_, slices, hot
 
     def score(self, bodies: list[bytes]) -> np.ndarray:
         """log10 probability of each body's bytes that belong to this slice."""
+        seen, nodes = _open_slice(self.path)
         codes = grams(bodies, self.depth)
         ends = np.cumsum([len(b) for b in bodies])
         own = np.ones(len(codes), bool)
         if self.slices > 1:
             own = slice_of(codes, self.slices, self.hot) == self.slice
         value = np.zeros(len(codes))
-        value[own] = self.grams.find(codes[own])
+        value[own] = seen.find(codes[own])
         unseen = np.flatnonzero(np.isnan(value))
         if len(unseen):
-            value[unseen] = self._by_bits(codes[unseen])
+            value[unseen] = self._by_bits(codes[unseen], nodes)
         total = np.concatenate(([0.0], np.cumsum(value)))
         return total[ends] - total[np.concatenate(([0], ends[:-1]))]
 
-    def _by_bits(self, codes: np.ndarray) -> np.ndarray:
+    def _by_bits(self, codes: np.ndarray, nodes: SortedTable) -> np.ndarray:
         context, byte = codes & ~np.uint64(255), codes & np.uint64(255)
         total = np.zeros(len(codes))
         for k in range(8):
@@ -287,7 +372,7 @@ class Model:
             odds, left = np.zeros(len(codes), np.float32), np.arange(len(codes))
             for d in range(self.depth, -1, -1):
                 node = (context[left] | prefix[left]) & np.uint64(_mask(d))
-                found = self.nodes.find(node | np.uint64(d << DEPTH_SHIFT))
+                found = nodes.find(node | np.uint64(d << DEPTH_SHIFT))
                 seen = ~np.isnan(found)
                 odds[left[seen]] = found[seen]
                 left = left[~seen]
@@ -346,11 +431,6 @@ def _dealing(every: DataFrame, depth: int, max_nodes: int) -> tuple[int, list[li
     return slices, hot
 
 
-def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    found = df.select("code", "value").toArrow()
-    return found["code"].to_numpy().view(np.uint64), found["value"].to_numpy()
-
-
 def _head_words(words: DataFrame, max_head: int) -> dict[bytes, int]:
     """Counts of the most frequent words: as many whole steps of frequency as ``max_head`` allows."""
     step = F.floor(F.log2("n") * 8).cast("int")
@@ -383,8 +463,10 @@ def score(
     counts = stored(_counts(docs.where(training).select(F.col(text).alias("text")), depth), "counts")
     words, gram_counts = counts.where("word IS NOT NULL").select("word", "n"), counts.where("gram IS NOT NULL").select("gram", "n")
     tokens, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    nodes, logs = _nodes(gram_counts, depth)
+    scratch: list[str] = []
+    nodes, logs = _nodes(gram_counts, depth, scratch)
     nodes, logs = stored(nodes, "nodes"), stored(logs, "grams")
+    drop_tables(scratch)
     context = docs.sparkSession.sparkContext
 
     divisor = tokens + 0.5 * (known + 1)
@@ -428,20 +510,16 @@ def score(
     if slices > 1:
         # the row numbers of every pass
         rows = stored(rows, "texts")
+    every = nodes.withColumn("is_gram", F.lit(False)).unionByName(logs.withColumn("is_gram", F.lit(True)))
+    files = _written(every.withColumn("slice", _slice_of(slices, hot) if slices > 1 else F.lit(0)), slices)
     scored, parts = rows.withColumn("value", F.lit(0.0)), []
-    for i in range(slices):
-        part = F.coalesce(_slice_of(slices, hot), F.lit(i)) == i
-        own = nodes.where(part), logs.where(part)
-        # codes start with their depth
-        by_depth = SortedTable([_collected(own[0].where(F.col("depth") == d)) for d in range(depth + 1)])
-        model = context.broadcast(Model(Table(*_collected(own[1])), by_depth, depth, i, slices, hot))
-        del by_depth
+    for i, (path, _) in enumerate(files):
+        model = Model(path, depth, i, slices, hot)
         if slices == 1:
             scored = _add_scores(scored, model)
         else:
             sums = _add_scores(rows.select("rid", "text", F.lit(0.0).alias("value")), model)
             parts.append(stored(sums.select("rid", "value"), f"slice_{i}"))
-            model.destroy()
     # texts go no further: the scores are stored with the row numbers of this very pass
     split_rows = scored.mapInArrow(_with_scores(split), f"rid bigint, doc {kind}, word binary, n_tokens bigint, n_known bigint, value double, score double")
     split_rows = stored(split_rows, "scored")
@@ -466,13 +544,12 @@ def score(
     )
 
 
-def _add_scores(rows: DataFrame, model) -> DataFrame:
+def _add_scores(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` (rid, doc, text, value) with one slice's log10 probabilities added to ``value``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
         for batch in batches:
-            parts = [own.score(bodies) for bodies in _chunks(batch["text"].to_pylist())]
+            parts = [model.score(bodies) for bodies in _chunks(batch["text"].to_pylist())]
             total = batch["value"].to_numpy() + np.concatenate(parts or [np.zeros(0)])
             yield batch.set_column(batch.schema.get_field_index("value"), "value", pa.array(total))
 

@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from stowcheck.session import work_path
@@ -15,13 +16,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the folder all executors share: later reads don't depend on any executor."""
+def stored(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """``df`` written once to the folder all executors share: later reads don't depend on any executor.
+
+    ``scratch`` gets the path of a table that ``drop_tables`` is to remove.
+    """
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and name of a path in any store that pyarrow reaches."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def drop_tables(paths: list[str]) -> None:
+    """Remove tables of ``stored`` that nothing reads any more: what was made of them must itself be stored."""
+    while paths:
+        system, name = open_path(paths.pop())
+        system.delete_dir(name)
+
+
 _shipped: set[str] = set()
 
 

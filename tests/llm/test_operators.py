@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,8 +216,6 @@ def test_lm_scores(spark, docs, rows):
     for r in rows:
         if (r.doc_id or 0) % 5 != 1:
             counts.update([*lower_words(r.text), b"\n"])
-    import math
-
     total = sum(counts.values())
     divisor = total + 0.5 * (len(counts) + 1)
     want = sorted(round(sum(math.log10((counts[w] + 0.5) / divisor) for w in [*lower_words(r.text), b"\n"]), 4) for r in rows)
@@ -233,13 +233,74 @@ def test_lm_slices_are_bounded(spark, monkeypatch):
     words = [chr(97 + d % 25) + chr(97 + d // 25 % 25) + "zz" + chr(97 + d // 625 % 25) for d in draw]
     df = spark.createDataFrame([(i, " ".join(words[i : i + 100])) for i in range(0, 1200, 100)], "doc_id long, text string")
     want = {r.doc.doc_id: r.score for r in score(df, F.lit(True), depth=4).collect()}
-    sizes, collected = [], lm_scoring._collected
+    sizes, written = [], lm_scoring._written
 
-    def measured(part):
-        found = collected(part)
-        sizes.append(len(found[0]))
+    def measured(*args):
+        found = written(*args)
+        sizes.extend(n for _, n in found)
         return found
 
-    monkeypatch.setattr(lm_scoring, "_collected", measured)
+    monkeypatch.setattr(lm_scoring, "_written", measured)
     got = {r.doc.doc_id: r.score for r in score(df, F.lit(True), depth=4, max_nodes=5_000).collect()}
-    assert max(sizes) <= 5_000 and got == pytest.approx(want)
+    # beside what is dealt to it, each slice has the nodes of short and of split contexts
+    assert len(sizes) > 1 and max(sizes) <= 5_000 + 1_000 and got == pytest.approx(want)
+
+
+def brute_tree(training, texts, depth):
+    """log10 probability of each text under a context tree built with dictionaries, node by node."""
+    def body(text):
+        return b" ".join(lower_words(text)) + b"\n"
+
+    def decisions(data):
+        padded = b"\n" * depth + data
+        for i, byte in enumerate(data, depth):
+            for k in range(8):
+                yield padded[i - depth : i], byte >> (8 - k) | 1 << k, byte >> (7 - k) & 1
+
+    counts = collections.defaultdict(lambda: [0, 0])
+    for text in training:
+        for context, prefix, bit in decisions(body(text)):
+            for d in range(depth + 1):
+                counts[context[depth - d :], prefix][bit] += 1
+    children = collections.defaultdict(list)
+    for context, prefix in counts:
+        if context:
+            children[context[1:], prefix].append((context, prefix))
+    own = {n: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for n, (a, b) in counts.items()}
+    block = {}
+    for node in sorted(counts, key=lambda n: -len(n[0])):
+        block[node] = own[node]
+        if len(node[0]) < depth:
+            block[node] = np.logaddexp(own[node], sum(block[c] for c in children[node])) - math.log(2)
+    scores = []
+    for text in texts:
+        total = 0.0
+        for context, prefix, bit in decisions(body(text)):
+            mixed, left, one = 0.0, 1.0, 0.5
+            for d in range(depth + 1):
+                node = context[depth - d :], prefix
+                if node not in counts:
+                    break
+                a, b = counts[node]
+                p = (b + 0.5) / (a + b + 1)
+                # the deepest seen node takes all the weight that is left
+                one = mixed + left * p
+                stop = math.exp(own[node] - block[node]) / 2 if d < depth else 1.0
+                mixed, left = mixed + left * stop * p, left * (1 - stop)
+            total += math.log10(one if bit else 1 - one)
+        scores.append(total)
+    return scores
+
+
+@pytest.mark.parametrize("depth", [2, 3])
+def test_lm_scores_equal_a_tree_built_node_by_node(spark, docs, depth):
+    texts = [r.text[:600] for r in docs.where("doc_id < 900000 and text is not null").limit(12).collect()]
+    texts += ["", None, "unseen \u00ff\u00fe bytes", "the the the the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc.doc_id: r.score for r in score(df, F.col("doc_id") % 2 == 0, depth=depth).collect()}
+    want = brute_tree(texts[::2], texts, depth)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_empty_table(docs):
+    assert score(docs.where("false"), F.lit(True)).count() == 0
