@@ -65,11 +65,11 @@ def grams(bodies: list[bytes], depth: int) -> np.ndarray:
     return total[own]
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
-    """Token bytes of the texts, in lists of about CHUNK_BYTES."""
+def _chunks(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Token bytes of the texts, in lists of about CHUNK_BYTES; texts are taken from the batch one by one."""
     part, size = [], 0
     for text in texts:
-        part.append(token_bytes(text))
+        part.append(token_bytes(text.as_py()))
         size += len(part[-1])
         if size >= CHUNK_BYTES:
             yield part
@@ -97,7 +97,7 @@ def _counts(docs: DataFrame, depth: int) -> DataFrame:
             return codes, np.bincount(at, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
 
         for batch in batches:
-            for bodies in _chunks(batch["text"].to_pylist()):
+            for bodies in _chunks(batch["text"]):
                 for body in bodies:
                     words.update(body.split())
                 words[END] += len(bodies)
@@ -512,16 +512,11 @@ def score(
         rows = stored(rows, "texts")
     every = nodes.withColumn("is_gram", F.lit(False)).unionByName(logs.withColumn("is_gram", F.lit(True)))
     files = _written(every.withColumn("slice", _slice_of(slices, hot) if slices > 1 else F.lit(0)), slices)
-    scored, parts = rows.withColumn("value", F.lit(0.0)), []
-    for i, (path, _) in enumerate(files):
-        model = Model(path, depth, i, slices, hot)
-        if slices == 1:
-            scored = _add_scores(scored, model)
-        else:
-            sums = _add_scores(rows.select("rid", "text", F.lit(0.0).alias("value")), model)
-            parts.append(stored(sums.select("rid", "value"), f"slice_{i}"))
+    models, parts = [Model(path, depth, i, slices, hot) for i, (path, _) in enumerate(files)], []
+    if slices > 1:
+        parts = [stored(_slice_scores(rows.select("rid", "text"), model), f"slice_{model.slice}") for model in models]
     # texts go no further: the scores are stored with the row numbers of this very pass
-    split_rows = scored.mapInArrow(_with_scores(split), f"rid bigint, doc {kind}, word binary, n_tokens bigint, n_known bigint, value double, score double")
+    split_rows = rows.mapInArrow(_with_scores(split, None if parts else models[0]), f"rid bigint, doc {kind}, word binary, n_tokens bigint, n_known bigint, value double, score double")
     split_rows = stored(split_rows, "scored")
 
     tail = split_rows.where("word IS NOT NULL").select("rid", "word", F.col("n_tokens").alias("times"))
@@ -544,26 +539,41 @@ def score(
     )
 
 
-def _add_scores(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` (rid, doc, text, value) with one slice's log10 probabilities added to ``value``."""
+def _slice_scores(rows: DataFrame, model: Model) -> DataFrame:
+    """(rid, value) of ``rows`` (rid, text): log10 probabilities of the bytes that belong to the model's slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.score(bodies) for bodies in _chunks(batch["text"].to_pylist())]
-            total = batch["value"].to_numpy() + np.concatenate(parts or [np.zeros(0)])
-            yield batch.set_column(batch.schema.get_field_index("value"), "value", pa.array(total))
+            yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(_scores_of(model, batch))], ["rid", "value"])
+
+    return rows.mapInArrow(run, "rid bigint, value double")
+
 
-    return rows.mapInArrow(run, rows.schema)
+def _scores_of(model: Model, batch: pa.RecordBatch) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *[model.score(bodies) for bodies in _chunks(batch["text"])]])
 
 
-def _with_scores(split):
-    """``split`` over rows that carry the model's score in ``value``; other rows have a score of 0."""
+def _with_scores(split, model: Model | None):
+    """``split`` with a score beside each document: the model's if there is one, else 0; other rows have 0.
+
+    Scoring and splitting share a pass, and so the workers of a core.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in split(iter([batch])):
-                plain = out["word"].null_count == out.num_rows
-                score = batch["value"] if plain else pa.array([0.0] * out.num_rows)
-                yield pa.RecordBatch.from_arrays([*out.columns, score], [*out.schema.names, "score"])
+        scores = np.zeros(0)
+
+        def pieces() -> Iterator[pa.RecordBatch]:
+            nonlocal scores
+            for whole in batches:
+                for k in range(0, whole.num_rows, 1_000):
+                    batch = whole.slice(k, 1_000)
+                    scores = _scores_of(model, batch) if model else np.zeros(batch.num_rows)
+                    yield batch
+
+        # what split makes of a piece comes before it takes the next
+        for out in split(pieces()):
+            plain = out["word"].null_count == out.num_rows
+            score = pa.array(scores) if plain else pa.array([0.0] * out.num_rows)
+            yield pa.RecordBatch.from_arrays([*out.columns, score], [*out.schema.names, "score"])
 
     return run
