@@ -13,18 +13,24 @@ from __future__ import annotations
 
 import numpy as np
 
-SAMPLE = 32
+SAMPLE = 8
 ENUMERATED = 64
 QUERIES_AT_ONCE = 20_000
+# bits of the first 0 to 7 places of a block
+BEFORE = (0xFF00 >> np.arange(SAMPLE) & 0xFF).astype(np.uint8)
 
 
 def _ranks_of_rotations(text: np.ndarray) -> np.ndarray:
     """Starts of the rotations of ``text`` in order, by prefix doubling; all rotations differ."""
-    n, width = len(text), 1
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    n, width = len(text), 8
+    # the first eight symbols at once
+    key = np.zeros(n, np.uint64)
+    for k in range(width):
+        key = (key << np.uint64(8)) | np.roll(text, -k).astype(np.uint64)
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
     while True:
         key = rank * n + np.roll(rank, -width)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
         if rank[order[-1]] == n - 1:
             return order
@@ -50,14 +56,30 @@ class Ranks:
 
     def below(self, symbol: np.ndarray, rank: np.ndarray) -> np.ndarray:
         block = rank // SAMPLE
-        inside = np.arange(SAMPLE, dtype=np.uint8) < (rank % SAMPLE).astype(np.uint8)[:, None]
-        return self.sampled[block, symbol] + ((self.rows[block] < symbol.astype(np.uint8)[:, None]) & inside).sum(1)
+        return self.sampled[block, symbol] + self._inside(self.rows[block] < symbol.astype(np.uint8)[:, None], rank)
+
+    def below_and_equal(self, symbol: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often smaller symbols and how often ``symbol`` itself occur before a rank."""
+        block, own = rank // SAMPLE, symbol.astype(np.uint8)[:, None]
+        rows, below = self.rows[block], self.sampled[block, symbol]
+        equal = self.sampled[block, symbol + 1] - below
+        return below + self._inside(rows < own, rank), equal + self._inside(rows == own, rank)
+
+    @staticmethod
+    def _inside(marks: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """How many of a row's marks stand before the rank's place in its block; a row is one byte of bits."""
+        return np.bitwise_count(np.packbits(marks.reshape(-1)) & BEFORE[rank % SAMPLE])
 
     def extended(self, symbol, lo, other_lo, size):
         """The pair of intervals after a symbol is put before the pattern (in this direction)."""
-        low, low_next = self.below(symbol, lo), self.below(symbol + 1, lo)
-        high, high_next = self.below(symbol, lo + size), self.below(symbol + 1, lo + size)
-        return self.starts[symbol] + low_next - low, other_lo + high - low, (high_next - high) - (low_next - low)
+        low, first = self.below_and_equal(symbol, lo)
+        # an interval of one rank holds one symbol
+        last = self.last[lo]
+        between, left = (last < symbol).astype(np.int64), (last == symbol).astype(np.int64)
+        wide = np.flatnonzero(size != 1)
+        high, until = self.below_and_equal(symbol[wide], lo[wide] + size[wide])
+        between[wide], left[wide] = high - low[wide], until - first[wide]
+        return self.starts[symbol] + first, other_lo + between, left
 
 
 class Vocabulary:
