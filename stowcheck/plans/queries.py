@@ -1070,10 +1070,12 @@ def stream_pending_restores(fx):
         table.alias("table_name"),
         F.concat(F.lit("arn:aws:dynamodb:ap-southeast-2:111111111111:table/"), table).alias("restore_arn"),
         Fixtures._event_source().alias("source"),
+        F.col("ts").alias("submitted_at"),
     )
     statuses = events.where(F.col("value") >= 5).select(
         table.alias("table_name"),
         F.when(F.col("value") < 20, "CREATING").otherwise("ACTIVE").alias("table_status"),
+        (F.col("ts") + F.expr("INTERVAL 20 MINUTES")).alias("reported_at"),
     )
     # the same status is reported twice; completion is emitted once
     repeated = statuses.unionByName(statuses)

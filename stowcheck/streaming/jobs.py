@@ -3,11 +3,9 @@
 Event time is the record's own time with a watermark of one hour; duplicates go by event id.
 """
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from stowcheck import schemas
@@ -22,6 +20,7 @@ from stowcheck.functions.times import event_month
 from stowcheck.sources.events import TIME_FORMAT
 
 WATERMARK = "1 hour"
+RESTORE_WAIT = "7 days"
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, time: str = "ts") -> DataFrame:
@@ -154,55 +153,25 @@ def staleness(runs: DataFrame, by: str, time: str = "ts") -> DataFrame:
     return lane("yellow", BACKUP_AGE_YELLOW_HOURS).unionByName(lane("red", BACKUP_AGE_RED_HOURS))
 
 
-class PendingRestores(StatefulProcessor):
-    """Per restored table: keep the entry until the table is ACTIVE, then emit it once.
+def completed_restores(entries: DataFrame, statuses: DataFrame, wait: str = RESTORE_WAIT) -> DataFrame:
+    """Two events per restored table, once, when it is reported ACTIVE within ``wait`` of its submission.
 
-    What is waiting never expires. Of a completed table only a flag stays, to swallow repeated
-    reports of it; restored tables have names of their own, so this is one flag per restore.
+    ``entries``: table_name, restore_arn, source, submitted_at. ``statuses``: table_name, table_status,
+    reported_at. Either may arrive first, and clocks may differ by the watermark. Reports are repeated until
+    a watcher stops, so the first ACTIVE one of a table is kept for ``wait``. State of both sides expires with
+    the watermarks; a table that isn't ACTIVE within ``wait`` emits nothing.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._waiting = handle.getValueState(
-            "waiting", "restore_arn string, source string, active boolean"
-        )
-        self._done = handle.getValueState("done", "done boolean")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self._done.exists():
-            return
-        waiting = self._waiting.get() if self._waiting.exists() else (None, None, False)
-        arn, source, active = waiting
-        for row in rows:
-            if row.restore_arn is not None:
-                arn, source = row.restore_arn, row.source
-            active = active or row.table_status == "ACTIVE"
-        if active and arn is not None:
-            self._waiting.clear()
-            self._done.update((True,))
-            for event in ("restore_completed", "pitr_reenabled"):
-                yield Row(table_name=key[0], restore_arn=arn, source=source, event_type=event)
-        else:
-            self._waiting.update((arn, source, active))
-
-    def close(self) -> None:
-        pass
-
-
-def completed_restores(entries: DataFrame, statuses: DataFrame) -> DataFrame:
-    """``entries``: table_name, restore_arn, source. ``statuses``: table_name, table_status."""
-    tagged = entries.select(
-        "table_name", "restore_arn", "source", F.lit(None).cast("string").alias("table_status")
-    ).unionByName(
-        statuses.select(
-            "table_name",
-            F.lit(None).cast("string").alias("restore_arn"),
-            F.lit(None).cast("string").alias("source"),
-            "table_status",
-        )
+    submitted = entries.withWatermark("submitted_at", WATERMARK).dropDuplicatesWithinWatermark(["restore_arn"])
+    active = (
+        statuses.where(F.col("table_status") == "ACTIVE")
+        .select(F.col("table_name").alias("_table"), "reported_at")
+        .withWatermark("reported_at", wait)
+        .dropDuplicatesWithinWatermark(["_table"])
+    )
+    in_time = F.col("reported_at").between(
+        F.expr(f"submitted_at - INTERVAL {WATERMARK}"), F.expr(f"submitted_at + INTERVAL {wait}")
     )
-    return tagged.groupBy("table_name").transformWithState(
-        statefulProcessor=PendingRestores(),
-        outputStructType="table_name string, restore_arn string, source string, event_type string",
-        outputMode="Append",
-        timeMode="None",
+    kinds = F.array(*map(F.lit, ("restore_completed", "pitr_reenabled")))
+    return submitted.join(active, (F.col("table_name") == F.col("_table")) & in_time).select(
+        "table_name", "restore_arn", "source", F.explode(kinds).alias("event_type")
     )

@@ -14,28 +14,60 @@ def write(path, name, lines):
     (path / name).write_text("\n".join(lines) + "\n")
 
 
-def test_restore_completes_once_across_batches(spark, tmp_path):
+ENTRY = '{"table_name":"%s","restore_arn":"arn/%s","source":"a","submitted_at":"2024-01-%sT00:00:00Z"}'
+STATUS = '{"table_name":"%s","table_status":"%s","reported_at":"2024-01-%sT00:30:00Z"}'
+
+
+def restores(spark, tmp_path):
     source = tmp_path / "in"
-    entry = '{"table_name":"%s","restore_arn":"arn/%s","source":"a"}'
-    status = '{"table_name":"%s","table_status":"%s"}'
-    write(source, "1.json", [entry % ("t1", "t1"), entry % ("t2", "t2"), status % ("t1", "CREATING"), status % ("t3", "ACTIVE")])
-    rows = feed(spark, source, "table_name string, restore_arn string, source string, table_status string")
+    source.mkdir()
+    rows = feed(
+        spark, source,
+        "table_name string, restore_arn string, source string, submitted_at timestamp, table_status string, reported_at timestamp",
+    )
     stream = jobs.completed_restores(
-        rows.where("restore_arn IS NOT NULL"), rows.where("table_status IS NOT NULL")
+        rows.where("restore_arn IS NOT NULL").select("table_name", "restore_arn", "source", "submitted_at"),
+        rows.where("table_status IS NOT NULL").select("table_name", "table_status", "reported_at"),
     )
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
 
     def emitted():
-        jobs.run_to_end(stream, out, ck, timeout_seconds=120)
-        return sorted((r.table_name, r.event_type) for r in spark.read.parquet(out).collect())
-
-    assert emitted() == []
-    both = lambda t: [(t, "pitr_reenabled"), (t, "restore_completed")]
-    # the status was known before the entry for t3; t1 is reported twice
-    write(source, "2.json", [status % ("t1", "ACTIVE"), status % ("t1", "ACTIVE"), entry % ("t3", "t3")])
-    assert emitted() == both("t1") + both("t3")
-    write(source, "3.json", [status % ("t1", "ACTIVE"), status % ("t2", "CREATING")])
-    assert emitted() == both("t1") + both("t3")
+        query = jobs.run_to_end(stream, out, ck, timeout_seconds=120)
+        rows = sorted((r.table_name, r.event_type) for r in spark.read.parquet(out).collect())
+        return rows, sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"])
+
+    return source, stream, emitted
+
+
+def both(table):
+    return [(table, "pitr_reenabled"), (table, "restore_completed")]
+
+
+def test_restore_completes_once_across_batches(spark, tmp_path):
+    source, _, emitted = restores(spark, tmp_path)
+    write(source, "1.json", [ENTRY % ("t1", "t1", "01"), ENTRY % ("t2", "t2", "01"), STATUS % ("t1", "CREATING", "01"), STATUS % ("t3", "ACTIVE", "01")])
+    assert emitted()[0] == []
+    # the status was known before the entry for t3; t1 is reported and entered twice
+    write(source, "2.json", [STATUS % ("t1", "ACTIVE", "02"), STATUS % ("t1", "ACTIVE", "02"), ENTRY % ("t1", "t1", "01"), ENTRY % ("t3", "t3", "01")])
+    assert emitted()[0] == both("t1") + both("t3")
+    write(source, "3.json", [STATUS % ("t1", "ACTIVE", "03"), STATUS % ("t2", "CREATING", "03")])
+    assert emitted()[0] == both("t1") + both("t3")
+
+
+def test_restore_state_expires(spark, tmp_path):
+    source, stream, emitted = restores(spark, tmp_path)
+    plan = stream._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    write(source, "1.json", [ENTRY % (f"t{i}", f"t{i}", "01") for i in range(50)] + [STATUS % (f"t{i}", "ACTIVE", "01") for i in range(50)])
+    rows, held = emitted()
+    assert len(rows) == 100 and held >= 100
+    # weeks later: what was kept for repeated reports is gone, a restore never reported ACTIVE too
+    write(source, "2.json", [ENTRY % ("late", "late", "28"), STATUS % ("late", "ACTIVE", "28")])
+    rows, held = emitted()
+    assert len(rows) == 102
+    write(source, "3.json", [ENTRY % ("later", "later", "29"), STATUS % ("later", "CREATING", "29")])
+    rows, held = emitted()
+    assert len(rows) == 102 and held < 20
 
 
 def test_duplicates_and_late_bins(spark, tmp_path):
