@@ -19,6 +19,7 @@ _ISO = (
     r"(?:[T ](\d{2})(?::(\d{2})(?::(\d{2})([.,]\d{1,6})?\d*)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 )
 _NAMED = rf"^(?:(\d{{4}}-\d{{1,2}}-\d{{1,2}}) )?(\d{{1,2}}:\d{{1,2}}) ({'|'.join(ZONE_HOURS)})$"
+_OTHER_ZONE = r"^(?:\d{4}-\d{1,2}-\d{1,2} )?\d{1,2}:\d{1,2} \S+$"
 
 
 def _part(text: Column, pattern: str, group: int, default: str) -> Column:
@@ -29,7 +30,7 @@ def _part(text: Column, pattern: str, group: int, default: str) -> Column:
 def parse_event_time(text: Column) -> Column:
     """ISO-8601, ``YYYY-MM-DD HH:MM TZ`` or ``HH:MM TZ`` (dated 2000-01-01); bare means UTC.
 
-    Anything else is NULL, so that a reject output can be split off.
+    Anything else is NULL; ``reject_reason`` says why.
     """
     text = F.btrim(text)
     iso = F.concat(
@@ -58,6 +59,18 @@ def parse_event_time(text: Column) -> Column:
     return F.when(text.rlike(_ISO), iso).when(text.rlike(_NAMED), named)
 
 
+def reject_reason(text: Column) -> Column:
+    """Why ``parse_event_time`` finds no time in a text; NULL when it finds one."""
+    parsed, text = parse_event_time(text), F.btrim(text)
+    return (
+        F.when(parsed.isNotNull(), F.lit(None).cast("string"))
+        .when(F.coalesce(text, F.lit("")) == "", "empty")
+        .when(text.rlike(_ISO) | text.rlike(_NAMED), "no such date or time")
+        .when(text.rlike(_OTHER_ZONE), "unknown zone")
+        .otherwise("unknown format")
+    )
+
+
 def local_report_date(ts: Column, zone: str = REPORT_ZONE) -> Column:
     """Calendar date in the reporting zone, daylight saving included."""
     return F.to_date(F.from_utc_timestamp(ts, zone))

@@ -449,6 +449,8 @@ _SQL = {
     "parse_event_time": """SELECT event_id, CASE event_id % 9 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN ts WHEN 2 THEN date_trunc('second', ts) - INTERVAL 13 HOUR
         WHEN 3 THEN date_trunc('second', ts) WHEN 4 THEN date_trunc('minute', ts) - INTERVAL 13 HOUR WHEN 5 THEN date_trunc('minute', ts) - INTERVAL 10 HOUR
         WHEN 6 THEN TIMESTAMP '2000-01-01' + (date_trunc('minute', ts) - date_trunc('day', ts)) END AS parsed FROM fx_event_log""",
+    "event_time_rejects": """SELECT event_id, strftime(ts, CASE event_id % 9 WHEN 7 THEN '%Y-%m-%d %H:%M CET' ELSE '2024-13-%d' END) AS text,
+        CASE event_id % 9 WHEN 7 THEN 'unknown zone' ELSE 'no such date or time' END AS reason FROM fx_event_log WHERE event_id % 9 IN (7, 8)""",
     "local_report_date": "SELECT event_id, strftime(ts + INTERVAL 13 HOUR, '%Y-%m-%d') AS report_date FROM fx_event_log",
     "age_hours": f"SELECT event_id, round((epoch_us({NOW}) - epoch_us(ts)) / 3.6e9, 6) AS hours FROM fx_event_log",
     "event_summary_fields": """SELECT event_id, event_type, CASE WHEN event_type IN ('backup_run', 'test_restore') THEN json_extract_string(details, '$.bucket')
@@ -480,6 +482,8 @@ _SQL = {
     # table maintenance
     "apply_sync": f"""SELECT source_alias, label, key, CASE WHEN copied THEN coalesce(b_bucket, new_bucket) ELSE b_bucket END AS bucket, CASE WHEN copied THEN s_size ELSE b_size END AS size,
         CASE WHEN copied THEN s_tag ELSE b_tag END AS e_tag, CASE WHEN copied THEN {RUN_AT} ELSE b_time END AS last_modified_date, copied FROM {SYNCED}""",
+    "publish_sync": f"""SELECT source_alias, label, key, CASE WHEN copied THEN coalesce(b_bucket, new_bucket) ELSE b_bucket END AS bucket, CASE WHEN copied THEN s_size ELSE b_size END AS size,
+        CASE WHEN copied THEN s_tag ELSE b_tag END AS e_tag, CASE WHEN copied THEN {RUN_AT} ELSE b_time END AS last_modified_date, {TODAY} AS dt FROM {SYNCED}""",
     "apply_sync_versions": f"""SELECT source_alias, label, key, b_bucket AS bucket, b_size AS size, b_tag AS e_tag, b_time AS last_modified_date, NOT copied AS is_latest FROM {SYNCED} WHERE had
         UNION ALL SELECT source_alias, label, key, coalesce(b_bucket, new_bucket), s_size, s_tag, {RUN_AT}, true FROM {SYNCED} WHERE copied""",
     "restore_manifest": f"SELECT source_alias, bucket, {ENCODED.format('key')} AS key FROM fx_live WHERE {NOT_RESERVED}",

@@ -23,7 +23,7 @@ from stowcheck.sources import counts as counts_source
 from stowcheck.sources import delivery as delivery_source
 from stowcheck.sources import events as event_source
 from stowcheck.sources import inventory as inventory_source
-from stowcheck.sources import sinks
+from stowcheck.sources import publish, sinks
 from stowcheck.sources.fixtures import TODAY, YESTERDAY, Fixtures, now
 from stowcheck.streaming import jobs as streams
 
@@ -804,6 +804,14 @@ def parse_event_time(fx):
     return _time_texts(fx).select("event_id", times.parse_event_time(F.col("text")).alias("parsed"))
 
 
+@query
+def event_time_rejects(fx):
+    """Texts without a time and why, read back from the reject output."""
+    texts, path = _time_texts(fx), work_path(fx.spark, "event-times")
+    sinks.write_with_rejects(texts, path, times.reject_reason(F.col("text")))
+    return sinks.read_rejects(texts, path)
+
+
 @query
 def local_report_date(fx):
     return fx.event_log.select(
@@ -937,6 +945,17 @@ def apply_sync(fx):
     return maintenance.apply_sync(_source(fx), _backup_current(fx), fx.bucket_pairs, _time(RUN_AT))
 
 
+@query
+def publish_sync(fx):
+    """The synced snapshot as readers see it after it replaced the backup's own of the same day."""
+    root = work_path(fx.spark, "published")
+    synced = maintenance.apply_sync(_source(fx), _backup_current(fx), fx.bucket_pairs, _time(RUN_AT))
+    rows = synced.drop("copied")
+    publish.publish_snapshot(_backup_current(fx).select(rows.columns), root, TODAY, "delivered")
+    publish.publish_snapshot(rows, root, TODAY, "synced")
+    return publish.read_published(fx.spark, root)
+
+
 @query
 def apply_sync_versions(fx):
     return maintenance.apply_sync_versions(_source(fx), _backup_current(fx), fx.bucket_pairs, _time(RUN_AT))

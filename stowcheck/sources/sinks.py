@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stowcheck import schemas
 from stowcheck.sources.events import TIME_FORMAT
@@ -55,6 +56,37 @@ def write_stage(df: DataFrame, path: str, partition: str) -> None:
     )
 
 
+def write_with_rejects(df: DataFrame, path: str, reason: Column) -> tuple[int, int]:
+    """Write rows whose ``reason`` is NULL as good and the others as rejected, in one pass; the number of both."""
+    counted = Observation("rejects")
+    marked = df.withColumn("reason", reason)
+    rejected = F.col("reason").isNotNull()
+    (
+        marked.withColumn("outcome", F.when(rejected, "rejected").otherwise("good"))
+        .observe(counted, F.count_if(~rejected).alias("good"), F.count_if(rejected).alias("rejected"))
+        .write.mode("overwrite")
+        .partitionBy("outcome")
+        .parquet(path)
+    )
+    return int(counted.get["good"]), int(counted.get["rejected"])
+
+
+def read_good(like: DataFrame, path: str) -> DataFrame:
+    """The good rows that ``write_with_rejects`` wrote; columns are those of ``like``."""
+    return _outcome(like, path, "good").drop("reason")
+
+
+def read_rejects(like: DataFrame, path: str) -> DataFrame:
+    """The rejected rows with their ``reason``."""
+    return _outcome(like, path, "rejected")
+
+
+def _outcome(like: DataFrame, path: str, outcome: str) -> DataFrame:
+    # given, as an empty table leaves no file to take it from
+    schema = StructType([*like.schema.fields]).add("reason", "string").add("outcome", "string")
+    return like.sparkSession.read.schema(schema).parquet(path).where(F.col("outcome") == outcome).drop("outcome")
+
+
 def export_table_snapshot(df: DataFrame, root: str, table: str, day: str) -> DataFrame:
     """Full snapshot as JSON under ``<root>/<table>/YYYY/MM/DD``; returns its status row.
 
