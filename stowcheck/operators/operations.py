@@ -237,30 +237,35 @@ def metric_window(
     )
 
 
+def owned(jobs: DataFrame, owners: DataFrame) -> DataFrame:
+    """Jobs with the source that each bucket is configured for; those of unknown buckets have none and go."""
+    return jobs.join(per_source(owners.select("source_alias", "bucket").distinct()), "bucket")
+
+
 def source_status(
     registry: DataFrame,
     states: DataFrame,
     freshness: DataFrame,
     jobs: DataFrame,
     exports: DataFrame,
+    owners: DataFrame,
 ) -> DataFrame:
     """One nested row per source: last runs, inventory times, recent jobs and exports.
 
-    ``jobs`` and ``exports`` are already cut to the newest few per bucket and table, and ``states``
+    ``owners`` (source_alias, bucket) says whose a job's bucket is, whether it ever ran or not. ``jobs`` and ``exports`` are already cut to the newest few per bucket and table, and ``states``
     to one per bucket, so the collected arrays are as long as the configuration.
     """
     def nested(df: DataFrame, name: str, *fields: str) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct(*fields)))
         return per_source(df.groupBy("source_alias").agg(rows.alias(name)))
 
-    owner = states.select("source_alias", "bucket").distinct()
     return (
         registry.select("source_alias")
         .distinct()
         .join(nested(states, "last_runs", "bucket", "checked_at", "status", "objects_copied"), "source_alias", "left")
         .join(per_source(freshness), "source_alias", "left")
         .join(
-            nested(jobs.join(owner, "bucket"), "recent_jobs", "bucket", "creation_time", "job_id", "status"),
+            nested(owned(jobs, owners), "recent_jobs", "bucket", "creation_time", "job_id", "status"),
             "source_alias", "left",
         )
         .join(

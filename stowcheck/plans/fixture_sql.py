@@ -142,7 +142,7 @@ FROM fx_inventory GROUP BY dt, source_alias, side, bucket
 
 VIEWS["fx_run_state"] = """
 SELECT source AS source_alias, bucket, ts AS checked_at, status, CAST(event_id % 900 AS BIGINT) AS objects_copied, event_id
-FROM fx_event_log WHERE event_type = 'backup_run'
+FROM fx_event_log WHERE event_type = 'backup_run' AND bucket <> 'bb-19'
 """
 
 VIEWS["fx_bucket"] = "SELECT DISTINCT source AS source_alias, bucket FROM fx_event_log"

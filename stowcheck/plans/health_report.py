@@ -18,6 +18,7 @@ class ReportInputs:
     deliveries: DataFrame
     registry: DataFrame
     pairs: DataFrame
+    owners: DataFrame
     counts: DataFrame
     run_states: DataFrame
     jobs: DataFrame
@@ -36,9 +37,7 @@ def process_signals(inputs: ReportInputs) -> tuple[DataFrame, DataFrame]:
     """(signals per source, latest job per bucket with its source)."""
     states = operations.current_run_state(inputs.run_states)
     newest_exports = operations.latest_export(inputs.exports, inputs.tables)
-    failures = operations.job_failure_rate(inputs.jobs).join(
-        states.select("source_alias", "bucket"), "bucket"
-    )
+    failures = operations.owned(operations.job_failure_rate(inputs.jobs), inputs.owners)
     signals = health.process_signals(
         inputs.registry,
         operations.last_backup_age(states, newest_exports, inputs.now),

@@ -181,7 +181,7 @@ FROM (SELECT m.source_alias, count(*) AS sample_size, count(*) FILTER (l.key IS
 """
 NEWEST_HEAD = HEAD.replace("fx_s ", "fx_ns ").replace("fx_b ", "fx_nb ")
 PITR = "(SELECT source_alias, bool_and(coalesce(pitr_status = 'ENABLED', false)) AS pitr_enabled FROM fx_table GROUP BY 1)"
-OWNED_FAILURES = f"(SELECT f.*, b.source_alias FROM {FAILURES} f JOIN {STATES} b ON b.bucket = f.bucket)"
+OWNED_FAILURES = f"(SELECT f.*, b.source_alias FROM {FAILURES} f JOIN fx_bucket b ON b.bucket = f.bucket)"
 PROCESS = f"""
 (SELECT r.source_alias, a.last_backup_at, a.last_backup_age_hours, w.worst_failure_pct, coalesce(w.alarming_buckets, 0) AS alarming_buckets,
   coalesce(e.completed, 0) AS exports_completed, coalesce(e.in_progress, 0) AS exports_in_progress, coalesce(e.failed, 0) AS exports_failed,
@@ -366,7 +366,7 @@ _SQL = {
         LEFT JOIN (SELECT source_alias, string_agg(concat(bucket, '=', status), ',' ORDER BY bucket) AS last_runs FROM {STATES} GROUP BY 1) s ON s.source_alias = r.source_alias
         LEFT JOIN {FRESHNESS} f ON f.source_alias = r.source_alias
         LEFT JOIN (SELECT b.source_alias, string_agg(job_id, ',' ORDER BY j.bucket, creation_time, job_id) AS recent_jobs
-          FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY creation_time DESC, job_id) AS rn FROM fx_job) j JOIN {STATES} b ON b.bucket = j.bucket WHERE j.rn <= 3 GROUP BY 1) j ON j.source_alias = r.source_alias
+          FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY creation_time DESC, job_id) AS rn FROM fx_job) j JOIN fx_bucket b ON b.bucket = j.bucket WHERE j.rn <= 3 GROUP BY 1) j ON j.source_alias = r.source_alias
         LEFT JOIN (SELECT source_alias, string_agg(export_arn, ',' ORDER BY table_name, export_time, export_arn) AS recent_exports
           FROM (SELECT *, row_number() OVER (PARTITION BY source_alias, table_name ORDER BY export_time DESC, export_arn) AS rn FROM fx_export) WHERE rn <= 5 GROUP BY 1) e ON e.source_alias = r.source_alias""",
     "restore_test_targets": "SELECT source_alias, count(*) AS objects FROM fx_b WHERE source_alias IN ('alpha', 'charlie') GROUP BY 1",
@@ -449,7 +449,7 @@ _SQL = {
     "parse_event_time": """SELECT event_id, CASE event_id % 9 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN ts WHEN 2 THEN date_trunc('second', ts) - INTERVAL 13 HOUR
         WHEN 3 THEN date_trunc('second', ts) WHEN 4 THEN date_trunc('minute', ts) - INTERVAL 13 HOUR WHEN 5 THEN date_trunc('minute', ts) - INTERVAL 10 HOUR
         WHEN 6 THEN TIMESTAMP '2000-01-01' + (date_trunc('minute', ts) - date_trunc('day', ts)) END AS parsed FROM fx_event_log""",
-    "event_time_rejects": """SELECT event_id, strftime(ts, CASE event_id % 9 WHEN 7 THEN '%Y-%m-%d %H:%M CET' ELSE '2024-13-%d' END) AS text,
+    "event_time_rejects": """SELECT event_id, CASE event_id % 9 WHEN 7 THEN strftime(ts, '%Y-%m-%d %H:%M CET') ELSE strftime(ts, '2024-13-%d') END AS text,
         CASE event_id % 9 WHEN 7 THEN 'unknown zone' ELSE 'no such date or time' END AS reason FROM fx_event_log WHERE event_id % 9 IN (7, 8)""",
     "local_report_date": "SELECT event_id, strftime(ts + INTERVAL 13 HOUR, '%Y-%m-%d') AS report_date FROM fx_event_log",
     "age_hours": f"SELECT event_id, round((epoch_us({NOW}) - epoch_us(ts)) / 3.6e9, 6) AS hours FROM fx_event_log",

@@ -425,6 +425,7 @@ def source_status(fx):
         snapshots.inventory_freshness(fx.deliveries, now()),
         operations.recent_jobs(fx.jobs),
         operations.recent_exports(fx.exports),
+        fx.buckets,
     )
     return status.select(
         "source_alias",
@@ -864,6 +865,7 @@ def _report_inputs(fx: Fixtures) -> health_report.ReportInputs:
         deliveries=fx.deliveries,
         registry=fx.registry,
         pairs=fx.bucket_pairs,
+        owners=fx.buckets,
         counts=fx.counts,
         run_states=fx.run_states,
         jobs=fx.jobs,

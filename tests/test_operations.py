@@ -142,3 +142,13 @@ def test_tiering_floor(spark):
     assert round(got["big"].standard_usd, 2) == 204.80
     assert round(got["big"].tiered_usd - 8192 / 1000 * 0.0025, 2) == 34.49
     assert got["small"].billed_bytes == 100 * 131072 and got["small"].saving_usd < 0
+
+
+def test_jobs_belong_to_configured_buckets(spark):
+    jobs = spark.createDataFrame(
+        [("ran", "j1", "Failed", 10, 5, at(2)), ("never-ran", "j2", "Failed", 10, 9, at(3)), ("unknown", "j3", "Failed", 10, 9, at(3))],
+        "bucket string, job_id string, status string, total_tasks long, tasks_failed long, creation_time timestamp",
+    )
+    owners = spark.createDataFrame([("a", "ran"), ("a", "never-ran"), ("a", "ran"), ("b", "idle")], "source_alias string, bucket string")
+    rates = operations.owned(operations.job_failure_rate(jobs), owners).collect()
+    assert sorted((r.source_alias, r.bucket, r.failure_pct) for r in rates) == [("a", "never-ran", 0.9), ("a", "ran", 0.5)]
