@@ -62,7 +62,10 @@ class WordTokenizer:
 
     # no quotes (the pattern knows contractions) and no < (special tokens start so)
     PLAIN = re.compile(r"[!-&(-;=-~\u00C0-\u00FF]+")
-    PIECES = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[0-9]|[^A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+    # a space is a piece of its own, which stands between words
+    PIECES = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[0-9]|[^ A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+| ")
+    # stands in no ids, as these are below 2^24
+    MARK = b"\xff\xff\xff\xff"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -84,25 +87,27 @@ class WordTokenizer:
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
     def _learn(self, new: set[bytes]) -> None:
-        plain: dict[bytes, list[str]] = {}
-        other: list[bytes] = []
-        for word in new:
-            text = word.decode()
-            if self.PLAIN.fullmatch(text):
-                plain[word] = self.PIECES.findall(text.lower())
-            else:
-                other.append(word)
-        pieces = list(set(chain.from_iterable(plain.values())).difference(self.pieces))
+        words = list(new)
+        texts = b" ".join(words).decode().split(" ") if words else []
+        is_plain = list(map(self.PLAIN.fullmatch, texts))
+        other = [w for w, p in zip(words, is_plain, strict=True) if not p]
+        words = [w for w, p in zip(words, is_plain, strict=True) if p]
+        # pieces of all plain words in turn, a space between words
+        found = self.PIECES.findall(" ".join([t for t, p in zip(texts, is_plain, strict=True) if p]).lower())
+        pieces = list(set(found).difference(self.pieces, " "))
         for k in range(0, len(pieces), 5_000):
             part = pieces[k : k + 5_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
                 self.pieces.update((p, data[cuts[i] : cuts[i + 1]]) for i, p in enumerate(part))
             else:
                 self.pieces.update(zip(part, self._each(part), strict=True))
-        self.words.update((w, b"".join(map(self.pieces.__getitem__, found))) for w, found in plain.items())
+        if words:
+            known = self.pieces
+            coded = b"".join([known[p] if p != " " else self.MARK for p in found]).split(self.MARK)
+            self.words.update(zip(words, coded, strict=True))
         self.words.update(zip(other, self._each([w.decode() for w in other]), strict=True))
 
     def _each(self, texts: list[str]) -> Iterator[bytes]:
