@@ -212,3 +212,37 @@ def set_reconcile(desired: DataFrame, current: DataFrame) -> DataFrame:
             F.when(F.col("action") == "to_remove", F.col("arn")).alias("arn"),
         )
     )
+
+
+def run_log(results: DataFrame, actor: str) -> DataFrame:
+    """Events of finished runs for the event log, with all that the run knows about each result.
+
+    ``results``: run_id, source, kind (bucket or table), target, ts, status, mode, objects_copied,
+    bytes_transferred, batch_job_id, objects_in_manifest, export_arn, error. Each result without an error is a
+    ``backup_run``; a result with one shows in the errors of its run only. A run completes once per source,
+    successfully without errors. A run has as many results as its source has buckets and tables, so its
+    errors are a short list; NULL fields are left out of the details.
+    """
+    is_bucket, failed = F.col("kind") == "bucket", F.col("error").isNotNull()
+    names = ("status", "mode", "objects_copied", "bytes_transferred", "batch_job_id", "objects_in_manifest", "export_arn")
+    single = results.where(~failed).select(
+        F.lit("backup_run").alias("event_type"),
+        "source",
+        "ts",
+        F.to_json(F.struct(
+            F.when(is_bucket, F.col("target")).alias("bucket"), F.when(~is_bucket, F.col("target")).alias("table"), *names
+        )).alias("details"),
+    )
+    whole = results.groupBy("source", "run_id").agg(
+        F.max("ts").alias("ts"),
+        (F.count_if(failed) == 0).alias("success"),
+        F.count_distinct(F.when(is_bucket, F.col("target"))).alias("s3_buckets"),
+        F.count_distinct(F.when(~is_bucket, F.col("target"))).alias("dynamodb_tables"),
+        F.array_sort(F.collect_list(F.concat("target", F.lit(": "), "error"))).alias("errors"),
+    ).select(
+        F.lit("backup_run_complete").alias("event_type"),
+        "source",
+        "ts",
+        F.to_json(F.struct("success", "s3_buckets", "dynamodb_tables", "errors")).alias("details"),
+    )
+    return single.unionByName(whole).withColumn("actor", F.lit(actor))

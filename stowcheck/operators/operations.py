@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowcheck import schemas
 from stowcheck.constants import (
     BATCH_FAILURE_RED,
     EVENT_LIMIT,
@@ -198,6 +199,44 @@ def event_summary_fields(events: DataFrame) -> DataFrame:
     )
 
 
+def event_fields(events: DataFrame) -> DataFrame:
+    """Every event with the fields of its type, typed; a field that the type doesn't have is NULL.
+
+    ``details`` is parsed once. Malformed details, and values of another type, give NULL fields; an event
+    whose target can't be read has the target ``?``, one of a type without a target NULL.
+    """
+    kind, f = F.col("event_type"), lambda name: F.col(f"_d.{name}")
+
+    def of(types: tuple[str, ...], value: Column) -> Column:
+        return F.when(kind.isin(*types), value)
+
+    run, complete, test = ("backup_run",), ("backup_run_complete",), ("test_restore",)
+    submitted, restores = ("restore_submitted",), ("restore_submitted", "restore_completed")
+    target = (
+        F.when(kind.isin(*run), F.coalesce(f("bucket"), f("table"), F.lit("?")))
+        .when(kind.isin(*test), F.coalesce(f("bucket"), F.lit("?")))
+        .when(kind.isin(*restores), F.coalesce(f("dest_table"), F.lit("?")))
+        .when(kind == "pitr_reenabled", F.coalesce(F.substring_index(f("table_arn"), "/", -1), F.lit("?")))
+    )
+    errors = F.coalesce(f("errors"), F.array().cast("array<string>"))
+    return events.withColumn("_d", F.from_json("details", schemas.EVENT_DETAILS, {"mode": "PERMISSIVE"})).select(
+        "event_type",
+        "source",
+        "ts",
+        "actor",
+        target.alias("target"),
+        *[of(run, f(name)).alias(name) for name in (
+            "status", "mode", "objects_copied", "objects_in_manifest", "bytes_transferred", "batch_job_id",
+        )],
+        of(run, F.substring_index(f("export_arn"), "/", -1)).alias("export_id"),
+        *[of(submitted, f(name)).alias(name) for name in ("restore_point", "triggered_by")],
+        *[of(complete, f(name)).alias(name) for name in ("success", "s3_buckets", "dynamodb_tables")],
+        of(complete, F.size(errors)).cast("bigint").alias("error_count"),
+        of(complete, F.array_join(errors, "; ")).alias("errors"),
+        of(test, f("result")).alias("result"),
+    )
+
+
 def activity_report(events: DataFrame, now: Column, days: int, time: str = "ts") -> DataFrame:
     recent = F.col(time) >= now - F.make_dt_interval(days=F.lit(days))
     return (

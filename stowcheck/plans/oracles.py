@@ -294,6 +294,37 @@ HAVING max(ts) + INTERVAL {hours} HOUR <= (SELECT max(ts) FROM fx_event_log WHER
 """
 
 
+def _silences(level: str, hours: int) -> str:
+    return f"""
+SELECT user_id, '{level}' AS level, min(ts) AS waiting_since, min(ts) FILTER (good) AS first_success_at, max(ts) FILTER (good) AS last_success_at,
+  max(ts) + INTERVAL {hours} HOUR AS stale_at, count(*) FILTER (good) AS successes
+FROM (SELECT user_id, ts, good, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
+  FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL {hours} HOUR THEN 0 ELSE 1 END AS starts
+    FROM (SELECT *, event_type = 'view' AND user_id % 10 <> 0 AS good FROM events) WHERE good OR event_type = 'signup'))
+GROUP BY user_id, session
+HAVING max(ts) + INTERVAL {hours} HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+"""
+
+
+RESULTS = """
+(SELECT *, CASE WHEN failed THEN concat(target, ': ', why) END AS error FROM (
+ SELECT strftime(ts, '%Y-%m-%d') AS run_id, source, 'bucket' AS kind, bucket AS target, ts,
+  CASE WHEN event_id % 2 = 0 THEN status WHEN event_id % 900 > 0 THEN 'completed' ELSE 'skipped' END AS status,
+  CASE WHEN event_id % 2 = 0 THEN 'batch' ELSE 'incremental' END AS mode,
+  CASE WHEN event_id % 2 = 1 THEN event_id % 900 END AS objects_copied, CASE WHEN event_id % 2 = 1 THEN event_id % 900 * 4096 END AS bytes_transferred,
+  CASE WHEN event_id % 2 = 0 THEN concat('job-', event_id) END AS batch_job_id, CASE WHEN event_id % 2 = 0 THEN event_id % 900 END AS objects_in_manifest,
+  NULL AS export_id, status = 'failed' AS failed, concat('no "list" permission, request ', event_id) AS why
+ FROM fx_event_log WHERE event_type = 'backup_run'
+ UNION ALL
+ SELECT strftime(export_time, '%Y-%m-%d'), source_alias, 'table', table_name, export_time, lower(status), 'export', NULL, NULL, NULL, NULL,
+  export_arn, status = 'FAILED', concat('export ', export_arn) FROM fx_export))
+"""
+RUNS = f"""
+(SELECT source, max(ts) AS ts, bool_and(error IS NULL) AS success, count(DISTINCT target) FILTER (kind = 'bucket') AS s3_buckets,
+  count(DISTINCT target) FILTER (kind = 'table') AS dynamodb_tables, count(error) AS error_count,
+  coalesce(list(error ORDER BY error) FILTER (error IS NOT NULL), []) AS errors FROM {RESULTS} GROUP BY source, run_id)
+"""
+
 _SQL = {
     # scans, sources, sinks
     "scan_inventory": f"SELECT * FROM fx_src WHERE dt = {TODAY} AND source_alias = 'bravo'",
@@ -499,6 +530,18 @@ _SQL = {
         UNION ALL SELECT 'backup_run_complete', source, max(ts), concat('{{"success":', CASE WHEN count(*) FILTER (lower(status) = 'failed') = 0 THEN 'true' ELSE 'false' END,
           ',"s3_buckets":', count(DISTINCT target) FILTER (kind = 'bucket'), ',"dynamodb_tables":', count(DISTINCT target) FILTER (kind = 'table'), ',"errors":', count(*) FILTER (lower(status) = 'failed'), '}}')
         FROM {RUN_RESULTS} GROUP BY source""",
+    "run_log": f"""SELECT 'backup_run' AS event_type, source, ts, concat('{{', CASE kind WHEN 'bucket' THEN '"bucket":"' ELSE '"table":"' END, target, '","status":"', status, '","mode":"', mode, '"',
+          CASE WHEN objects_copied IS NOT NULL THEN concat(',"objects_copied":', objects_copied, ',"bytes_transferred":', bytes_transferred) END,
+          CASE WHEN batch_job_id IS NOT NULL THEN concat(',"batch_job_id":"', batch_job_id, '","objects_in_manifest":', objects_in_manifest) END,
+          CASE WHEN export_id IS NOT NULL THEN concat(',"export_arn":"arn/export/', export_id, '"') END, '}}') AS details, 'scheduler' AS actor FROM {RESULTS} WHERE error IS NULL
+        UNION ALL SELECT 'backup_run_complete', source, ts, concat('{{"success":', success, ',"s3_buckets":', s3_buckets, ',"dynamodb_tables":', dynamodb_tables, ',"errors":', CAST(to_json(errors) AS VARCHAR), '}}'), 'scheduler' FROM {RUNS}""",
+    "event_fields": f"""SELECT 'backup_run' AS event_type, source, ts, 'scheduler' AS actor, target, status, mode, objects_copied, objects_in_manifest, bytes_transferred, batch_job_id, export_id,
+          CAST(NULL AS TIMESTAMP) AS restore_point, NULL AS triggered_by, CAST(NULL AS BOOLEAN) AS success, CAST(NULL AS BIGINT) AS s3_buckets, CAST(NULL AS BIGINT) AS dynamodb_tables, CAST(NULL AS BIGINT) AS error_count, NULL AS errors, NULL AS result FROM {RESULTS} WHERE error IS NULL
+        UNION ALL SELECT 'backup_run_complete', source, ts, 'scheduler', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, success, s3_buckets, dynamodb_tables, error_count, array_to_string(errors, '; '), NULL FROM {RUNS}
+        UNION ALL SELECT event_type, source, ts, 'operator', CASE WHEN event_id % 11 = 0 THEN '?' WHEN event_type = 'test_restore' THEN bucket ELSE concat('restored-', event_id) END, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+          CASE WHEN event_type = 'restore_submitted' AND event_id % 11 > 0 THEN date_trunc('hour', ts) END, CASE WHEN event_type = 'restore_submitted' AND event_id % 11 > 0 THEN CASE event_id % 3 WHEN 0 THEN 'schedule' WHEN 1 THEN 'person' END END,
+          NULL, NULL, NULL, NULL, NULL, CASE WHEN event_type = 'test_restore' AND event_id % 11 > 0 THEN CASE event_id % 2 WHEN 0 THEN 'pass' ELSE 'fail' END END
+        FROM fx_event_log WHERE event_type IN ('restore_submitted', 'test_restore')""",
     # lifecycle and cost
     "lifecycle_tier": f"SELECT * FROM {TIERED}",
     "storage_cost": f"SELECT * REPLACE (round(monthly_nzd, 6) AS monthly_nzd) FROM {COST}",
@@ -525,6 +568,7 @@ _SQL = {
     "stream_pending_restores": """SELECT string_split(restore_arn, '/')[-1] AS table_name, restore_arn, source, e.event_type
         FROM fx_pending p JOIN fx_table_status t ON t.table_name = string_split(restore_arn, '/')[-1] AND t.table_status = 'ACTIVE'
         CROSS JOIN (SELECT unnest(['restore_completed', 'pitr_reenabled']) AS event_type) e WHERE source <> 'retired'""",
+    "stream_silent_sources": f"{_silences('yellow', 12)} UNION ALL {_silences('red', 36)}",
     "stream_staleness": f"{_sessions('yellow', 12)} UNION ALL {_sessions('red', 36)}",
 }
 

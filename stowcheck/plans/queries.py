@@ -998,6 +998,17 @@ def run_events(fx):
     return maintenance.run_events(buckets, tables)
 
 
+@query
+def run_log(fx):
+    return maintenance.run_log(fx.run_results, "scheduler")
+
+
+@query
+def event_fields(fx):
+    """Runs, restores and restore tests through their JSON details."""
+    return operations.event_fields(maintenance.run_log(fx.run_results, "scheduler").unionByName(fx.restore_events))
+
+
 # --- lifecycle and cost -----------------------------------------------------------------------
 
 
@@ -1109,3 +1120,15 @@ def stream_staleness(fx):
     runs = fx.event_log_from(_stream_events(fx)).where(F.col("event_type") == "backup_run")
     path = _drain(fx, streams.staleness(runs, "bucket"), "stream-staleness")
     return fx.spark.read.parquet(path)
+
+
+@query
+def stream_silent_sources(fx):
+    """Users as sources: registered by signups, every tenth never succeeds, all events are heartbeats."""
+    events = _stream_events(fx).select(
+        "user_id", "ts",
+        (F.col("event_type") == "signup").alias("registered"),
+        ((F.col("event_type") == "view") & (F.col("user_id") % 10 != 0)).alias("succeeded"),
+    )
+    path = _drain(fx, streams.silent_sources(events, "user_id"), "stream-silent")
+    return fx.spark.read.parquet(path)

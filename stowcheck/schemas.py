@@ -38,6 +38,14 @@ EVENT = _struct(
     event_id=_long, event_type=_text, source=_text, timestamp=_time, details=_text, actor=_text
 )
 
+# every field that some event type has in its details
+EVENT_DETAILS = _struct(
+    bucket=_text, table=_text, dest_table=_text, table_arn=_text, status=_text, mode=_text, result=_text,
+    objects_copied=_long, objects_in_manifest=_long, bytes_transferred=_long, batch_job_id=_text, export_arn=_text,
+    restore_point=_time, triggered_by=_text, success=_flag, s3_buckets=_long, dynamodb_tables=_long,
+    errors=T.ArrayType(_text),
+)
+
 RUN_STATE = _struct(
     bucket=_text,
     source_bucket=_text,

@@ -332,6 +332,52 @@ class Fixtures:
             F.col("ts").alias("export_time"),
         )
 
+    @cached_property
+    def run_results(self) -> DataFrame:
+        """Results of a run a day: batch and incremental bucket copies, and table exports; some with an error."""
+        event = F.col("event_id")
+        day = F.date_format("ts", "yyyy-MM-dd").alias("run_id")
+        batch, failed = event % 2 == 0, F.col("status") == "failed"
+        objects = event % 900
+        none = F.lit(None).cast("string")
+        buckets = self.event_log.where("event_type = 'backup_run'").select(
+            day, "source", F.lit("bucket").alias("kind"), F.col("bucket").alias("target"), "ts",
+            F.when(batch, F.col("status")).when(objects > 0, "completed").otherwise("skipped").alias("status"),
+            F.when(batch, "batch").otherwise("incremental").alias("mode"),
+            F.when(~batch, objects).alias("objects_copied"),
+            F.when(~batch, objects * 4096).alias("bytes_transferred"),
+            F.when(batch, F.concat(F.lit("job-"), _text(event))).alias("batch_job_id"),
+            F.when(batch, objects).alias("objects_in_manifest"),
+            none.alias("export_arn"),
+            F.when(failed, F.concat(F.lit('no "list" permission, request '), _text(event))).alias("error"),
+        )
+        no_number = F.lit(None).cast("bigint")
+        tables = self.exports.select(
+            F.date_format("export_time", "yyyy-MM-dd").alias("run_id"), F.col("source_alias").alias("source"),
+            F.lit("table").alias("kind"), F.col("table_name").alias("target"), F.col("export_time").alias("ts"),
+            F.lower("status").alias("status"), F.lit("export").alias("mode"),
+            no_number.alias("objects_copied"), no_number.alias("bytes_transferred"), none.alias("batch_job_id"),
+            no_number.alias("objects_in_manifest"), F.concat(F.lit("arn/export/"), "export_arn").alias("export_arn"),
+            F.when(F.col("status") == "FAILED", F.concat(F.lit("export "), "export_arn")).alias("error"),
+        )
+        return buckets.unionByName(tables)
+
+    @cached_property
+    def restore_events(self) -> DataFrame:
+        """Restore submissions and restore tests of the event log with the details of their types."""
+        event = F.col("event_id")
+        submitted = F.to_json(F.struct(
+            F.concat(F.lit("restored-"), _text(event)).alias("dest_table"),
+            F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("restore_point"),
+            F.when(event % 3 == 0, "schedule").when(event % 3 == 1, "person").alias("triggered_by"),
+        ))
+        tested = F.to_json(F.struct("bucket", _pick(event, "pass", "fail").alias("result")))
+        return self.event_log.where(F.col("event_type").isin("restore_submitted", "test_restore")).select(
+            "event_type", "source", "ts",
+            F.when(event % 11 == 0, "{not json").when(F.col("event_type") == "test_restore", tested).otherwise(submitted).alias("details"),
+            F.lit("operator").alias("actor"),
+        )
+
     def alarms_from(self, events: DataFrame) -> DataFrame:
         event = F.col("event_id")
         body = F.concat(

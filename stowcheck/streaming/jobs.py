@@ -153,6 +153,39 @@ def staleness(runs: DataFrame, by: str, time: str = "ts") -> DataFrame:
     return lane("yellow", BACKUP_AGE_YELLOW_HOURS).unionByName(lane("red", BACKUP_AGE_RED_HOURS))
 
 
+def silent_sources(events: DataFrame, by: str, time: str = "ts") -> DataFrame:
+    """A row when a registered source has been without success for the yellow and for the red limit.
+
+    ``events``: ``by``, ``time``, ``registered`` and ``succeeded`` of every event of the log. All of them move
+    the watermark, as heartbeats, so a source that falls silent is reported while any other writes; union
+    rows without flags where none may. A registration opens the wait as a success does: a source that never
+    succeeds is reported one limit after it, with no successes. Events of an unregistered source that
+    succeeded count too. NULL flags are false; events later than the watermark are dropped.
+    """
+    watched = events.withWatermark(time, WATERMARK)
+    registered, succeeded = (F.coalesce(name, F.lit(False)) for name in ("registered", "succeeded"))
+
+    def lane(level: str, hours: float) -> DataFrame:
+        # windows without length are dropped, but only above the watermark, which has seen their rows
+        gap = F.when(registered | succeeded, f"{hours:.0f} hours").otherwise("0 seconds")
+        done = F.when(succeeded, F.col(time))
+        return (
+            watched.groupBy(by, F.session_window(time, gap).alias("session"))
+            .agg(F.count(done).alias("successes"), F.min(done).alias("first_success_at"), F.max(done).alias("last_success_at"))
+            .select(
+                by,
+                F.lit(level).alias("level"),
+                F.col("session.start").alias("waiting_since"),
+                "first_success_at",
+                "last_success_at",
+                F.col("session.end").alias("stale_at"),
+                "successes",
+            )
+        )
+
+    return lane("yellow", BACKUP_AGE_YELLOW_HOURS).unionByName(lane("red", BACKUP_AGE_RED_HOURS))
+
+
 def completed_restores(entries: DataFrame, statuses: DataFrame, wait: str = RESTORE_WAIT) -> DataFrame:
     """Two events per restored table, once, when it is reported ACTIVE within ``wait`` of its submission.
 

@@ -152,3 +152,48 @@ def test_jobs_belong_to_configured_buckets(spark):
     owners = spark.createDataFrame([("a", "ran"), ("a", "never-ran"), ("a", "ran"), ("b", "idle")], "source_alias string, bucket string")
     rates = operations.owned(operations.job_failure_rate(jobs), owners).collect()
     assert sorted((r.source_alias, r.bucket, r.failure_pct) for r in rates) == [("a", "never-ran", 0.9), ("a", "ran", 0.5)]
+
+
+RESULT = (
+    "run_id string, source string, kind string, target string, ts timestamp, status string, mode string, objects_copied long, "
+    "bytes_transferred long, batch_job_id string, objects_in_manifest long, export_arn string, error string"
+)
+
+
+def test_run_log_and_its_fields(spark):
+    at = datetime(2024, 1, 1, 3)
+    rows = [
+        ("r1", "a", "bucket", "b1", at, "submitted", "batch", None, None, "j1", 0, None, None),
+        ("r1", "a", "bucket", "b2", at, "completed", "incremental", 5, 2**40, None, None, None, None),
+        ("r1", "a", "bucket", "b3", at, None, "incremental", None, None, None, None, None, 'no "list"'),
+        ("r1", "a", "table", "t1", at, "submitted", None, None, None, None, None, "arn:x/table/t1/export/e9", None),
+        ("r2", "a", "bucket", "b1", at, "skipped", "incremental", 0, 0, None, None, None, None),
+    ]
+    log = maintenance.run_log(spark.createDataFrame(rows, RESULT), "me")
+    assert log.where("details LIKE '%b3%' AND event_type = 'backup_run'").count() == 0
+    fields = operations.event_fields(log).collect()
+    assert len(fields) == 6 and all(r.actor == "me" for r in fields)
+    batch = next(r for r in fields if r.batch_job_id)
+    assert (batch.target, batch.mode, batch.batch_job_id, batch.objects_in_manifest, batch.objects_copied) == ("b1", "batch", "j1", 0, None)
+    got = {(r.event_type, r.target, r.success): r for r in fields}
+    b2, t1 = got["backup_run", "b2", None], got["backup_run", "t1", None]
+    assert (b2.objects_copied, b2.bytes_transferred, b2.mode, b2.batch_job_id) == (5, 2**40, "incremental", None)
+    assert (t1.export_id, t1.mode, t1.error_count) == ("e9", None, None)
+    bad, good = got["backup_run_complete", None, False], got["backup_run_complete", None, True]
+    assert (bad.s3_buckets, bad.dynamodb_tables, bad.error_count, bad.errors) == (3, 1, 1, 'b3: no "list"')
+    assert (good.s3_buckets, good.dynamodb_tables, good.error_count, good.errors) == (1, 0, 0, "")
+
+
+def test_event_fields_of_odd_details(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(1, "backup_run", '{"bucket":"b","objects_copied":"many","status":"x"}'), (2, "backup_run", "{broken"), (3, "backup_run", None),
+            (4, "pitr_reenabled", '{"table_arn":"arn:x/table/t"}'), (5, "pitr_reenabled", "{}"), (6, "note", '{"bucket":"b","status":"s"}'),
+            (7, "test_restore", '{"bucket":"b","result":"pass","status":"s"}'), (8, None, "{}"),
+            (9, "restore_submitted", '{"dest_table":"d","restore_point":"2024-01-01T02:00:00Z","triggered_by":"me"}'),
+            (10, "backup_run_complete", '{"success":true,"s3_buckets":2,"dynamodb_tables":0}')]
+    df = spark.createDataFrame([(str(n), kind, at, "actor", details) for n, kind, details in rows], "source string, event_type string, ts timestamp, actor string, details string")
+    got = {int(r.source): r for r in operations.event_fields(df).collect()}
+    assert (got[1].target, got[1].objects_copied) == ("b", None)
+    assert [got[n].target for n in (2, 3, 4, 5, 6, 7, 8)] == ["?", "?", "t", "?", None, "b", None]
+    assert (got[6].status, got[7].status, got[7].result, got[9].triggered_by, str(got[9].restore_point)) == (None, None, "pass", "me", "2024-01-01 02:00:00")
+    assert (got[10].success, got[10].s3_buckets, got[10].error_count, got[10].errors) == (True, 2, 0, "")

@@ -122,3 +122,31 @@ def test_file_stream_reads_a_table_of_one_or_many_files(spark, tmp_path, files):
     out = str(tmp_path / "out")
     jobs.run_to_end(jobs.file_stream(spark, folder, "events"), out, str(tmp_path / "ck"), timeout_seconds=120)
     assert spark.read.parquet(out).count() == events.count() > 0
+
+
+def test_silent_sources_are_reported_by_the_heartbeats_of_others(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    line = '{"bucket":"%s","ts":"2024-01-%s:00:00Z","registered":%s,"succeeded":%s}'
+    rows = feed(spark, source, "bucket string, ts timestamp, registered boolean, succeeded boolean")
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def reported():
+        jobs.run_to_end(jobs.silent_sources(rows, "bucket"), out, ck, timeout_seconds=120)
+        return sorted((r.bucket, r.level, str(r.stale_at)[5:13], r.successes, r.last_success_at and str(r.last_success_at)[5:13]) for r in spark.read.parquet(out).collect())
+
+    # "never" only registers; "once" succeeds and falls silent; failures (no flag) don't count
+    write(source, "1.json", [
+        line % ("never", "01T00", "true", "false"), line % ("once", "01T00", "true", "null"), line % ("once", "01T06", "null", "true"),
+        line % ("once", "01T10", "false", "false"), line % ("never", "01T09", "null", "null"),
+    ])
+    assert reported() == []
+    # only another source writes: its heartbeat reports both, once each
+    write(source, "2.json", [line % ("other", "01T20", "false", "false")])
+    yellow = [("never", "yellow", "01-01 12", 0, None), ("once", "yellow", "01-01 18", 1, "01-01 06")]
+    assert reported() == yellow
+    write(source, "3.json", [line % ("other", "01T21", "null", "null")])
+    assert reported() == yellow
+    write(source, "4.json", [line % ("other", "02T20", "false", "false")])
+    red = [("never", "red", "01-02 12", 0, None), ("once", "red", "01-02 18", 1, "01-01 06")]
+    assert reported() == sorted(yellow + red)
