@@ -8,15 +8,25 @@ Writing rolls files at ``max_file_bytes``. A task writes hidden files; the drive
 all tasks have succeeded, so that attempts of lost executors leave nothing that is read.
 
 Paths may lie in any file system that pyarrow reaches (``file``, ``hdfs``, ``s3``, ``gs``); ``.warc.gz`` is
-read too. Payloads of response records are stored as HTTP messages with a gzip body.
-
-Defined results: a NULL payload is written as an empty one; NULL headers and fields are left out and read as
-NULL; control characters of header values are percent-encoded; repeated rows are repeated records; an empty
-table makes an archive without files, which reads as empty. Truncated records raise an error.
+read too. Payloads of response records are stored as HTTP messages with a gzip body, those of other records
+as they are.
+
+Archives of any writer are read: header values stay as written, but for RFC 2047 encoded words, which the
+format allows and this writer uses for values that don't fit a line. Folded lines are joined by a space;
+headers of one name, in any case, by ``, ``, and of a field the first counts. The payload of an HTTP message,
+request or response, is its body, chunks joined, gzip and deflate decoded; a body that doesn't decode, and any
+other block, is its own payload.
+
+Defined results: a response's NULL payload is written as an empty one, others' leave the record without a
+block; a record without a block has a NULL payload; NULL headers and fields are left out and read as NULL;
+repeated rows are repeated records; an empty table makes an archive without files, which reads as empty.
+Truncated records raise an error, whether their payload is wanted or not, and so does writing a header whose
+name is no token or belongs to a field.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import io
 import posixpath
@@ -25,6 +35,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from email.errors import HeaderParseError
+from email.header import decode_header, make_header
 
 import pyarrow as pa
 from pyarrow import fs
@@ -58,6 +70,10 @@ ARROW = pa.schema(
     [(name, pa.string()) for name in FIELDS] + [("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]
 )
 BATCH_BYTES = 8 << 20
+RESERVED = {field.lower() for field in FIELDS.values()} | {"content-length"}
+TOKEN = re.compile(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
+_WORD = r"=\?[^?\s]+\?[bBqQ]\?[^?\s]*\?="
+ENCODED_WORDS = re.compile(rf"{_WORD}(?:\s+{_WORD})*")
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -65,39 +81,100 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _header_value(value: str) -> str:
-    """A value on one line: control characters, and spaces at its ends, percent-encoded."""
-    text = re.sub(r"[\x00-\x1F\x7F\x85  %]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
-    return re.sub(r"^ +| +$", lambda m: "%20" * len(m[0]), text)
+    """A value that stands on one line: itself, or one encoded word."""
+    if re.search(r"[\x00-\x1F\x7F\x85\u2028\u2029]|^\s|\s$|=\?", value):
+        return f"=?utf-8?B?{base64.b64encode(value.encode()).decode()}?="
+    return value
 
 
 def _plain_value(value: str) -> str:
-    data = re.sub(rb"%([0-9A-F]{2})", lambda m: bytes([int(m[1], 16)]), value.encode())
-    return data.decode("utf-8", "replace")
+    """A header value as meant: a sequence of encoded words is decoded, all else is untouched."""
+    if not ENCODED_WORDS.fullmatch(value):
+        return value
+    try:
+        return str(make_header(decode_header(value)))
+    except (HeaderParseError, LookupError, ValueError):
+        return value
 
 
 def record_bytes(fields: dict[str, str | None], headers: list[tuple[str, str | None]], payload: bytes | None) -> bytes:
-    """One record. A response's block is an HTTP message; other records have no block."""
-    block = b""
-    if payload is not None:
-        body = gzip.compress(payload, 5, mtime=0)
+    """One record. A response's block is an HTTP message; the block of others is their payload, if any."""
+    is_response = fields.get("record_type") == "response"
+    headers = [(name, value) for name, value in headers if not (is_response and name.lower() == "content-type")]
+    for name, _ in headers:
+        if not TOKEN.fullmatch(name) or name.lower() in RESERVED:
+            raise ValueError(f"not a name for a further WARC header: {name!r}")
+    block = payload or b""
+    if is_response:
+        body = gzip.compress(block, 5, mtime=0)
         block = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+        headers.append(("Content-Type", "application/http;msgtype=response"))
     lines = ["WARC/1.1"]
     named = [(FIELDS[name], value) for name, value in fields.items()]
     lines += [f"{name}: {_header_value(value)}" for name, value in [*named, *headers] if value is not None]
-    if payload is not None:
-        lines.append("Content-Type: application/http;msgtype=response")
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _payload(block: bytes) -> bytes:
-    """The decoded body of an HTTP message; another block is its own payload."""
-    if not block.startswith(b"HTTP/"):
+def _joined_chunks(body: bytes) -> bytes:
+    parts, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].partition(b";")[0], 16)
+        at = end + 2
+        if not size:
+            return b"".join(parts)
+        if at + size > len(body):
+            raise ValueError("chunk ends early")
+        parts.append(body[at : at + size])
+        at += size + 2
+
+
+def _payload(block: bytes, content_type: str) -> bytes:
+    """The decoded body of an HTTP message; another block, or a body that doesn't decode, as it is."""
+    if not (block.startswith(b"HTTP/") or content_type.lower().startswith("application/http")):
         return block
     head, _, body = block.partition(b"\r\n\r\n")
-    if re.search(rb"(?im)^content-encoding:\s*gzip\s*$", head.replace(b"\r", b"")):
-        return zlib.decompress(body, 31)
-    return body
+    fields = re.findall(rb"(?m)^([^:\r\n]+):[ \t]*([^\r\n]*)", head)
+    http = {name.strip().lower(): value.strip().lower() for name, value in fields}
+    try:
+        plain = _joined_chunks(body) if http.get(b"transfer-encoding") == b"chunked" else body
+    except ValueError:
+        # archives often keep the header of a body whose chunks were joined
+        plain = body
+    try:
+        coding = http.get(b"content-encoding")
+        if coding in (b"gzip", b"x-gzip"):
+            return gzip.decompress(plain)
+        return zlib.decompress(plain) if coding == b"deflate" else plain
+    except (OSError, EOFError, zlib.error):
+        return plain
+
+
+def _headers(stream) -> dict[str, tuple[str, str]]:
+    """Headers up to the empty line: name as first written and value, by lower-case name."""
+    lines: list[str] = []
+    while True:
+        line = stream.readline()
+        if not line.endswith(b"\n"):
+            raise ValueError("truncated WARC record")
+        if not line.strip():
+            break
+        text = line.decode("utf-8", "replace")
+        if text[0] in " \t" and lines:
+            lines[-1] += " " + text.strip()
+        else:
+            lines.append(text.strip())
+    found: dict[str, tuple[str, str]] = {}
+    for text in lines:
+        name, _, value = text.partition(":")
+        name, value = name.strip(), _plain_value(value.strip())
+        first = found.get(name.lower())
+        if first is None:
+            found[name.lower()] = (name, value)
+        elif name.lower() not in RESERVED:
+            found[name.lower()] = (first[0], f"{first[1]}, {value}")
+    return found
 
 
 def read_records(stream, accept, with_payload: bool) -> Iterator[dict]:
@@ -107,27 +184,26 @@ def read_records(stream, accept, with_payload: bool) -> Iterator[dict]:
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at {line[:40]!r}")
-        headers = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip()] = _plain_value(value.strip())
-        length = int(headers.pop("Content-Length"))
-        by_name = {name.lower(): value for name, value in headers.items()}
-        record = {name: by_name.get(field.lower()) for name, field in FIELDS.items()}
-        known = {field.lower() for field in FIELDS.values()}
-        if not accept(record):
-            stream.seek(length, 1)
-            continue
-        if with_payload and length:
+        headers = _headers(stream)
+        if "content-length" not in headers:
+            raise ValueError("WARC record without Content-Length")
+        length = int(headers["content-length"][1])
+        record = {name: headers.get(field.lower(), (None, None))[1] for name, field in FIELDS.items()}
+        accepted = accept(record)
+        record["payload"] = None
+        if accepted and with_payload and length:
             block = stream.read(length)
             if len(block) < length:
                 raise ValueError("truncated WARC record")
-            record["payload"] = _payload(block)
-        else:
-            stream.seek(length, 1)
-            record["payload"] = None
-        record["headers"] = [(k, v) for k, v in headers.items() if k.lower() not in known]
-        yield record
+            record["payload"] = _payload(block, headers.get("content-type", ("", ""))[1])
+        elif length:
+            # the last byte shows that the block is whole
+            stream.seek(length - 1, 1)
+            if not stream.read(1):
+                raise ValueError("truncated WARC record")
+        if accepted:
+            record["headers"] = [pair for name, pair in headers.items() if name not in RESERVED]
+            yield record
 
 
 @dataclass
@@ -203,8 +279,7 @@ class WarcWriter(DataSourceArrowWriter):
                         files.append(posixpath.join(path, f".{uuid.uuid4().hex}.warc"))
                         out, size = system.open_output_stream(files[-1]), 0
                     fields = {name: row.get(name) for name in FIELDS}
-                    payload = (row.get("payload") or b"") if row["record_type"] == "response" else None
-                    data = record_bytes(fields, list(row.get("headers") or []), payload)
+                    data = record_bytes(fields, list(row.get("headers") or []), row.get("payload"))
                     out.write(data)
                     size += len(data)
                     if size >= self.max_file_bytes:
