@@ -23,10 +23,11 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +48,7 @@ END_ID = 1
 
 _tokenizers: dict[str, WordTokenizer] = {}
 _WORDS, _PIECES = 1_000_000, 300_000
-_TEXTS_AT_ONCE = 200
+_BYTES_AT_ONCE = 4 << 20
 
 
 class WordTokenizer:
@@ -74,26 +75,33 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # bytes.split() separates at the six ASCII white spaces only
-        split = [t.encode().split() for t in texts]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text. Arrow cuts texts into words and puts the ids of equal words in their places."""
+        # splits at the six ASCII white spaces only; one at an end of a text leaves an empty word, without ids
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         for known, most in ((self.words, _WORDS), (self.pieces, _PIECES)):
             if len(known) > most:
                 known.clear()
-        self._learn(set(chain.from_iterable(split)).difference(self.words))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
-
-    def _learn(self, new: set[bytes]) -> None:
-        words = list(new)
-        texts = b" ".join(words).decode().split(" ") if words else []
-        is_plain = list(map(self.PLAIN.fullmatch, texts))
+        self._learn([w for w in words if w not in self.words])
+        ids = pa.array(list(map(self.words.__getitem__, words)), pa.large_binary()).take(found.indices)
+        _, ends, data = ids.buffers()
+        if not len(ids):
+            return [b""] * len(texts)
+        ends = np.frombuffer(ends, np.int64)[ids.offset :][split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        whole = memoryview(data) if data else memoryview(b"")
+        return [bytes(whole[i:j]) for i, j in pairwise(ends)]
+
+    def _learn(self, words: list[str]) -> None:
+        is_plain = list(map(self.PLAIN.fullmatch, words))
         other = [w for w, p in zip(words, is_plain, strict=True) if not p]
         words = [w for w, p in zip(words, is_plain, strict=True) if p]
         # pieces of all plain words in turn, a space between words
-        found = self.PIECES.findall(" ".join([t for t, p in zip(texts, is_plain, strict=True) if p]).lower())
+        found = self.PIECES.findall(" ".join(words).lower())
         pieces = list(set(found).difference(self.pieces, " "))
         for k in range(0, len(pieces), 5_000):
             part = pieces[k : k + 5_000]
@@ -108,7 +116,7 @@ class WordTokenizer:
             known = self.pieces
             coded = b"".join([known[p] if p != " " else self.MARK for p in found]).split(self.MARK)
             self.words.update(zip(words, coded, strict=True))
-        self.words.update(zip(other, self._each([w.decode() for w in other]), strict=True))
+        self.words.update(zip(other, self._each(other), strict=True))
 
     def _each(self, texts: list[str]) -> Iterator[bytes]:
         for coded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -243,9 +251,12 @@ class TokenWriter(DataSourceArrowWriter):
             yield from zip(doc_ids, batch.column("ids").to_pylist(), strict=True)
             return
         tokenizer, end = word_tokenizer(self.tokenizer), array("I", [self.end_id]).tobytes()
-        for k in range(0, len(doc_ids), _TEXTS_AT_ONCE):
-            texts = [t or "" for t in batch.column("text").slice(k, _TEXTS_AT_ONCE).to_pylist()]
-            for doc_id, ids in zip(doc_ids[k : k + _TEXTS_AT_ONCE], tokenizer.encode(texts), strict=True):
+        texts = pc.fill_null(batch.column("text"), "")
+        # groups of about as many bytes, a long text with its group
+        group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // _BYTES_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(doc_ids)]
+        for i, j in pairwise(cuts):
+            for doc_id, ids in zip(doc_ids[i:j], tokenizer.encode(texts.slice(i, j - i)), strict=True):
                 yield doc_id, ids + end
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> TokenCommit:

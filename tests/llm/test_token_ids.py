@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def test_words_encoded_by_themselves_equal_whole_texts(tokenizer):
     path, rng = queries.tokenizer_file("word_bpe_49k.json"), random.Random(3)
     signs = "aZ09'<|> .,éÉ×÷ßªº́İıſﬁ日_-*\x1c\x85\u2028\xa0ǅ½²"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) + rng.choice(["", "<|endoftext|>", "don't", "'S x"]) for _ in range(2_000)]
-    for text, ids in zip(texts, token_ids.WordTokenizer(path).encode(texts), strict=True):
+    for text, ids in zip(texts, token_ids.WordTokenizer(path).encode(pa.array(texts)), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
