@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from stowcheck.operators import cost, maintenance, operations
+from stowcheck.sources.fixtures import Fixtures
 
 def now():
     return F.lit("2024-02-01 00:00:00").cast("timestamp")
@@ -197,3 +198,14 @@ def test_event_fields_of_odd_details(spark):
     assert [got[n].target for n in (2, 3, 4, 5, 6, 7, 8)] == ["?", "?", "t", "?", None, "b", None]
     assert (got[6].status, got[7].status, got[7].result, got[9].triggered_by, str(got[9].restore_point)) == (None, None, "pass", "me", "2024-01-01 02:00:00")
     assert (got[10].success, got[10].s3_buckets, got[10].error_count, got[10].errors) == (True, 2, 0, "")
+
+
+def test_every_run_is_a_state(spark, tmp_path):
+    rows = [(i, at(1 + i % 9), 18 + i % 3, ("view", "click", "purchase")[i % 3]) for i in range(36)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    states = Fixtures(spark, str(tmp_path)).run_states
+    assert sorted(r.event_id for r in states.collect()) == [i for i in range(36) if i % 3 != 2]
+    last = operations.current_run_state(states).collect()
+    assert {r.bucket: r.event_id for r in last} == {"bb-18": 33, "bb-19": 34}
+    points = {r.source_alias: r.buckets for r in operations.latest_restore_point(states.withColumn("status", F.lit("completed"))).collect()}
+    assert points == {"charlie": 12, "delta": 12}
