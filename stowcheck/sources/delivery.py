@@ -78,7 +78,8 @@ def deliver(inventory: DataFrame, root: str, delivery: str = "daily") -> None:
     """
     of = {f"of_{name}": F.col(name) for name in ("source_alias", "side", "bucket", "dt")}
     columns = [c if c in inventory.columns else F.lit(None).cast(schemas.INVENTORY[c].dataType).alias(c) for c in DATA_COLUMNS]
-    inventory.withColumns(of).select(*columns, *of).repartition(*of, F.pmod(F.xxhash64("key"), F.lit(4))).write.partitionBy(*of).parquet(f"{root}/data")
+    # each task writes its own rows: the files of a snapshot are as many as the tasks that read it
+    inventory.withColumns(of).select(*columns, *of).write.partitionBy(*of).option("compression", "zstd").parquet(f"{root}/data")
     path = F.col("key")
     files = list_files(inventory.sparkSession, f"{root}/data", "*.parquet").select(
         path.alias("file"), *[F.regexp_extract(path, f"/{name}=([^/]+)/", 1).alias(name) for name in of]

@@ -1,10 +1,13 @@
+from pathlib import Path
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from stowcheck.operators import reconcile, snapshots
+from stowcheck.session import work_root
 from stowcheck.sources import events, inventory, sinks
-from stowcheck.sources.fixtures import TODAY
+from stowcheck.sources.fixtures import TODAY, Fixtures
 
 
 def test_partitioned_inventory_prunes_and_keeps_dt_text(spark, fx, tmp_path, plan_of):
@@ -142,3 +145,30 @@ def test_work_folder_comes_from_the_session(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.work_root(Cluster())
+
+
+def _bytes(folder) -> int:
+    return sum(f.stat().st_size for f in Path(folder).rglob("*.parquet"))
+
+
+def test_stored_objects_stay_near_the_size_of_their_input(spark, tmp_path):
+    items = spark.range(60000).selectExpr(
+        "id DIV 4 AS l_orderkey", "abs(hash(id, 1)) % 20000 AS l_partkey", "abs(hash(id, 2)) % 1000 AS l_suppkey",
+        "CAST(id % 4 AS int) AS l_linenumber", "CAST(abs(hash(id, 3)) % 50 AS double) AS l_quantity", "rand(1) AS l_extendedprice",
+        "TIMESTAMP '1998-01-01 00:00:00' + make_dt_interval(abs(hash(id, 4)) % 2500) AS l_shipdate",
+    )
+    items.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = _bytes(work_root(spark))
+    own = Fixtures(spark, str(tmp_path))
+    assert own.checksums.count() == 2 * own.objects.count() and own.live.count() > 0 and own.inventory.count() > 180000
+    assert _bytes(work_root(spark)) - before < 6 * _bytes(tmp_path)
+
+
+def test_inventory_is_written_by_the_tasks_that_read_it(spark, tmp_path):
+    rows = spark.range(0, 300, 1, 3).selectExpr(
+        "'b' AS bucket", "'main' AS label", "concat('k', id) AS key", "id AS size", "'2024-01-30-01-00' AS dt", "'a' AS source_alias", "'source' AS side",
+    )
+    inventory.write_inventory(rows, str(tmp_path / "inv"), rows_per_file=60)
+    files = list((tmp_path / "inv").rglob("*.parquet"))
+    # no shuffle dealt the one snapshot to one task, and no file is longer than asked for
+    assert len(files) == 6 and inventory.read_inventory(spark, str(tmp_path / "inv")).count() == 300
