@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -210,6 +211,47 @@ def test_passages_whose_parts_stand_alone_before(spark):
     assert {i: got.get(i) for i in wanted} == {i: [w] for i, w in wanted.items()}
 
 
+def test_passages_below_changed_ones_of_another_text(spark):
+    draw = iter(hashlib.md5(str(i).encode()).hexdigest()[:6] for i in range(20_000))
+    new = lambda n: [next(draw) for _ in range(n)]
+    texts, wanted = [], set()
+    for at in (230, 250, 270):
+        first = new(500)
+        # the last text has the first with one word changed; a part with that word is in the one between
+        copy = [*first[:at], *new(1), *first[at + 1 :]]
+        n = len(texts)
+        texts += [first, new(30) + copy[150:350] + new(30), copy]
+        wanted |= {(n + 2, n + 1, at), (n + 2, n, at), (n + 1, n, at - 120)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = substring_dedup.repeated_passages(df).collect()
+    assert wanted == {w for w in wanted if any(r[:2] == w[:2] and r["first"] <= w[2] - 39 and w[2] + 39 <= r["last"] for r in got)}
+
+
+def test_passages_meet_the_first_text_that_has_them(spark):
+    vocabulary = [hashlib.md5(str(i).encode()).hexdigest()[:5] for i in range(4000)]
+    draw = random.Random(5)
+    texts = []
+    for _ in range(60):
+        text = draw.choices(vocabulary, k=60)
+        for old in draw.sample(texts, min(len(texts), 3)):
+            begin = draw.randrange(max(1, len(old) - 300))
+            piece = old[begin : begin + draw.randrange(40, 300)]
+            text += [w if draw.random() > 0.015 else draw.choice(vocabulary) for w in piece]
+        texts.append(text + draw.choices(vocabulary, k=20))
+    first, wanted = {}, set()
+    for i, text in enumerate(texts):
+        for at in range(len(text) - 39):
+            other = first.setdefault(tuple(text[at : at + 40]), i)
+            if other != i:
+                wanted.add((i, other, at))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in substring_dedup.repeated_passages(df).collect():
+        got.setdefault((r.doc_id, r.other_doc_id), []).append((r["first"], r["last"]))
+    lost = [(i, other, at) for i, other, at in wanted if not any(x <= at and at + 39 <= y for x, y in got.get((i, other), []))]
+    assert len(wanted) > 5000 and not lost
+
+
 def test_lm_scores(spark, docs, rows):
     train = F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 1
     counts = collections.Counter()
