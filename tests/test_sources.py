@@ -164,6 +164,25 @@ def test_stored_objects_stay_near_the_size_of_their_input(spark, tmp_path):
     assert _bytes(work_root(spark)) - before < 6 * _bytes(tmp_path)
 
 
+def test_queries_that_match_no_keys_store_nothing(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    spark.range(4000).selectExpr(
+        "id DIV 4 AS l_orderkey", "abs(hash(id, 1)) % 200 AS l_partkey", "abs(hash(id, 2)) % 100 AS l_suppkey", "CAST(id % 4 AS int) AS l_linenumber",
+        "CAST(id % 50 AS double) AS l_quantity", "TIMESTAMP '1998-01-01 00:00:00' AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = _bytes(work_root(spark))
+    for name in ("filter_current_version", "filter_operational", "filter_nonempty", "lifecycle_tier", "cost_breakdown", "filter_partition", "count_delta"):
+        assert queries()[name](spark, str(tmp_path)).count() > 0
+    # one row per snapshot for the deliveries and the counts, no row of an object
+    assert _bytes(work_root(spark)) - before < 20_000
+    own = Fixtures(spark, str(tmp_path))
+    for listed, stored in ((own.listed, own.inventory), (own.listed_live, own.live), (own.listed_checksums, own.checksums)):
+        assert listed.exceptAll(stored).isEmpty() and stored.exceptAll(listed).isEmpty()
+    # a row per object, not one for each day and side
+    assert own.held.where("NOT reserved").count() == own.objects.count()
+
+
 def test_inventory_is_written_by_the_tasks_that_read_it(spark, tmp_path):
     rows = spark.range(0, 300, 1, 3).selectExpr(
         "'b' AS bucket", "'main' AS label", "concat('k', id) AS key", "id AS size", "'2024-01-30-01-00' AS dt", "'a' AS source_alias", "'source' AS side",
