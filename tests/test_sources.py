@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stowcheck.operators import reconcile, snapshots
 from stowcheck.session import work_root
 from stowcheck.sources import events, inventory, sinks
-from stowcheck.sources.fixtures import TODAY, Fixtures
+from stowcheck.sources.fixtures import TODAY, YESTERDAY, Fixtures
 
 
 def test_partitioned_inventory_prunes_and_keeps_dt_text(spark, fx, tmp_path, plan_of):
@@ -181,6 +181,53 @@ def test_queries_that_match_no_keys_store_nothing(spark, tmp_path):
         assert listed.exceptAll(stored).isEmpty() and stored.exceptAll(listed).isEmpty()
 
 
+def _items(spark, n):
+    return spark.range(n).selectExpr(
+        "id DIV 4 AS l_orderkey", "abs(hash(id, 1)) % 200 AS l_partkey", "abs(hash(id, 2)) % 100 AS l_suppkey", "CAST(id % 4 AS int) AS l_linenumber",
+        "CAST(id % 50 AS double) AS l_quantity", "TIMESTAMP '1998-01-01 00:00:00' AS l_shipdate",
+    )
+
+
+def test_a_day_is_stored_when_it_is_first_read_and_its_shuffle_goes(spark, tmp_path):
+    _items(spark, 4000).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> dict[str, int]:
+        files = blocks.getAllFiles().iterator()
+        found = []
+        while files.hasNext():
+            found.append(files.next())
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+    before, own, setting = shuffled(), Fixtures(spark, str(tmp_path)), spark.conf.get(inventory.DROP_SHUFFLES)
+    live, today = own.live, own.today
+    assert sum(size for name, size in shuffled().items() if name not in before) < 20_000
+    assert spark.conf.get(inventory.DROP_SHUFFLES) == setting
+    days = lambda: {r.dt for r in own.held(TODAY).select("dt").distinct().collect()}
+    assert days() == {TODAY}
+    n = live.count(), today.count()
+    # added to the table; views of today are as before, and a bucket stays one sorted file
+    assert own.inventory.where(F.col("dt") == TODAY).exceptAll(today).isEmpty() and own.inventory.where(F.col("dt") < TODAY).count() > 3000
+    assert days() == {YESTERDAY, TODAY} and (live.count(), today.count()) == n
+    assert own.listed.exceptAll(own.inventory).isEmpty() and own.inventory.exceptAll(own.listed).isEmpty()
+    of = F.regexp_extract(F.input_file_name(), "_([0-9]+)\\.c", 1).alias("of")
+    files = own.held(TODAY).select("dt", "side", of, F.input_file_name().alias("file")).distinct()
+    assert {r["count"] for r in files.groupBy("dt", "side", "of").count().collect()} == {1}
+
+
+def test_a_file_of_many_row_groups_is_not_shuffled(spark, tmp_path, plan_of):
+    cores = spark.sparkContext.defaultParallelism
+    items = _items(spark, 4000).withColumn("l_comment", F.sha2(F.col("l_orderkey").cast("string"), 512))
+    items.coalesce(1).write.option("parquet.block.size", 1 << 14).option("parquet.block.size.row.check.min", 10).parquet(f"{tmp_path}/many/lineitem.parquet")
+    items.coalesce(1).write.parquet(f"{tmp_path}/one/lineitem.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 14)
+    try:
+        plans = [plan_of(Fixtures(spark, f"{tmp_path}/{form}").spread("lineitem", ["l_orderkey"], ["l_orderkey"])) for form in ("many", "one")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert cores > 2 and ["Exchange" in plan for plan in plans] == [False, True]
+
+
 def test_inventory_is_written_by_the_tasks_that_read_it(spark, tmp_path):
     rows = spark.range(0, 300, 1, 3).selectExpr(
         "'b' AS bucket", "'main' AS label", "concat('k', id) AS key", "id AS size", "'2024-01-30-01-00' AS dt", "'a' AS source_alias", "'source' AS side",
