@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stowcheck.llm import decontaminate, line_dedup, lm_scoring, minhash, mixing, quality, substring_dedup, url_filter, warc
 from stowcheck.llm.lm_scoring import score
 from stowcheck.llm.tables import ship_code
-from stowcheck.llm.words import lower_words
+from stowcheck.llm.words import lower_words, mixed, window_hashes
 
 SF = "/root/testdata/sf0.001"
 ODD = [(None, "a null id with some words in it", None, "x"), (900001, None, "en", None), (900002, "", "en", "s"),
@@ -346,3 +346,36 @@ def test_lm_scores_equal_a_tree_built_node_by_node(spark, docs, depth):
 
 def test_lm_empty_table(docs):
     assert score(docs.where("false"), F.lit(True)).count() == 0
+
+
+def test_window_hashes_and_seeds_are_those_of_a_plain_loop():
+    plan, draw = substring_dedup.Plan(), np.random.default_rng(5)
+    for n in (0, 1, 5, 6, 17, 18, 40, 300):
+        for most in (2, 1 << 62):
+            hashes = draw.integers(0, most, n).astype(np.uint64)
+            for width in (1, 6, 40):
+                want = []
+                for i in range(n - width + 1):
+                    total = 0
+                    for h in hashes[i : i + width].tolist():
+                        total = (total + h) * 0x9E3779B97F4A7C15 % (1 << 64)
+                    want.append(total)
+                assert window_hashes(hashes, width).tolist() == mixed(np.array(want, np.uint64)).tolist()
+            every = window_hashes(hashes, plan.seed).tolist()
+            wide = min(plan.window, len(every))
+            first = [min(range(i, i + wide), key=lambda k: (every[k], k)) for i in range(len(every) - wide + 1)] if every else []
+            got, at = plan.seeds(hashes)
+            assert at.tolist() == sorted(set(first)) and got.tolist() == [every[k] for k in at.tolist()]
+
+
+def test_an_alignment_on_one_diagonal_takes_both_ends():
+    plan, draw = substring_dedup.Plan(), np.random.default_rng(6)
+    core = draw.integers(0, 9999, 60).astype(np.uint32)
+    a = np.concatenate((draw.integers(20000, 30000, 50), core, draw.integers(20000, 30000, 80))).astype(np.uint32)
+    b = np.concatenate((draw.integers(40000, 50000, 10), core, draw.integers(40000, 50000, 90))).astype(np.uint32)
+    inside = np.array([[60, 20], [80, 40]])
+    assert substring_dedup.align(a, b, inside, plan) == [(50, 109, 10, 69, 60, [50, 109])]
+    assert substring_dedup.align(a, b, inside, plan, with_runs=False) == [(50, 109, 10, 69, 60, [])]
+    a[75] = 1
+    # one changed word: no run of 40 equal words is left
+    assert substring_dedup.align(a, b, inside, plan) == [(50, 109, 10, 69, 59, [])]
