@@ -13,7 +13,9 @@ from stowcheck.session import work_path
 
 @dataclass
 class ReportInputs:
+    # the same rows twice: ``inventory`` for matching keys, ``listed`` for reads that match none
     inventory: DataFrame
+    listed: DataFrame
     live: DataFrame
     deliveries: DataFrame
     registry: DataFrame
@@ -57,7 +59,7 @@ def restore_results(inputs: ReportInputs, sample_size: int = RESTORE_SAMPLE_SIZE
     due = restore.restore_test_targets(
         inputs.registry, inputs.weekday, inputs.canary, inputs.rotation
     )
-    backup = snapshots.newest_backup(inputs.inventory, newest_snapshots(inputs))
+    backup = snapshots.newest_backup(inputs.listed, newest_snapshots(inputs))
     backup = backup.join(due, "source_alias", "left_semi")
     sample = restore.sample_restore_hash(backup, sample_size)
     verified = restore.restore_verify(sample, inputs.restored, inputs.checksums, bounded=True)

@@ -1,3 +1,4 @@
+import time
 from pathlib import Path
 
 import pytest
@@ -215,6 +216,39 @@ def test_a_day_is_stored_when_it_is_first_read_and_its_shuffle_goes(spark, tmp_p
     assert {r["count"] for r in files.groupBy("dt", "side", "of").count().collect()} == {1}
 
 
+def test_queries_that_match_keys_shuffle_objects_once_and_leave_nothing(spark, tmp_path, plan_of):
+    from __spark_entry__ import queries
+
+    _items(spark, 20000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> int:
+        files, size = blocks.getAllFiles().iterator(), 0
+        while files.hasNext():
+            file = files.next()
+            size += file.length() if file.getName().startswith("shuffle_") else 0
+        return size
+
+    stored, left = _bytes(work_root(spark)), shuffled()
+    for name in ("divergence_counts", "head_check", "apply_sync_versions", "batch_fee", "diff_predicate_smart", "integrity_diffs", "sync_summary"):
+        df = queries()[name](spark, str(tmp_path))
+        dealt = [line for line in plan_of(df).splitlines() if "REPARTITION_BY_NUM" in line]
+        # files of many tasks are spread no further, so this is the shuffle by key alone
+        assert len([line for line in dealt if "ReusedExchange" not in line]) == 1, name
+    assert _bytes(work_root(spark)) - stored < 20_000
+    for _ in range(50):
+        if shuffled() - left < 20_000:
+            break
+        time.sleep(0.2)
+    assert shuffled() - left < 20_000
+    own = Fixtures(spark, str(tmp_path))
+    for dealt, listed in (
+        (own.dealt_inventory, own.listed), (own.dealt_today, own.listed.where(F.col("dt") == TODAY)), (own.dealt_live, own.listed_live),
+        (own.dealt_checksums, own.listed_checksums), (own.dealt_sources, own.listed_sources),
+    ):
+        assert dealt.exceptAll(listed).isEmpty() and listed.exceptAll(dealt).isEmpty()
+
+
 def test_a_file_of_many_row_groups_is_not_shuffled(spark, tmp_path, plan_of):
     cores = spark.sparkContext.defaultParallelism
     items = _items(spark, 4000).withColumn("l_comment", F.sha2(F.col("l_orderkey").cast("string"), 512))
